@@ -210,3 +210,31 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = tuple(state)
     children = pairs.select(F.col("hi").alias("id"), F.col("lo").alias("component_id"))
     return children.unionByName(pairs.select(F.col("lo").alias("id"), F.col("lo").alias("component_id")).distinct())
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int, seed: int = 0) -> DataFrame:
+    """(text, y) of at most ``rows`` labelled documents of each class, for fitting.
+
+    Rows with crc32(doc_id) mod ``modulus`` = ``held_out`` never take part.  The choice is by a hash of
+    the id, so it does not depend on the order or the partitions; its size bounds what is broadcast.
+    """
+    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out))
+    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    chosen = None
+    for y in (0, 1):
+        part = usable.where(F.col(label) == y).select("doc_id", F.lit(y).alias("y")).orderBy(order, "doc_id").limit(rows)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def letter_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of runs of ASCII letters and bytes beyond ASCII, and the n+1 offsets of the rows' runs."""
+    return word_spans(data, at, ~_LETTER)
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))

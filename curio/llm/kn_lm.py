@@ -115,10 +115,10 @@ def _load(folder: str, name: str) -> np.ndarray:
         return np.frombuffer(f.read(), np.uint8)
 
 
-def train(docs: DataFrame, folder: str, buckets: int | None = None, flush: int = 3_000_000) -> dict:
+def train(docs: DataFrame, folder: str, buckets: int | None = None, flush: int = 1_500_000) -> dict:
     """Count the bigrams of ``docs.text`` and write the model to ``folder``; returns its constants."""
     spark = docs.sparkSession
-    n = buckets or max(4, common.shuffle_parts(spark) // 4)
+    n = buckets or common.shuffle_parts(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
