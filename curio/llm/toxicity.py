@@ -8,7 +8,7 @@ toxic spans of 1, 8 and 32 tokens.  A logistic curve over these, fitted on a qua
 rows that the counts do not see, makes the score.
 
 The fit uses at most ``SAMPLE_ROWS`` labelled rows of each class (equal classes, so that both models
-leave alike shares to rare words); bigrams seen once are left to the backoff.  Both bound what is
+leave alike shares to rare words); bigrams seen a few times are left to the backoff.  Both bound what is
 broadcast.  Every document is scored whole, in one pass without a shuffle.
 
 Definedness: texts without a letter, empty or null ones have no tokens and features of zero; with
@@ -74,9 +74,9 @@ def count(sample: DataFrame, buckets: int = 16) -> dict:
         pair = common.mix(u * U64(0x9FB21C651E98DF25) + h)
         b, nb = _tally(pair, y)
         _, one = np.unique(pair, return_index=True)
-        spread = np.zeros(len(w), np.int64)  # distinct words before each word, in either class
-        np.add.at(spread, np.searchsorted(w, h[one]), 1)
-        big = nb.sum(axis=1) >= 2
+        spread = np.zeros((len(w), 2), np.int64)  # distinct words before each word, by class
+        np.add.at(spread, np.searchsorted(w, h[one]), nb > 0)
+        big = nb.max(axis=1) > 4
         context, kinds = u[one], nb  # each class's bigram types and tokens by their first word
         order = np.argsort(context)
         first = common.runs(context[order])[:-1]
@@ -90,7 +90,7 @@ def count(sample: DataFrame, buckets: int = 16) -> dict:
         x = np.concatenate([np.frombuffer(bytes(r[name]), kind) for r in rows] or [np.zeros(0, kind)])
         return x.reshape(-1, width) if width else x
 
-    w, n, spread = whole("w", np.uint64), whole("n", np.int64, 2), whole("spread", np.int64)
+    w, n, spread = whole("w", np.uint64), whole("n", np.int64, 2), whole("spread", np.int64, 2).min(axis=1)
     b, nb = whole("b", np.uint64), whole("nb", np.uint32, 2)
     c, begun = whole("c", np.uint64), whole("begun", np.int64, 4)
     order = np.argsort(c)
@@ -102,16 +102,21 @@ def count(sample: DataFrame, buckets: int = 16) -> dict:
     b, nb = b[order], nb[order]
     # words that only one text's handful of tokens has stay with the shared counts
     usual = n.sum(axis=1) >= 2
-    total, types = n.sum(axis=0), (n > 0).sum(axis=0)
+    total = n.sum(axis=0)
+    # continuation counts that the classes share: what only one class knows gets the floor
     shared = (spread + 1.0) / (spread.sum() + len(w) + 1)
-    context = c[begun[:, 2:].sum(axis=1) >= 2]
+    left = sum(float(d) * ((n == k) if k < 3 else (n >= 3)).sum() for k, d in enumerate(D1)) / max(1, total.sum())
+    known = begun[:, 2:].min(axis=1) >= CONTEXT_TOKENS
     return {
-        "words": w[usual], "counts": n[usual].astype(np.float32), "shared": shared[usual].astype(np.float32), "rare": float(np.median(shared)) if len(w) else 1.0, "total": total, "types": types,
-        "pairs": b, "pair_counts": nb.astype(np.float32), "contexts": context, "begun": begun[begun[:, 2:].sum(axis=1) >= 2].astype(np.float32),
+        "words": w[usual], "counts": n[usual].astype(np.float32), "shared": shared[usual].astype(np.float32), "rare": float(np.median(shared)) if len(w) else 1.0, "total": np.maximum(total, 1), "left": left,
+        "pairs": b, "pair_counts": nb.astype(np.float32), "contexts": c[known], "begun": begun[known].astype(np.float32),
     }
 
 
-D1, D2 = 0.9, 0.85  # discounts of words and of bigrams
+#: Discounts of words seen once, twice, more often, and of bigrams; few sightings of a bigram are left to its word.
+D1, D2 = np.array([0.0, 0.9, 1.2, 1.4]), 4.0
+#: Tokens that a word must begin in each class before its bigrams count.
+CONTEXT_TOKENS = 400
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,18 +133,20 @@ def differences(m: dict, h: np.ndarray, before: np.ndarray) -> np.ndarray:
     counts = np.where(hit[:, None], m["counts"][i] if len(m["words"]) else 0.0, 0.0)
     shared = np.where(hit, m["shared"][i] if len(m["words"]) else 0.0, m["rare"])
     # what a class leaves is dealt by the shared counts, in the same measure for both classes
-    left = D1 * m["types"].sum() / m["total"].sum()
-    word = np.maximum(counts - D1, 0) / m["total"] + left * shared[:, None]
+    left = m["left"]
+    word = np.maximum(counts - D1[np.minimum(counts, 3).astype(int)], 0) / m["total"] + left * shared[:, None]
     first, at = np.unique(before, return_inverse=True)
     j, known = _find(m["contexts"], first)
     begun = np.where(known[:, None], m["begun"][j] if len(m["contexts"]) else 0.0, 0.0)
-    usable = known & (begun[:, 2:].min(axis=1) > 20)  # both classes know the word before
+    usable = known & (begun[:, 2:].min(axis=1) >= CONTEXT_TOKENS)  # both classes know the word before
     k, met = _find(m["pairs"], common.mix(before * U64(0x9FB21C651E98DF25) + h))
     pair = np.where(met[:, None], m["pair_counts"][k] if len(m["pairs"]) else 0.0, 0.0)
     tokens = np.maximum(begun[at, 2:], 1)
-    rest = (D2 * begun[:, :2].sum(axis=1) / np.maximum(begun[:, 2:].sum(axis=1), 1))[at]
+    rest = np.minimum(1.0, D2 * begun[:, :2].sum(axis=1) / np.maximum(begun[:, 2:].sum(axis=1), 1))[at]
     p = np.where(usable[at][:, None], np.maximum(pair - D2, 0) / tokens + rest[:, None] * word[which], word[which])
-    return np.log(p[:, 1]) - np.log(p[:, 0])
+    alone = (np.log(word[:, 1]) - np.log(word[:, 0]))[which]
+    # passages that a few texts of one class share have bigrams of that class: those add a little only
+    return np.minimum(np.log(p[:, 1]) - np.log(p[:, 0]), np.maximum(alone, 0) + 2.0)
 
 
 def features(m: dict, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -167,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2 or sum(sizes.values()) < 20:
         return {"constant": (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)}
-    aside = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(4)) == 0
+    sample = sample.dropDuplicates(["text", "y"])  # a text and its copies say a thing once
+    aside = F.pmod(F.xxhash64("text", F.lit(4)), F.lit(4)) == 0
     model = count(sample.where(~aside))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
