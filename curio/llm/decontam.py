@@ -79,11 +79,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, item_id: str =
         mine = windows.where(F.col("length") == length)
         hs = word_hashes(F.col("window"))
         mine = mine.select(window_hashes(hs, F.lit(length), length)[0].alias("h"), "window", "items")
-        if row["count"] <= BROADCAST_WINDOWS:
-            mine = F.broadcast(mine)
         n = F.size("w")
         rows = base.where(n >= length).select("doc_id", "w", F.posexplode(window_hashes(word_hashes(F.col("w")), n, length)).alias("position", "h"))
-        met = rows.join(mine, "h").where(F.slice("w", F.col("position") + 1, length) == F.col("window"))
+        here = F.slice("w", F.col("position") + 1, length)
+        if row["count"] <= BROADCAST_WINDOWS:
+            met = rows.join(F.broadcast(mine), "h").where(here == F.col("window"))
+        else:  # shuffles carry the window, not the text
+            met = rows.select("doc_id", "position", "h", here.alias("here")).join(mine, "h").where("here = window")
         met = met.select("doc_id", "position", F.lit(length).alias("length"), "items")
         found = met if found is None else found.unionByName(met)
     if found is None:

@@ -1,6 +1,18 @@
 """The numbered queries, by name."""
 
-from curio.llm import kn_lm, token_shards
+from curio.llm import decontam, jaccard, kn_lm, mixing, pii, quality, token_shards, toxicity
 
-QUERIES = {f.__name__: f for f in (token_shards.op6_token_shards, kn_lm.op8_kneser_ney)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        pii.op1_pii,
+        mixing.op4_mixing,
+        jaccard.op5_jaccard,
+        token_shards.op6_token_shards,
+        quality.op7_quality,
+        kn_lm.op8_kneser_ney,
+        toxicity.op9_toxicity,
+        decontam.op10_decontamination,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op10_decontamination": decontam.OP10_SQL}
