@@ -7,6 +7,7 @@ the temporary arrays however many rows a batch has.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -57,6 +58,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done with.
+
+    It does so when the plans are garbage, which a driver with memory to spare may not notice for long;
+    asking after a large step keeps the peak of disk use down.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: str, m: int):
     """crc32 of the id's decimal text, modulo ``m``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % m

@@ -42,7 +42,7 @@ CELLS = 32
 MAX_FREQUENT = 300_000
 #: Lists of more members are resolved hub by hub.
 LONG_LIST = 48
-ROUNDS = 6
+ROUNDS = 3
 _SALT = U64(0x8CB92BA72F3D8DD7)
 
 
@@ -250,8 +250,16 @@ def index(docs: DataFrame, frequent: np.ndarray, flush: int = 2_000_000) -> Data
     return pieces.groupBy("bucket").applyInPandas(join, "kind int, a long, b long, na long, nb long, list long")
 
 
+#: Of at most so many classes are the ids broadcast, to read their sets without a shuffle of all sets.
+BROADCAST_CLASSES = 100_000
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, both): the exact intersections."""
+    pairs = common.cut(pairs.select("a", "b", "na", "nb"), "jaccard-pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    if named.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
+        sets = sets.join(F.broadcast(named), "class", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,6 +358,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     frequent = frequent_shingles(described)
     classes = common.cut(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-classes")
     found = common.cut(index(docs, frequent), "jaccard-index")
+    common.release(spark)
 
     # whole sets of the classes that any pair names, from their first documents
     hubs = found.where("kind = 0").select("a", "b", "na", "nb").distinct()
@@ -369,12 +378,13 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
     sets = common.cut(texts.mapInArrow(hashes, "class long, hashes binary").dropDuplicates(["class"]), "jaccard-hashes")
+    common.release(spark)
 
     # members of long lists are compared with their hub whatever the sketches say: the bounds need it
     with_hub = members.where("a <> b").join(classes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
     compared = common.cut(_overlaps(near.unionByName(_ordered(with_hub)).distinct(), sets), "jaccard-overlaps")
-    links = _linked(compared)
-    comps = common.cut(common.components(links), "jaccard-components")
+    common.release(spark)
+    comps = common.cut(common.components(_linked(compared)), "jaccard-components")
 
     # long lists, hub by hub
     members = common.cut(members, "jaccard-long")
@@ -401,8 +411,10 @@ def classes_of(docs: DataFrame) -> DataFrame:
             done = compared.select("a", "b")
             hub_pairs = _ordered(step.where("kind = 0")).join(done, ["a", "b"], "left_anti")
             pairs = _near(_with_component(_ordered(step.where("kind = 1")), comps).join(done, ["a", "b"], "left_anti"), classes)
-            compared = common.cut(compared.unionByName(_overlaps(hub_pairs.unionByName(pairs).distinct(), sets)), "jaccard-overlaps")
-            comps = common.cut(common.components(_linked(compared)), "jaccard-components")
+            new = common.cut(_overlaps(hub_pairs.unionByName(pairs).distinct(), sets), "jaccard-new")
+            compared = common.cut(compared.unionByName(new), "jaccard-overlaps")
+            if _linked(new).limit(1).count():
+                comps = common.cut(common.components(_linked(compared)), "jaccard-components")
             # lists that took a new hub go on with the members that no hub is linked with
             hub = step.where("kind = 0").groupBy("list").agg(F.min("a").alias("b"))
             open_ = rest.select("list", "a", "na").join(hub, "list")
@@ -410,9 +422,9 @@ def classes_of(docs: DataFrame) -> DataFrame:
             if not open_.limit(1).count():
                 break
 
-    late = _with_component(others, comps)
-    compared = compared.unionByName(_overlaps(late, sets))
-    comps = common.cut(common.components(_linked(compared)), "jaccard-components")
+    late = common.cut(_overlaps(_with_component(others, comps), sets), "jaccard-late")
+    if _linked(late).limit(1).count():
+        comps = common.cut(common.components(_linked(compared.unionByName(late))), "jaccard-components")
 
     least = comps.join(classes.select(F.col("class").alias("id"), "doc_id"), "id").groupBy("component_id").agg(F.min("doc_id").alias("least"))
     root = comps.join(least, "component_id").select(F.col("id").alias("class"), "least")
