@@ -2,9 +2,9 @@
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased.  A window is
 ``SIZE`` consecutive words of a benchmark item; an item of fewer words is one window.  Documents'
-windows are hashed from arrays of word hashes by doubling (2, 4, 8, 10 words), one pass for each
-window length that the benchmark has (1 to ``SIZE``), and looked up in the benchmark's set of hashes;
-what it hits is verified word by word.
+windows are hashed where they stand, within generated code, one pass for each window length that the
+benchmark has (1 to ``SIZE``), and looked up in the benchmark's set of hashes; what it hits is
+verified word by word.
 
 The set is broadcast while it has at most ``BROADCAST_WINDOWS`` rows; a larger benchmark is joined by
 a shuffle of hashes instead.  A document's hits are gathered by document only.
@@ -28,82 +28,66 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words(text: Column) -> Column:
     """The words of a text, lower-cased; an empty array for null."""
-    plain = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.filter(F.split(plain, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    # lower() folds letters beyond ASCII too, so it only serves texts that have none
+    plain = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    parts = F.split(plain, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+    # only the first and the last part can be empty
+    before, after = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0), F.when(F.get(parts, F.size(parts) - 1) == "", 1).otherwise(0)
+    return F.slice(parts, before + 1, F.greatest(F.size(parts) - before - after, F.lit(0)))
 
 
-def word_hashes(word_array: Column) -> Column:
-    return F.transform(word_array, lambda w: F.xxhash64(w))
-
-
-def _pairs(left: Column, right: Column, n: Column) -> Column:
-    return F.slice(F.zip_with(left, right, lambda x, y: F.xxhash64(x, y)), 1, n)
-
-
-def window_hashes(hashes: Column, n: Column, size: int) -> Column:
-    """Hash of each run of ``size`` word hashes, by parts whose lengths are powers of two; ``n`` is their number."""
-    have, done, part, width = None, 0, hashes, 1
-    left = size
-    while left:
-        if left & 1:
-            if have is None:
-                have, done = part, width
-            else:
-                have = _pairs(have, F.slice(part, done + 1, F.greatest(n - done, F.lit(0))), F.greatest(n - size + 1, F.lit(0)))
-                done += width
-        left >>= 1
-        if left:
-            part = _pairs(part, F.slice(part, width + 1, F.greatest(n - width, F.lit(0))), F.greatest(n - 2 * width + 1, F.lit(0)))
-            width *= 2
-    return have
+def row_key() -> Column:
+    """Tells documents apart, those too that repeat an id with another text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce(F.col("text"), F.lit("")))
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item, length, window, hash): the distinct windows of each item."""
+    """(item_id, length, window): the distinct windows of each item."""
     items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = items.withColumn("length", F.least(F.size("w"), F.lit(size)))
     at = items.select("item_id", "length", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1), lambda i: F.slice("w", i, F.col("length")))).alias("window")).distinct()
-    return at.withColumn("h", F.xxhash64("window"))
+    return at
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, item_id: str = "item_id") -> DataFrame:
-    """(doc_id, position, length, item_id): each occurrence of a window in a document, positions from 0."""
+    """(row, position, length, items): each occurrence of a window in a document, positions from 0; row is :func:`row_key`."""
     windows = benchmark_windows(benchmark.select(F.col(item_id).alias("item_id"), "text"), size)
     # lists, one row for each window: what is looked up and verified
     windows = common.cut(windows.groupBy("length", "window").agg(F.collect_set("item_id").alias("items")), "benchmark-windows")
     stats = windows.groupBy("length").count().collect()  # at most SIZE rows
     found = None
-    base = docs.select("doc_id", words(F.col("text")).alias("w"))
+    base = docs.select(row_key().alias("row"), words(F.col("text")).alias("w"))
     for row in sorted(stats, key=lambda r: r["length"]):
         length = row["length"]
         mine = windows.where(F.col("length") == length)
-        hs = word_hashes(F.col("window"))
-        mine = mine.select(window_hashes(hs, F.lit(length), length)[0].alias("h"), "window", "items")
-        n = F.size("w")
-        rows = base.where(n >= length).select("doc_id", "w", F.posexplode(window_hashes(word_hashes(F.col("w")), n, length)).alias("position", "h"))
+        mine = mine.select(F.xxhash64(*(F.get("window", F.lit(k)) for k in range(length))).alias("h"), "window", "items")
+        spots = base.where(F.size("w") >= length).select("row", "w", F.posexplode("w").alias("position", "word")).where(F.col("position") <= F.size("w") - length)
+        rows = spots.select("row", "w", "position", F.xxhash64("word", *(F.get("w", F.col("position") + k) for k in range(1, length))).alias("h"))
         here = F.slice("w", F.col("position") + 1, length)
         if row["count"] <= BROADCAST_WINDOWS:
             met = rows.join(F.broadcast(mine), "h").where(here == F.col("window"))
         else:  # shuffles carry the window, not the text
-            met = rows.select("doc_id", "position", "h", here.alias("here")).join(mine, "h").where("here = window")
-        met = met.select("doc_id", "position", F.lit(length).alias("length"), "items")
+            met = rows.select("row", "position", "h", here.alias("here")).join(mine, "h").where("here = window")
+        met = met.select("row", "position", F.lit(length).alias("length"), "items")
         found = met if found is None else found.unionByName(met)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], f"doc_id long, position int, length int, items array<{benchmark.schema[item_id].dataType.simpleString()}>")
+        found = docs.sparkSession.createDataFrame([], f"row long, position int, length int, items array<{benchmark.schema[item_id].dataType.simpleString()}>")
     return found
 
 
 def by_document(found: DataFrame) -> DataFrame:
-    """(doc_id, hit_words, item_ids): the distinct positions of hit words, ascending, and the items."""
+    """(row, hit_words, item_ids): the distinct positions of hit words, ascending, and the items."""
     # a window's place says its length and items: gathered once for each place of a document
-    got = found.groupBy("doc_id").agg(F.collect_set(F.struct("position", "length")).alias("p"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
+    got = found.groupBy("row").agg(F.collect_set(F.struct("position", "length")).alias("p"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
     spots = F.flatten(F.transform("p", lambda x: F.sequence(x["position"], x["position"] + x["length"] - 1)))
-    return got.select("doc_id", F.array_sort(F.array_distinct(spots)).alias("hit_words"), "item_ids")
+    return got.select("row", F.array_sort(F.array_distinct(spots)).alias("hit_words"), "item_ids")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents that no window occurs in."""
-    return docs.join(hits(docs, benchmark, size).select("doc_id").distinct(), "doc_id", "left_anti")
+    found = hits(docs, benchmark, size).select(F.col("row").alias("_row")).distinct()
+    return docs.join(found, row_key() == F.col("_row"), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
@@ -111,15 +95,16 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Dat
     got = by_document(hits(docs, benchmark, size))
     kept = F.filter(F.split(F.col("text"), "(?<=[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?=[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"), lambda w: w != "")
     first = F.when(F.col("text").rlike("^[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"), 1).otherwise(0)
-    rest = F.array_join(F.filter(kept, lambda w, i: ~F.array_contains("hit_words", i - first)), "")
-    return docs.join(got.select("doc_id", "hit_words"), "doc_id", "left").withColumn("text", F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(rest)).drop("hit_words")
+    rest = F.array_join(F.filter(kept, lambda w, i: ~F.array_contains("_hit", i - first)), "")
+    joined = docs.join(got.select(F.col("row").alias("_row"), F.col("hit_words").alias("_hit")), row_key() == F.col("_row"), "left")
+    return joined.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(rest)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """One row a document: n_words, n_hit, n_items, items_sha256, contaminated."""
     got = by_document(hits(docs, benchmark, size))
     ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
-    joined = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(got, "doc_id", "left")
+    joined = docs.select("doc_id", row_key().alias("row"), F.size(words(F.col("text"))).cast("long").alias("n_words")).join(got, "row", "left")
     return joined.select(
         "doc_id",
         "n_words",

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from curio.llm import common
 
 DOMAINS = ("clean", "low", "toxic")
-#: Default target weights; the tokens to reach are as many as leave no domain to be repeated.
-TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
+#: Default target weights; the tokens to reach are as many as keep the domain of most weight as it is.
+TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
 #: Bound of the fitting sample, in rows of each domain, and of the broadcast weights, in rows.
 SAMPLE_ROWS, BUCKETS = 3_000, 1 << 18
 _STEPS, _CLOSE, _UNIT = 60, 1e-4, 1000
@@ -65,7 +65,8 @@ def weights(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, smoothi
     alls = sum(share.values())
     import math
 
-    priors = [math.log((share.get(k, 0) + (1.0 if k == 0 else 1e-3)) / (alls + 1.0)) for k in range(len(DOMAINS))]
+    # a domain that no row is labelled with is left out
+    priors = [math.log((share.get(k, 0) + (k == 0)) / (alls + 1.0)) if share.get(k, 0) or k == 0 else -60.0 for k in range(len(DOMAINS))]
     return table.select("b", *((x - mean).alias(f"w{k}") for k, x in enumerate(logs))), priors
 
 
@@ -91,7 +92,7 @@ def _rate(steps: list[list[float]]) -> Column:
 
 
 def fit(members: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None) -> DataFrame:
-    """``members`` with ``rate``.  ``tokens``: expected tokens of the mix; by default the most that no domain is repeated for."""
+    """``members`` with ``rate``.  ``tokens``: expected tokens of the mix; by default so many that the domain of most weight keeps its own."""
     ks = range(len(DOMAINS))
     weight = [(targets or TARGETS).get(d, 0.0) for d in DOMAINS]
     weight = [w / sum(weight) for w in weight]
@@ -102,8 +103,11 @@ def fit(members: DataFrame, targets: dict[str, float] | None = None, tokens: flo
         return [float(x or 0) / _UNIT for x in found]
 
     now = totals([])
+    weight = [w if n > 0 else 0.0 for w, n in zip(weight, now, strict=True)]
+    weight = [w / (sum(weight) or 1.0) for w in weight]
     if tokens is None:
-        tokens = min((n / w for n, w in zip(now, weight, strict=True) if w > 0 and n > 0), default=0.0)
+        lead = max(ks, key=lambda k: weight[k])
+        tokens = now[lead] / weight[lead] if weight[lead] else 0.0
     target = [w * tokens for w in weight]
     steps: list[list[float]] = []
     have = now

@@ -164,6 +164,8 @@ _DOTS = re.compile(_HIDDEN_DOT, re.IGNORECASE)
 _SPOKEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_HIDDEN_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _HINT = re.compile(rf"[\[({{<]\s?(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s?[\])}}>]|\s{_DOT_WORD}\s", re.IGNORECASE)
 _REACH = 120
+# Last labels that make plain words ("jane at example dot com") an address.
+_LAST_LABELS = frozenset("com org net edu gov mil int info biz name pro dev app io ai co me tv cc us uk eu de fr es it nl be ch at dk se no fi pl cz pt gr ie ru ua tr br mx ar cl ca au nz jp cn kr in za example test invalid local".split())
 
 
 def at_dot(tape: Tape) -> None:
@@ -176,6 +178,8 @@ def at_dot(tape: Tape) -> None:
         dots = list(_DOTS.finditer(text, right.start(), right.end()))
         if not m["closed"] and not dots:
             continue
+        if m["word"] and right[0].rsplit(None, 1)[-1].rpartition(".")[2].lower() not in _LAST_LABELS:
+            continue
         low = max(done, m.start() - _REACH)
         if not (left := _SPOKEN_LOCAL.search(text, low, m.start())):
             continue
@@ -254,7 +258,8 @@ def digests(found: DataFrame) -> DataFrame:
 
     base = F.filter("spans", lambda s: ~s["disguised"])
     one = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    number = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [number(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, one), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", one), ",").alias("spans"), F.size(F.filter("spans", lambda s: s["disguised"])).cast("long").alias("n_disguised"))
 
 

@@ -1,11 +1,13 @@
 """The numbered queries, by name."""
 
-from curio.llm import decontam, jaccard, kn_lm, mixing, pii, quality, token_shards, toxicity
+from curio.llm import decontam, jaccard, kn_lm, mixing, nn_descent, pii, quality, suffix_dedup, token_shards, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         pii.op1_pii,
+        suffix_dedup.op2_suffix_dedup,
+        nn_descent.op3_nn_descent,
         mixing.op4_mixing,
         jaccard.op5_jaccard,
         token_shards.op6_token_shards,

@@ -387,11 +387,14 @@ def ranges(docs: DataFrame) -> DataFrame:
     """(rid, a, b): byte ranges [a, b) of repeats; rid is xxhash64(doc_id, text)."""
     named = _named(docs)
     found = common.cut(candidates(named), "suffix-candidates")
+    common.release(docs.sparkSession)
     settled = found.where(F.col("kind") == SETTLED).select("rid", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (LENGTH - 1)).alias("b"))
     fetched = found.where(F.col("kind") != SETTLED).distinct()
     # equal rows fetch their text once
     once = _pack(named).dropDuplicates(["rid"])
-    return settled.unionByName(settle(once, fetched))
+    sorted_ = common.cut(settle(once, fetched), "suffix-ranges")
+    common.release(docs.sparkSession)
+    return settled.unionByName(sorted_)
 
 
 def _named(docs: DataFrame) -> DataFrame:
