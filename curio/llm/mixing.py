@@ -30,7 +30,7 @@ DOMAINS = ("clean", "low", "toxic")
 #: Default target weights; the tokens to reach are as many as keep the domain of most weight as it is.
 TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
 #: Bound of the fitting sample, in rows of each domain, and of the broadcast weights, in rows.
-SAMPLE_ROWS, BUCKETS = 3_000, 1 << 18
+SAMPLE_ROWS, BUCKETS, SHAPES = 3_000, 1 << 18, 1 << 12
 _STEPS, _CLOSE, _UNIT = 60, 1e-4, 1000
 
 
@@ -42,13 +42,18 @@ def domain(labels: DataFrame) -> DataFrame:
 
 
 def _buckets(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row for each word and each word's shape."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[a-z\\u00df-\\u024f]+", "a"), "[A-Z\\u00c0-\\u00de]+", "A"), "[0-9]+", "0")
-    word = lambda t: F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    plain = F.transform(word(F.lower(text)), lambda w: F.xxhash64(F.regexp_replace(w, "[^\\p{L}]+$", "")))
-    shapes = F.transform(word(shape), lambda w: F.xxhash64(w, F.lit(1)))
-    return docs.select(*keep, F.explode_outer(F.concat(plain, shapes)).alias("h")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
+    """A row for each word (one without for a text without words): the bucket of the word and that of its shape.
+
+    The shape is the word's ending of two characters and whether it has capitals.  All of it is generated
+    code; no lambda is run for a word.
+    """
+    text = F.replace(F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
+    w = docs.select(*keep, F.explode(F.split(text, " ")).alias("w"))
+    lower = F.lower("w")
+    word = F.pmod(F.xxhash64(F.rtrim(lower, F.lit(".,;:!?"))), F.lit(BUCKETS))
+    shape = F.pmod(F.xxhash64(F.substring("w", -2, 2), lower == F.col("w")), F.lit(SHAPES)) + BUCKETS
+    some = F.col("w") != ""
+    return w.select(*keep, F.when(some, word).alias("b"), F.when(some, shape).alias("s"))
 
 
 def weights(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, smoothing: float = 4.0) -> tuple[DataFrame, list[float]]:
@@ -57,7 +62,7 @@ def weights(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, smoothi
     share = {r["k"]: r["n"] for r in known.groupBy("k").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id", F.lit(4))
     sample = reduce(DataFrame.unionByName, (known.where(F.col("k") == k).orderBy(order, "doc_id").limit(rows) for k in range(len(DOMAINS))))
-    counts = _buckets(docs.join(F.broadcast(sample), "doc_id"), "k").where("b is not null")
+    counts = _buckets(docs.join(F.broadcast(sample), "doc_id"), "k").select("k", F.explode(F.array("b", "s")).alias("b")).where("b is not null")
     table = common.cut(counts.groupBy("b").agg(*(F.count(F.when(F.col("k") == k, 1)).alias(f"n{k}") for k in range(len(DOMAINS)))), "mixing-counts")
     total = table.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in range(len(DOMAINS)))).first()
     logs = [F.log((F.col(f"n{k}") + smoothing * (total[k] + 1.0) / (max(total) + 1.0)) / F.lit(total[k] + 1.0)) for k in range(len(DOMAINS))]
@@ -73,8 +78,10 @@ def weights(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, smoothi
 def memberships(docs: DataFrame, table: DataFrame, priors: list[float]) -> DataFrame:
     """(doc_id, n_tokens, p0, p1, ...) of every document."""
     ks = range(len(DOMAINS))
-    scored = _buckets(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(table), "b", "left")
-    sums = scored.groupBy("doc_id").agg(F.count("h").alias("units"), *(F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in ks))
+    shapes = table.where(F.col("b") >= BUCKETS).select(F.col("b").alias("s"), *(F.col(f"w{k}").alias(f"v{k}") for k in ks))
+    scored = _buckets(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(table.where(F.col("b") < BUCKETS)), "b", "left").join(F.broadcast(shapes), "s", "left")
+    one = lambda k: F.coalesce(f"w{k}", F.lit(0.0)) + F.coalesce(f"v{k}", F.lit(0.0))
+    sums = scored.groupBy("doc_id").agg((2 * F.count("b")).alias("units"), *(F.sum(one(k)).alias(f"s{k}") for k in ks))
     logit = [F.col(f"s{k}") / F.sqrt(F.greatest(F.col("units"), F.lit(1))) + F.lit(priors[k]) for k in ks]
     top = F.greatest(*logit)
     sums = sums.select("doc_id", (F.col("units") / 2).cast("long").alias("n_tokens"), *(F.exp(x - top).alias(f"e{k}") for k, x in zip(ks, logit, strict=True)))
