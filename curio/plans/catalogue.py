@@ -1,4 +1,509 @@
-"""Queries over the driver's tables, one or more for each operator, with their SQL."""
+"""Queries over the driver's tables, one or more for each operator, with their SQL.
+
+The tables hold no catalogue data, so each operator runs on a stand-in: items are ``part`` or
+``documents``, child lists ``conversations``, natural keys ``pages.url``, raw JSON ``events.props``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curio import schemas
+from curio.functions import dates, text
+from curio.operators import collections, derive, load, serve
+from curio.sources import extract, raw
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def _images(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as items."""
+    url = F.concat(F.lit("http://host/"), F.col("p_partkey"), F.lit(".jpg"))
+    return _read(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_type").alias("style"), url.alias("image_url"))
+
+
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+DEFINITIONS = [
+    {"id": 1, "title": "Ones and twos", "index_art": "e", "artists": ["Brand#1", "brand#2_"]},
+    {"id": 2, "title": "Threes", "index_art": "o", "artists": ["rand#3%", "#1"]},
+    {"id": 3, "title": "None", "index_art": "a", "artists": ["no such brand"]},
+]
+_MEMBERS = f"""
+SELECT CAST(c AS BIGINT) AS collection_id, CAST(p_partkey AS BIGINT) AS image_id FROM part, (VALUES (1, '%brand#1%'), (1, '%brand#2_%'), (2, '%rand#3%%'), (2, '%#1%'), (3, '%no such brand%')) t(c, p)
+WHERE {_FOLD.format('p_brand')} LIKE p GROUP BY 1, 2"""
+
+
+@_query(f"""
+WITH m AS ({_MEMBERS}), d AS (SELECT * FROM (VALUES (1, 'Ones and twos', '%e%'), (2, 'Threes', '%o%'), (3, 'None', '%a%')) t(id, title, p)),
+i AS (SELECT d.id, d.title, min(p_partkey) AS k FROM d JOIN part ON {_FOLD.format('p_name')} LIKE d.p GROUP BY 1, 2)
+SELECT CAST(i.id AS BIGINT) AS id, i.title, '/public/images/' || k || '.800.jpg' AS image_url, CAST((SELECT count(*) FROM m WHERE m.collection_id = i.id) AS VARCHAR) AS "count" FROM i
+UNION ALL SELECT 9999, 'Random', NULL, '400000~'""")
+def collection_list(spark: SparkSession, sf: str) -> DataFrame:
+    images = _images(spark, sf)
+    table, members = collections.build(images, DEFINITIONS)
+    return collections.with_random(collections.listing(table, images, members)).select("id", "title", "image_url", "count")
+
+
+@_query(_MEMBERS)
+def like_any_membership(spark, sf):
+    return collections.members(_images(spark, sf), {d["id"]: d["artists"] for d in DEFINITIONS})
+
+
+@_query(f"SELECT CAST(p_partkey AS BIGINT) AS id FROM part WHERE {_FOLD.format('p_brand')} LIKE '%#1%' OR {_FOLD.format('p_brand')} LIKE '%d#_2%'")
+def pattern_union(spark, sf):
+    return collections.union_of(_images(spark, sf), ["#1", "D#_2"]).select("id")
+
+
+@_query(f"""WITH m AS ({_MEMBERS}) SELECT collection_id, image_id FROM m WHERE collection_id <> 2
+UNION ALL SELECT 2, CAST(p_partkey AS BIGINT) FROM part WHERE {_FOLD.format('p_type')} LIKE '%steel%'""")
+def replace_collection(spark, sf):
+    images = _images(spark, sf)
+    old = collections.members(images, {d["id"]: d["artists"] for d in DEFINITIONS})
+    return collections.replace_members(old, collections.members(images, {2: ["STEEL"]}, "style"), [2])
+
+
+@_query(f"SELECT CAST(p_partkey AS BIGINT) AS id, p_type AS style FROM part WHERE {_FOLD.format('p_type')} LIKE '%e_l%'")
+def style_filter(spark, sf):
+    return serve.by_style(_images(spark, sf), "E_l").select("id", "style")
+
+
+@_query(f"WITH m AS ({_MEMBERS}) SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS title FROM part WHERE p_partkey IN (SELECT image_id FROM m WHERE collection_id = 2)")
+def collection_images(spark, sf):
+    images = _images(spark, sf)
+    return serve.by_collection(images, collections.members(images, {d["id"]: d["artists"] for d in DEFINITIONS}), 2).select("id", "title")
+
+
+@_query("""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part), c AS (SELECT count(*) AS c FROM part),
+b AS (SELECT DISTINCT CAST(floor(epoch(ts) / 60) AS BIGINT) AS bucket FROM events)
+SELECT bucket, CAST(p_partkey AS BIGINT) AS id FROM b, c, r WHERE r.n = (bucket * 48271) % c.c""")
+def random_pick_minute(spark, sf):
+    images = serve.ranked(_images(spark, sf)).select("id", "n")
+    buckets = _read(spark, sf, "events").select(serve.minute_bucket(F.col("ts")).alias("bucket")).distinct()
+    n = images.count()
+    return buckets.withColumn("n", F.pmod(F.col("bucket") * 48271, F.lit(n))).join(images, "n").select("bucket", "id")
+
+
+@_query("SELECT CAST(min(p_partkey) AS BIGINT) AS id FROM part WHERE translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%a%e%'")
+def first_by_pk(spark, sf):
+    return collections.index_image(_images(spark, sf), "A%e").select("id")
+
+
+@_query("SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderstatus FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 5000")
+def keyset_page(spark, sf):
+    return serve.page_after(_read(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("id"), "o_orderstatus"), 1000)
+
+
+@_query("SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS title FROM part ORDER BY p_partkey LIMIT 1 OFFSET 17")
+def offset_page(spark, sf):
+    return _images(spark, sf).orderBy("id").offset(17).limit(1).select("id", "title")
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT p_partkey) AS BIGINT) AS n_ids, CAST(count(*) FILTER (p_size > 25) AS BIGINT) AS n_large FROM part")
+def counts(spark, sf):
+    p = _read(spark, sf, "part")
+    return p.agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("n_ids"), F.count(F.when(F.col("p_size") > 25, 1)).alias("n_large"))
+
+
+@_query("SELECT d.doc_id, d.source FROM documents d WHERE d.text IS NOT NULL AND d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)")
+def license_gate(spark, sf):
+    free = _read(spark, sf, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
+    return _read(spark, sf, "documents").where(F.col("text").isNotNull()).join(free, "doc_id", "left_semi").select("doc_id", "source")
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type FROM events")
+def json_extract(spark, sf):
+    parsed = F.from_json("props", "k int")
+    return _read(spark, sf, "events").select("event_id", parsed["k"].alias("k"), "event_type")
+
+
+_AUTHOR = "name_raw string, role_raw string"
+
+
+@_query("SELECT conv_id, CAST(turn AS INTEGER) AS position, text AS name_raw, nullif(role, '') AS role_raw FROM conversations WHERE text <> ''")
+def json_roundtrip_artists(spark, sf):
+    c = _read(spark, sf, "conversations").where("text <> ''")
+    lists = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("name_raw"), text.present(F.col("role")).alias("role_raw")))).alias("a"))
+    stored = lists.select("conv_id", F.to_json(F.transform("a", lambda x: F.struct(x["name_raw"].alias("name_raw"), x["role_raw"].alias("role_raw")))).alias("j"))
+    return stored.select("conv_id", F.posexplode(F.from_json("j", f"array<struct<{_AUTHOR.replace(' string', ':string')}>>")).alias("position", "x")).select("conv_id", "position", "x.*")
+
+
+@_query("""WITH z AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, role, CAST(turn AS VARCHAR) AS id FROM conversations WHERE role <> 'user') SELECT * FROM z""")
+def zip_arrays(spark, sf):
+    """Names and ids zipped by their first places, then named ones kept."""
+    c = _read(spark, sf, "conversations")
+    lists = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("a"))
+    names = F.transform("a", lambda x: F.when(x["role"] == "user", "").otherwise(x["role"]))
+    ids = F.transform("a", lambda x: x["turn"])
+    zipped = F.filter(F.arrays_zip(names.alias("role"), ids.alias("id")), lambda x: x["role"] != "")
+    return lists.select("conv_id", F.posexplode(zipped).alias("position", "x")).select("conv_id", "position", F.col("x.role").alias("role"), F.col("x.id").cast("string").alias("id"))
+
+
+@_query("SELECT page_id, url || '?' || i AS source_url, CAST(i AS INTEGER) AS item FROM pages, range(0, 3) t(i) WHERE i < page_id % 4")
+def explode_visual_urls(spark, sf):
+    p = _read(spark, sf, "pages").withColumn("visuals", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: i < F.pmod("page_id", F.lit(4))))
+    free = p.withColumn("visuals", F.slice(F.filter("visuals", lambda v: v), 1, 3))
+    return free.select("page_id", "url", F.posexplode("visuals").alias("item", "v")).select("page_id", F.concat("url", F.lit("?"), "item").alias("source_url"), "item")
+
+
+@_query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&')) AS plain FROM pages""")
+def unescape_html(spark, sf):
+    return _read(spark, sf, "pages").select("page_id", F.md5(text.unescape_html(F.col("html"))).alias("plain"))
+
+
+@_query("SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN o_orderkey % 5 = 0 THEN CAST(-(o_orderkey % 1000) AS INTEGER) END AS bce FROM orders")
+def year_prefix(spark, sf):
+    o = _read(spark, sf, "orders")
+    bce = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" -"), F.col("o_orderkey") % 1000, F.lit("-01-02"))).otherwise("none")
+    return o.select("o_orderkey", text.year(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("year"), text.year(bce).alias("bce"))
+
+
+@_query("SELECT doc_id, nullif(lang, '') AS lang, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS id FROM documents")
+def present(spark, sf):
+    d = _read(spark, sf, "documents")
+    return d.select("doc_id", text.present(F.col("lang")).alias("lang"), text.present(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("doc_id").cast("string"))).alias("id"))
+
+
+@_query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 4 = 1 THEN '["' || url || '"]' ELSE '["' || url || '","u' || page_id || '"]' END AS urls FROM pages""")
+def authority_urls(spark, sf):
+    k = F.pmod("page_id", F.lit(4))
+    urls = F.array(F.when(k > 0, F.col("url")), F.lit(""), F.when(k > 0, F.col("url")), F.when(k > 1, F.concat(F.lit("u"), F.col("page_id"))))
+    return _read(spark, sf, "pages").select("page_id", text.authority_urls(urls).alias("urls"))
+
+
+@_query("SELECT source, string_agg(lang, ',' ORDER BY lang) AS langs FROM (SELECT DISTINCT source, lang FROM documents WHERE lang IS NOT NULL) GROUP BY source")
+def join_texts(spark, sf):
+    d = _read(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("l"))
+    return d.select("source", text.joined(F.col("l"), ",").alias("langs"))
+
+
+# ---- dates: texts made of the order's year, so that the answer is arithmetic
+
+_Y = "CAST(year(o_orderdate) AS INTEGER)"
+_DATES: dict[str, tuple] = {
+    # name: (text of y and k, start, end, precision) in SQL that Spark and DuckDB share; k is the key modulo 50
+    "date_exact": ("concat('July ', k % 28 + 1, ', ', y)", "y", "y", "'exact'"),
+    "date_circa": ("concat('c. ', y)", "y", "y", "'circa'"),
+    "date_decade": ("concat(y - y % 10, 's')", "y - y % 10", "y - y % 10 + 9", "'decade'"),
+    "date_century": ("concat(k % 20 + 1, 'th century')", "(k % 20) * 100 + 1", "(k % 20 + 1) * 100", "'century'"),
+    "date_before": ("concat('Not after ', y)", "NULL", "y", "'before'"),
+    "date_after": ("concat('après ', y)", "y", "NULL", "'after'"),
+    "date_range": ("concat(y, '–', y + k)", "y", "y + k", "'range'"),
+    "date_abbrev": ("concat(y - 100, '/', y - y % 100 - 100 + 99)", "y - 100", "y - y % 100 - 100 + 99", "'range'"),
+    "date_bce": ("concat(k * 10 + 100, ' BCE')", "-(k * 10 + 100)", "-(k * 10 + 100)", "'exact'"),
+    "date_iso": ("concat('after ', y, '-05-01 - c. ', y + k)", "y", "y + k", "'circa'"),
+    "date_ongoing": ("concat(y, '-ongoing')", "y", "NULL", "'after'"),
+}
+
+
+def _date_query(name: str, made: str, start: str, end: str, precision: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        o = _read(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), (F.col("o_orderkey") % 50).cast("int").alias("k"))
+        parsed = dates.parse(o.select("o_orderkey", F.expr(made).alias("date")), "date")
+        return parsed.select("o_orderkey", F.col("parsed.start").alias("date_start"), F.col("parsed.end").alias("date_end"), F.col("parsed.precision").alias("date_precision"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"""WITH o AS (SELECT o_orderkey, {_Y} AS y, CAST(o_orderkey % 50 AS INTEGER) AS k FROM orders)
+SELECT o_orderkey, CAST({start} AS INTEGER) AS date_start, CAST({end} AS INTEGER) AS date_end, {precision} AS date_precision FROM o"""
+
+
+for _name, _spec in _DATES.items():
+    _date_query(_name, *_spec)
+
+
+def _dated(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as items with a date text, years of the source and a hint, by the key modulo 8."""
+    k, y = F.col("o_orderkey") % 8, F.year("o_orderdate")
+    o = _read(spark, sf, "orders")
+    return o.select(
+        F.col("o_orderkey").cast("long").alias("id"),
+        F.when(k == 0, "parismusees").when(k == 1, "aic").otherwise("met").alias("source"),
+        F.when(k == 0, F.concat(y, F.lit("-"), y + 9)).when(k == 1, F.concat(F.lit("c. "), y)).when(k == 2, y.cast("string")).when(k == 3, F.concat(F.lit("before "), y)).when(k == 4, "Edo period").when(k == 5, "n.d.").when(k == 6, F.concat(y - y % 100, F.lit("s"))).otherwise(None).alias("date"),
+        F.when(k == 4, None).when(k == 7, None).when(k == 2, y + 5).when(k == 5, y + 3).when(k == 6, y - y % 100).otherwise(y).alias("date_raw_start"),
+        F.when(k == 0, y + 9).when(k == 1, y + 4).when(k == 2, y + 7).when(k == 4, y).when(k == 5, y).when(k == 6, y - y % 100 + 99).otherwise(None).alias("date_raw_end"),
+        F.when(k == 0, " Vers ").when(k == 1, "C. about").otherwise(None).alias("date_raw_precision"),
+    )
+
+
+_RESOLVED = f"""WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderkey % 8 AS k, {_Y} AS y FROM orders)
+SELECT id, CAST(CASE k WHEN 4 THEN NULL WHEN 7 THEN NULL WHEN 5 THEN y + 3 WHEN 6 THEN y - y % 100 ELSE y END AS INTEGER) AS date_start,
+CAST(CASE k WHEN 0 THEN y + 9 WHEN 1 THEN y + 4 WHEN 2 THEN y WHEN 3 THEN y WHEN 4 THEN y WHEN 5 THEN y + 3 WHEN 6 THEN y - y % 100 + 99 END AS INTEGER) AS date_end,
+CASE k WHEN 0 THEN 'circa' WHEN 1 THEN 'circa' WHEN 2 THEN 'exact' WHEN 3 THEN 'before' WHEN 4 THEN 'before' WHEN 5 THEN 'exact' WHEN 6 THEN 'century' ELSE 'unknown' END AS date_precision FROM o"""
+
+
+@_query(_RESOLVED)
+def date_resolve(spark, sf):
+    return dates.resolve(_dated(spark, sf)).select("id", "date_start", "date_end", "date_precision")
+
+
+@_query(f"SELECT date_precision, CAST(count(*) AS BIGINT) AS n FROM ({_RESOLVED}) GROUP BY 1 ORDER BY n DESC, 1")
+def precision_histogram(spark, sf):
+    return load.histogram(load.image_dates(_dated(spark, sf)), "date_precision")
+
+
+@_query(f"""WITH r AS ({_RESOLVED}) SELECT id AS image_id, date_start, date_end, date_precision, CASE WHEN id % 8 IN (1, 3) THEN 'new' ELSE 'old' END AS rule_version FROM r""")
+def upsert_dates(spark, sf):
+    images = _dated(spark, sf).withColumn("source", F.when(F.col("id") % 8 == 3, "aic").otherwise(F.col("source")))
+    return load.upsert_dates(load.image_dates(images, "old"), images, ["aic"], "new")
+
+
+# ---- load
+
+_OLD = "SELECT *, CAST(doc_id + 1 AS BIGINT) AS id FROM documents WHERE doc_id % 10 < 8"
+_UPSERTED = """WITH n AS (SELECT doc_id FROM documents WHERE doc_id % 10 >= 2), m AS (SELECT max(doc_id) + 1 AS m FROM documents WHERE doc_id % 10 < 8),
+f AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE doc_id % 10 >= 8)
+SELECT CASE WHEN d.doc_id % 10 < 8 THEN CAST(d.doc_id + 1 AS BIGINT) ELSE CAST(m.m + f.r AS BIGINT) END AS id, d.doc_id,
+CASE WHEN d.doc_id % 10 < 2 THEN NULL WHEN d.doc_id % 10 >= 8 THEN 'inserted' WHEN d.doc_id % 10 IN (3, 5) THEN 'updated' ELSE 'unchanged' END AS result,
+CASE WHEN d.doc_id % 10 < 8 THEN 'then' ELSE 'now' END AS first_seen_at, CASE WHEN d.doc_id % 10 >= 8 OR d.doc_id % 10 IN (3, 5) THEN 'now' ELSE 'then' END AS updated_at,
+CASE WHEN d.doc_id % 10 = 5 THEN NULL WHEN d.doc_id % 10 = 3 THEN d.lang || '!' ELSE d.lang END AS lang
+FROM documents d CROSS JOIN m LEFT JOIN f ON f.doc_id = d.doc_id"""
+_COLUMNS = ("doc_id", "lang", "source", "text")
+
+
+def _upserted(spark: SparkSession, sf: str) -> DataFrame:
+    d = _read(spark, sf, "documents").select(*_COLUMNS)
+    k = F.col("doc_id") % 10
+    old = d.where(k < 8).select((F.col("doc_id") + 1).alias("id"), *_COLUMNS, F.lit("then").alias("first_seen_at"), F.lit("then").alias("updated_at"))
+    lang = F.when(k == 3, F.concat("lang", F.lit("!"))).when(k != 5, F.col("lang"))
+    new = d.where(k >= 2).withColumn("lang", lang).withColumn("n", F.lit(2))
+    # an earlier record of the same keys in the same run: the last one's values count
+    both = new.unionByName(new.where(k == 4).withColumn("lang", F.lit("first")).withColumn("n", F.lit(1)))
+    return load.upsert(old, both, "doc_id", _COLUMNS, F.lit("now"), ["n", "doc_id"])
+
+
+@_query(_UPSERTED)
+def upsert_images(spark, sf):
+    return _upserted(spark, sf).select("id", "doc_id", "result", "first_seen_at", "updated_at", "lang")
+
+
+@_query(f"""SELECT CAST(count(*) FILTER (result = 'inserted') AS BIGINT) AS inserted, CAST(count(*) FILTER (result = 'updated') AS BIGINT) AS updated,
+CAST(count(*) FILTER (result = 'unchanged') AS BIGINT) AS unchanged, CAST(count(result) AS BIGINT) AS total FROM ({_UPSERTED})""")
+def upsert_stats(spark, sf):
+    return load.load_stats(_upserted(spark, sf))
+
+
+@_query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def last_wins_dedupe(spark, sf):
+    e = _read(spark, sf, "events")
+    return raw.last_wins(e.select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@_query("SELECT 'e' AS source, CAST(event_id % 500 AS VARCHAR) AS key, max_by(CAST(event_id AS VARCHAR), event_id) AS value FROM events GROUP BY 2 UNION ALL SELECT 'e', 'x' || r_regionkey, r_name FROM region")
+def raw_put(spark, sf):
+    regions = _read(spark, sf, "region").select(F.lit("e").alias("source"), F.concat(F.lit("x"), "r_regionkey").alias("key"), F.col("r_name").alias("value"))
+    stale = spark.range(500).select(F.lit("e").alias("source"), F.col("id").cast("string").alias("key"), F.lit("stale").alias("value"))
+    e = _read(spark, sf, "events").select(F.lit("e").alias("source"), (F.col("event_id") % 500).cast("string").alias("key"), F.col("event_id").cast("string").alias("value"), "event_id")
+    return raw.put(regions.unionByName(stale.join(e, ["source", "key"], "left_semi")), e, ["event_id"])
+
+
+_SYNCED = """WITH c AS (SELECT conv_id, CAST(turn AS INTEGER) AS position, CASE WHEN conv_id % 3 = 1 AND turn = 0 THEN upper(text) ELSE text END AS name_raw, conv_id * 100 + turn AS id,
+CASE WHEN conv_id % 3 = 2 THEN NULL WHEN conv_id % 3 = 1 AND turn = 0 AND upper(text) IS DISTINCT FROM text THEN 'updated' ELSE 'unchanged' END AS result, conv_id % 3 AS k, turn FROM conversations)
+SELECT id, conv_id, position, md5(name_raw) AS name, result, 'bucket' AS role_bucket FROM c WHERE NOT (k = 0 AND turn >= 2)"""
+
+
+@_query(_SYNCED)
+def sync_artists(spark, sf):
+    c = _read(spark, sf, "conversations").select("conv_id", F.col("turn").cast("int").alias("position"), F.col("text").alias("name_raw"))
+    old = c.select((F.col("conv_id") * 100 + F.col("position")).alias("id"), "conv_id", "position", "name_raw", F.lit("bucket").alias("role_bucket"))
+    k = F.col("conv_id") % 3
+    new = c.where((k == 1) | ((k == 0) & (F.col("position") < 2))).withColumn("name_raw", F.when((k == 1) & (F.col("position") == 0), F.upper("name_raw")).otherwise(F.col("name_raw")))
+    touched = c.where(k != 2).select("conv_id").distinct()
+    out = load.sync_children(old, touched, new, ("name_raw",), parent="conv_id")
+    return out.select("id", "conv_id", "position", F.md5("name_raw").alias("name"), "result", "role_bucket")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def incremental_anti(spark, sf):
+    known = _read(spark, sf, "customer").where("c_acctbal > 0").select(F.lit("c").alias("source"), F.col("c_custkey").cast("string").alias("key"))
+    wanted = _read(spark, sf, "orders").select("o_orderkey", F.lit("c").alias("source"), F.col("o_custkey").cast("string").alias("key"))
+    return raw.missing(known, wanted).select("o_orderkey")
+
+
+@_query("SELECT doc_id, CAST(row_number() OVER (ORDER BY source, doc_id) + 100 AS BIGINT) AS id FROM documents")
+def allocate_ids(spark, sf):
+    return load.allocate_ids(_read(spark, sf, "documents").select("source", "doc_id"), ["source", "doc_id"], 100).select("doc_id", "id")
+
+
+@_query("SELECT CAST(turn AS INTEGER) AS turn, CAST(count(*) AS BIGINT) AS n FROM conversations WHERE conv_id % 4 <> 0 GROUP BY 1")
+def cascade_delete(spark, sf):
+    c = _read(spark, sf, "conversations").select(F.col("conv_id").alias("image_id"), F.col("turn").cast("int").alias("turn"))
+    parents = c.select(F.col("image_id").alias("id")).distinct().where("id % 4 <> 0")
+    return schemas.cascade({"images": parents, "image_artists": c})["image_artists"].groupBy("turn").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT 'image_artists' AS \"table\", 'unique image_id, position' AS rule, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) HAVING count(*) > 0")
+def constraint_faults(spark, sf):
+    rows = _read(spark, sf, "lineitem").select(F.monotonically_increasing_id().alias("id"), F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("position"), F.col("l_returnflag").alias("name_raw"))
+    return schemas.faults({"image_artists": rows})
+
+
+# ---- derived layers
+
+
+@_query("SELECT c_custkey AS image_artist_id, 'ja' AS lang, c_mktsegment AS name, 'source' AS method, c_name AS name_original FROM customer WHERE c_custkey % 3 = 0")
+def seed_names(spark, sf):
+    c = _read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name_raw"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("name_original_language"))
+    return derive.seed_names(c, "ja", F.lit("now")).select("image_artist_id", "lang", "name", "method", "name_original")
+
+
+def _names(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    artists = _read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name_raw"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("name_original_language"))
+    seeded = derive.put_seed(schemas.empty(spark, "image_artist_names"), artists, "ja", F.lit("now"))
+    csv = artists.select("name_raw").distinct().select("name_raw", F.lower("name_raw").alias("name"), F.lit("high").alias("confidence"), F.lit("llm").alias("method")).where("name_raw <> 'MACHINERY'")
+    return artists, derive.apply_names(seeded, artists, csv, "ja", F.lit("now"))
+
+
+@_query("""SELECT c_custkey AS image_artist_id, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE lower(c_mktsegment) END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'source' ELSE 'llm' END AS method
+FROM customer WHERE c_custkey % 3 = 0 OR c_mktsegment <> 'MACHINERY'""")
+def apply_names_protected(spark, sf):
+    return _names(spark, sf)[1].select("image_artist_id", "name", "method")
+
+
+@_query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'preferred' WHEN c_custkey % 3 = 0 THEN c_name WHEN c_mktsegment <> 'MACHINERY' THEN lower(c_mktsegment) ELSE c_mktsegment END AS display_name FROM customer")
+def display_name(spark, sf):
+    artists, names = _names(spark, sf)
+    preferred = artists.where("id % 7 = 0").select("id", F.lit("preferred").alias("name"))
+    return derive.display_names(artists, names, "ja", preferred)
+
+
+_TITLED = "SELECT page_id AS image_id, 'T' || page_id AS text, url AS source_text FROM pages WHERE page_id % 2 = 0"
+
+
+def _translated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    images = _read(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("source_url"), F.col("url").alias("title"))
+    csv = images.select("source_url", F.when(F.col("id") % 2 == 0, F.concat(F.lit("T"), "id")).alias("text"), F.lit("low").alias("confidence"), F.lit("manual").alias("method"))
+    return images, derive.apply_titles(schemas.empty(spark, "image_translations"), images, csv, "en", F.lit("now"))
+
+
+@_query(_TITLED)
+def apply_titles(spark, sf):
+    return _translated(spark, sf)[1].select("image_id", "text", "source_text")
+
+
+@_query(f"SELECT image_id FROM ({_TITLED}) WHERE image_id % 6 = 0")
+def stale(spark, sf):
+    images, translations = _translated(spark, sf)
+    now = images.withColumn("title", F.when(F.col("id") % 12 == 0, None).when(F.col("id") % 6 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    return derive.stale_titles(translations, now).select("image_id")
+
+
+@_query("SELECT c_custkey AS image_artist_id FROM customer WHERE (c_custkey % 3 = 0 OR c_mktsegment <> 'MACHINERY') AND c_custkey % 5 = 0")
+def stale_names(spark, sf):
+    artists, names = _names(spark, sf)
+    moved = artists.withColumn("name_raw", F.when(F.col("id") % 5 == 0, F.concat("name_raw", F.lit("?"))).otherwise(F.col("name_raw")))
+    return derive.stale_names(names, moved).select("image_artist_id")
+
+
+@_query("SELECT conv_id, CAST(turn AS INTEGER) AS turn, CASE role WHEN 'user' THEN 'asks' WHEN 'assistant' THEN 'answers' END AS role_bucket FROM conversations")
+def role_buckets(spark, sf):
+    c = _read(spark, sf, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), F.col("role").alias("role_raw"), F.lit(None).cast("string").alias("role_bucket"))
+    mapping = spark.createDataFrame([("user", "asks"), ("assistant", "answers")], "role_raw string, role_bucket string")
+    return derive.bucket_roles(c, mapping).select("conv_id", "turn", "role_bucket")
+
+
+@_query("SELECT p_partkey AS id, p_brand || '<br><strong>' || p_name || '</strong><br><small>' || '' || '<br>' || p_type || '<br>' || p_size || '</small>' AS caption, '/public/images/' || p_partkey || '.max.jpg' AS path FROM part")
+def caption(spark, sf):
+    p = _read(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"), text.caption(F.col("p_brand"), F.col("p_name"), F.lit(None), F.col("p_type"), F.col("p_size")).alias("caption"), text.image_path(F.col("p_partkey"), "max").alias("path"))
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT p_brand) AS BIGINT) AS names, CAST(count(*) / count(DISTINCT p_brand) AS DOUBLE) AS ratio FROM part")
+def entries_per_name(spark, sf):
+    p = _read(spark, sf, "part").agg(F.count("*").alias("entries"), F.count_distinct("p_brand").alias("names"))
+    return p.withColumn("ratio", F.col("entries") / F.col("names"))
+
+
+@_query("""SELECT '{"id":' || p_partkey || ',"style":"' || p_type || '"}' AS json FROM part""")
+def json_response(spark, sf):
+    return serve.as_json(_images(spark, sf).select("id", "style"))
+
+
+# ---- extraction: raw records made of the tables, taken apart again
+
+
+def _rdf(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    xml = F.concat(
+        F.lit('<rdf:RDF xmlns:rdf="r" xmlns:ore="o" xmlns:edm="e" xmlns:dc="d" xmlns:dcterms="t" xmlns:skos="s" xmlns:owl="w" xmlns:rdaGr2="g"><ore:Aggregation rdf:about="a"><edm:rights rdf:resource="'),
+        F.when(F.col("p_partkey") % 5 == 0, "closed").otherwise("http://x/publicdomain/"), F.lit('"/><edm:isShownBy rdf:resource="http://img/'), k, F.lit('"/><edm:isShownAt rdf:resource="http://at/'), k,
+        F.lit('"/></ore:Aggregation><edm:ProvidedCHO rdf:about="cho'), k, F.lit('"><dc:creator rdf:resource="ag"/><dc:creator rdf:resource="none"/><dc:title xml:lang="nl">nl</dc:title><dc:title xml:lang="en">'), F.col("p_name"),
+        F.lit('</dc:title><dc:type rdf:resource="ty"/><dcterms:created xml:lang="nl">'), F.col("p_size"), F.lit('</dcterms:created></edm:ProvidedCHO><edm:Agent rdf:about="ag"><skos:prefLabel xml:lang="nl">'), F.col("p_brand"),
+        F.lit('</skos:prefLabel><rdaGr2:dateOfBirth>1606-07-15</rdaGr2:dateOfBirth><owl:sameAs rdf:resource="u1"/><owl:sameAs rdf:resource="u1"/></edm:Agent><skos:Concept rdf:about="ty"><skos:prefLabel xml:lang="nl">x</skos:prefLabel><skos:prefLabel xml:lang="en">'),
+        F.col("p_type"), F.lit("</skos:prefLabel></skos:Concept></rdf:RDF>"),
+    )
+    records = _read(spark, sf, "part").select(F.lit("").alias("status"), F.concat(F.lit("https://id/"), k).alias("identifier"), F.lit("2024").alias("datestamp"), xml.alias("rdf_xml"))
+    return raw.from_oai(records)
+
+
+@_query("""SELECT CAST(p_partkey AS VARCHAR) AS key, 'cho' || p_partkey AS source_id, p_name AS title, p_brand AS artist, p_type AS category, CAST(p_size AS VARCHAR) AS date, 'http://at/' || p_partkey AS source_url,
+CAST(1606 AS INTEGER) AS birth_year, '["u1"]' AS authority_urls, CAST(1 AS INTEGER) AS n_artists FROM part WHERE p_partkey % 5 <> 0""")
+def rdf_extract(spark, sf):
+    r = extract.extract(_rdf(spark, sf), "rijksmuseum")
+    one = F.get("artists", F.lit(0))
+    return r.select("key", "source_id", "title", "artist", "category", "date", "source_url", one["birth_year"].alias("birth_year"), one["authority_urls"].alias("authority_urls"), F.size("artists").alias("n_artists"))
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw JSON of five sources made of parts."""
+    p = _read(spark, sf, "part").withColumn("k", F.col("p_partkey"))
+    j = lambda **f: F.to_json(F.struct(*(v.alias(n) for n, v in f.items())))
+    name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    u = lambda host: F.concat(F.lit(f"http://{host}/"), F.col("k"))
+    aic = j(id=F.col("k"), is_public_domain=F.col("k") % 3 != 0, image_id=F.when(F.col("k") % 7 != 0, name), artist_titles=F.array(brand, F.lit(""), kind), artist_ids=F.array(F.lit(1), F.lit(2), F.lit(3)), title=name, style_title=kind, date_start=F.col("p_size"))
+    met = j(objectID=F.col("k"), isPublicDomain=F.lit(True), primaryImage=F.lit(""), objectURL=u("met"), title=name, department=kind, artistDisplayName=F.concat(brand, F.lit(" &amp; Co.")), artistBeginDate=F.lit("1850"), constituents=F.array().cast("array<struct<name:string>>"))
+    media = F.array(F.struct(F.lit("Images").alias("type"), F.struct(F.lit("no").alias("access")).alias("usage"), F.lit("bad").alias("content")), F.struct(F.lit("Images").alias("type"), F.struct(F.lit("CC0").alias("access")).alias("usage"), F.lit("img").alias("content")))
+    smith = j(content=F.struct(F.struct(F.col("k").cast("string").alias("record_ID"), u("si").alias("record_link"), F.struct(name.alias("content")).alias("title"), F.struct(F.when(F.col("k") % 2 == 0, "CC0").alias("access")).alias("metadata_usage"), F.struct(media.alias("media")).alias("online_media")).alias("descriptiveNonRepeating"), F.struct(F.array(F.struct(F.lit("Artist").alias("label"), brand.alias("content"))).alias("name"), F.array(F.struct(F.lit("Department").alias("label"), kind.alias("content"))).alias("setName")).alias("freetext")))
+    visual = lambda free: F.struct(F.struct(F.lit("v").alias("publicUrl"), F.lit(free).alias("fieldImageLibre")).alias("entity"))
+    paris = j(entityId=F.col("k"), title=name, absolutePath=u("pm"), fieldVisuels=F.array(visual(True), visual(False), visual(True)), fieldOeuvreThemeRepresente=F.array(F.struct(F.struct(kind.alias("name")).alias("entity")), F.struct(F.struct(kind.alias("name")).alias("entity"))), fieldDateProduction=F.struct(F.col("p_size").alias("endYear")))
+    cle = j(id=F.col("k"), share_license_status=F.lit("CC0"), images=F.struct(F.struct(F.lit("web").alias("url")).alias("web")), creators=F.array(F.struct(brand.alias("description")), F.struct(F.lit("").alias("description"))), department=kind, title=name, url=u("cma"), creation_date_earliest=F.col("p_size"))
+    each = {"aic": aic, "met": met, "smithsonian": smith, "parismusees": paris, "cleveland": cle}
+    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("source"), v.alias("value")) for s, v in each.items())))
+    return p.select(F.col("k").cast("string").alias("key"), rows.alias("r")).select("r.source", "key", "r.value")
+
+
+@_query("""SELECT 'aic' AS source, CAST(p_partkey AS VARCHAR) AS source_id, 'https://www.artic.edu/artworks/' || p_partkey AS source_url, p_name AS title, p_type AS style, NULL AS artist, p_brand || '/1,' || p_type || '/3' AS artists, CAST(p_size AS INTEGER) AS date_raw_start, NULL AS date FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 7 <> 0
+UNION ALL SELECT 'met', CAST(p_partkey AS VARCHAR), 'http://met/' || p_partkey, p_name, p_type, p_brand || ' & Co.', p_brand || ' & Co./', NULL, NULL FROM part
+UNION ALL SELECT 'smithsonian', CAST(p_partkey AS VARCHAR), 'http://si/' || p_partkey, p_name, p_type, p_brand, p_brand || '/', NULL, NULL FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT 'parismusees', CAST(p_partkey AS VARCHAR), 'http://pm/' || p_partkey || '?' || i, p_name, p_type || ',' || p_type, '', '', NULL, '-' || p_size FROM part, range(0, 2) t(i)
+UNION ALL SELECT 'cleveland', CAST(p_partkey AS VARCHAR), 'http://cma/' || p_partkey, p_name, p_type, p_brand || ', ', p_brand || '/', CAST(p_size AS INTEGER), NULL FROM part""")
+def extract_sources(spark, sf):
+    r = extract.extract(_records(spark, sf), "aic", "met", "smithsonian", "parismusees", "cleveland")
+    artists = F.array_join(F.transform("artists", lambda a: F.concat(a["name_raw"], F.lit("/"), F.coalesce(a["source_artist_id"], F.lit("")))), ",")
+    return r.select("source", "source_id", "source_url", "title", "style", "artist", F.coalesce(artists, F.lit("")).alias("artists"), "date_raw_start", "date")
+
+
+@_query("SELECT 'smithsonian' AS source, CASE WHEN event_id % 2 = 0 THEN 'r' || event_id ELSE CAST(event_id AS VARCHAR) END AS key FROM events WHERE event_id % 5 <> 0")
+def ndjson_lines(spark, sf):
+    e = _read(spark, sf, "events").withColumn("k", F.col("event_id") % 5)
+    record = F.struct(F.struct(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("r"), "event_id")).alias("record_ID")).alias("descriptiveNonRepeating"))
+    line = F.when(F.col("k") == 0, "  ").otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), record.alias("content"))))
+    return raw.from_ndjson(e.select(line.alias("value"))).select("source", "key")
+
+
+@_query("SELECT CAST(event_id AS VARCHAR) AS key, 'id/' || event_id AS identifier FROM events WHERE event_id % 4 <> 0 AND event_id % 7 <> 0")
+def oai_records(spark, sf):
+    e = _read(spark, sf, "events")
+    page = F.concat(F.lit("<OAI><record><header"), F.when(F.col("event_id") % 4 == 0, ' status="deleted"').otherwise(""), F.lit("><identifier>id/"), "event_id", F.lit("</identifier><datestamp>d</datestamp></header><metadata>"), F.when(F.col("event_id") % 7 == 0, "").otherwise("<rdf:RDF>x</rdf:RDF>"), F.lit("</metadata></record></OAI>"))
+    return raw.from_oai(raw.harvested(e.select(page.alias("value")))).select("key", F.get_json_object("value", "$.identifier").alias("identifier"))
+
+
+@_query("SELECT unit, shard FROM (SELECT DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'saam' WHEN 1 THEN 'fsg' ELSE 'other' END AS unit, CAST(o_orderkey % 256 AS VARCHAR) AS shard FROM orders) WHERE unit <> 'other' AND CAST(shard AS INTEGER) >= 16")
+def shards_to_do(spark, sf):
+    k = F.col("o_orderkey")
+    index = _read(spark, sf, "orders").select(F.when(k % 3 == 0, "saam").when(k % 3 == 1, "fsg").otherwise("other").alias("unit"), (k % 256).cast("string").alias("shard")).distinct()
+    return raw.shards_to_do(index, index.where(F.col("shard").cast("int") < 16))
