@@ -311,8 +311,8 @@ def raw_put(spark, sf):
     return raw.put(regions.unionByName(stale.join(e, ["source", "key"], "left_semi")), e, ["event_id"])
 
 
-_SYNCED = """WITH c AS (SELECT conv_id, CAST(turn AS INTEGER) AS position, CASE WHEN conv_id % 3 = 1 AND turn = 0 THEN upper(text) ELSE text END AS name_raw, conv_id * 100 + turn AS id,
-CASE WHEN conv_id % 3 = 2 THEN NULL WHEN conv_id % 3 = 1 AND turn = 0 AND upper(text) IS DISTINCT FROM text THEN 'updated' ELSE 'unchanged' END AS result, conv_id % 3 AS k, turn FROM conversations)
+_SYNCED = """WITH c AS (SELECT conv_id, CAST(turn AS INTEGER) AS position, CASE WHEN conv_id % 3 = 1 AND turn = 0 THEN text || '!' ELSE text END AS name_raw, conv_id * 100 + turn AS id,
+CASE WHEN conv_id % 3 = 2 THEN NULL WHEN conv_id % 3 = 1 AND turn = 0 THEN 'updated' ELSE 'unchanged' END AS result, conv_id % 3 AS k, turn FROM conversations)
 SELECT id, conv_id, position, md5(name_raw) AS name, result, 'bucket' AS role_bucket FROM c WHERE NOT (k = 0 AND turn >= 2)"""
 
 
@@ -321,7 +321,7 @@ def sync_artists(spark, sf):
     c = _read(spark, sf, "conversations").select("conv_id", F.col("turn").cast("int").alias("position"), F.col("text").alias("name_raw"))
     old = c.select((F.col("conv_id") * 100 + F.col("position")).alias("id"), "conv_id", "position", "name_raw", F.lit("bucket").alias("role_bucket"))
     k = F.col("conv_id") % 3
-    new = c.where((k == 1) | ((k == 0) & (F.col("position") < 2))).withColumn("name_raw", F.when((k == 1) & (F.col("position") == 0), F.upper("name_raw")).otherwise(F.col("name_raw")))
+    new = c.where((k == 1) | ((k == 0) & (F.col("position") < 2))).withColumn("name_raw", F.when((k == 1) & (F.col("position") == 0), F.concat("name_raw", F.lit("!"))).otherwise(F.col("name_raw")))
     touched = c.where(k != 2).select("conv_id").distinct()
     out = load.sync_children(old, touched, new, ("name_raw",), parent="conv_id")
     return out.select("id", "conv_id", "position", F.md5("name_raw").alias("name"), "result", "role_bucket")
