@@ -12,8 +12,16 @@ LABELS = {"aic": "AIC", "met": "MET", "parismusees": "Paris Musées", "rijksmuse
 PRECISIONS = ("exact", "circa", "before", "after", "range", "century", "decade", "unknown")
 METHODS = ("llm", "manual", "source")
 
-ARTIST = T.StructType.fromDDL("name_raw string, role_raw string, qualifier_raw string, birth_year int, death_year int, source_artist_id string, authority_urls string, name_original_language string")
-RECORD = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType()}
+
+
+def _struct(fields: str) -> T.StructType:
+    """A struct of plain fields; needs no session, as Spark's own reading of such text does."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in fields.split(","))])
+
+
+ARTIST = _struct("name_raw string, role_raw string, qualifier_raw string, birth_year int, death_year int, source_artist_id string, authority_urls string, name_original_language string")
+RECORD = _struct(
     "source string, source_id string, source_url string, image_url string, title string, artist string, date string, "
     "date_raw_start int, date_raw_end int, date_raw_precision string, category string, style string, medium string, "
     "origin string, dimensions string, credit string, description string"
@@ -21,14 +29,14 @@ RECORD = T.StructType.fromDDL(
 IMAGE_COLUMNS = tuple(f.name for f in RECORD if f.name != "artists")
 ARTIST_COLUMNS = tuple(f.name for f in ARTIST)
 
-RAW = T.StructType.fromDDL("source string, key string, value string")
+RAW = _struct("source string, key string, value string")
 IMAGES = T.StructType([T.StructField("id", T.LongType()), *(f for f in RECORD if f.name != "artists"), T.StructField("first_seen_at", T.StringType()), T.StructField("updated_at", T.StringType())])
-IMAGE_ARTISTS = T.StructType([*T.StructType.fromDDL("id long, image_id long, position int"), *ARTIST, T.StructField("role_bucket", T.StringType())])
-IMAGE_DATES = T.StructType.fromDDL("image_id long, date_start int, date_end int, date_precision string, rule_version string")
-IMAGE_TRANSLATIONS = T.StructType.fromDDL("image_id long, field string, lang string, text string, confidence string, method string, source_text string, translated_at string")
-IMAGE_ARTIST_NAMES = T.StructType.fromDDL("image_artist_id long, lang string, name string, confidence string, method string, name_original string, translated_at string")
-COLLECTIONS = T.StructType.fromDDL("id long, title string, author string, description string, index_image_id string, tag string")
-COLLECTION_IMAGES = T.StructType.fromDDL("id long, collection_id long, image_id long")
+IMAGE_ARTISTS = T.StructType([*_struct("id long, image_id long, position int"), *ARTIST, T.StructField("role_bucket", T.StringType())])
+IMAGE_DATES = _struct("image_id long, date_start int, date_end int, date_precision string, rule_version string")
+IMAGE_TRANSLATIONS = _struct("image_id long, field string, lang string, text string, confidence string, method string, source_text string, translated_at string")
+IMAGE_ARTIST_NAMES = _struct("image_artist_id long, lang string, name string, confidence string, method string, name_original string, translated_at string")
+COLLECTIONS = _struct("id long, title string, author string, description string, index_image_id string, tag string")
+COLLECTION_IMAGES = _struct("id long, collection_id long, image_id long")
 
 TABLES = {
     "images": IMAGES, "image_artists": IMAGE_ARTISTS, "image_dates": IMAGE_DATES, "image_translations": IMAGE_TRANSLATIONS,

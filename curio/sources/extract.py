@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from curio import schemas
 from curio.functions.text import authority_urls, joined, present, unescape_html, year
 
-_STRING = F.lit(None).cast("string")
 _ARTIST = schemas.ARTIST.simpleString()
 
 
