@@ -265,6 +265,12 @@ def _repeats(data: np.ndarray, start: np.ndarray, n: np.ndarray, off: np.ndarray
     return out
 
 
+def _runs_of(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    at = common.runs(sorted_values)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield int(sorted_values[a]), slice(a, b)
+
+
 def _as_ranges(rid: np.ndarray, first: np.ndarray) -> pd.DataFrame:
     """Windows (document, place) as maximal ranges of covered bytes."""
     if not len(rid):
@@ -363,11 +369,29 @@ def settle(packed: DataFrame, requests: DataFrame, flush: int = 6_000_000) -> Da
             much = np.repeat(np.diff(at) > 1, np.diff(at))
             w = w[order][much]
             found.append(_as_ranges(np.ascontiguousarray(w["rid"]), w["lo"].astype(np.int64)))
-        return pd.concat(found) if found else pd.DataFrame({"rid": [], "a": [], "b": []}).astype("int64")
+        got = pd.concat(found) if found else pd.DataFrame({"rid": [], "a": [], "b": []}).astype("int64")
+        # a row for each bucket of documents, not for each range: windows of one document are scattered here
+        place = common.bucket_of(common.mix(got["rid"].to_numpy(np.int64).view(U64)), buckets)
+        order = np.argsort(place, kind="stable")
+        to = common.by_bucket(place[order], buckets)
+        table = got.to_numpy(np.int64)[order]
+        return pd.DataFrame([(int(k), table[to[k] : to[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(to))], columns=["bucket", "ranges"])
+
+    def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Ranges of each document that meet or overlap as one."""
+        x = np.concatenate([np.frombuffer(r, np.int64).reshape(-1, 3) for r in rows["ranges"]])
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        new = np.ones(len(x), bool)
+        for _, at in _runs_of(x[:, 0]):
+            reach = np.maximum.accumulate(x[at, 2])
+            new[at][1:] = x[at, 1][1:] > reach[:-1]
+        head = np.flatnonzero(new)
+        return pd.DataFrame({"rid": x[head, 0], "a": x[head, 1], "b": np.maximum.reduceat(x[:, 2], head)})
 
     asked = requests.groupBy("rid").agg(F.collect_list(F.struct("kind", "lo", "n", "off", "h")).alias("wanted"))  # as many as a document has segments
     joined = packed.join(asked, "rid").select("rid", "n_bytes", "z", "wanted").mapInArrow(fetch, "bucket int, kind int, e binary, data binary")
-    return joined.groupBy("bucket").applyInPandas(sort, "rid long, a long, b long")
+    ranges_ = joined.groupBy("bucket").applyInPandas(sort, "bucket int, ranges binary")
+    return ranges_.groupBy("bucket").applyInPandas(gather, "rid long, a long, b long")
 
 
 def _pack(docs: DataFrame) -> DataFrame:
