@@ -58,6 +58,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def process_cache() -> dict:
+    """A dict that lives as long as the worker process.
+
+    Functions of this package reach workers by value, with new globals for each task; what should
+    outlast a task is kept with the interpreter instead.
+    """
+    import sys
+
+    return sys.__dict__.setdefault("_curio_process_cache", {})
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are done with.
 

@@ -323,18 +323,14 @@ class Model:
         return np.log10(p), table[t, 0]
 
 
-_MODELS: dict = {}
-
-
 def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id", "held_out")) -> DataFrame:
     """One row a text: the columns ``keep``, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = json.dumps(model)
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = Model(model)
-        lm = _MODELS[name]
+        cache, name = common.process_cache(), json.dumps(model)
+        if cache.get("lm", ("",))[0] != name:
+            cache["lm"] = (name, Model(model))  # one at a time
+        lm = cache["lm"][1]
         for part, data, at in common.slices(batches):
             tokens, before, offsets = token_stream(data, at)
             logs, counts = lm.score(tokens, before)

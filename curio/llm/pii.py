@@ -125,16 +125,33 @@ def _plain(ch: str) -> str:
     return folded if len(folded) == 1 and folded.isascii() else ch
 
 
+# Signs as character references or percent codes.
+_ESCAPES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "%40": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
+_ESCAPED = re.compile("|".join(map(re.escape, _ESCAPES)), re.IGNORECASE)
+
+
+def escapes(tape: Tape) -> None:
+    tape.rewrite([(m.start(), m.end(), _ESCAPES[m[0].lower()]) for m in _ESCAPED.finditer(tape.text)])
+
+
 def homoglyphs(tape: Tape) -> None:
     tape.rewrite([(m.start(), m.end(), put) for m in _ODD.finditer(tape.text) if (put := _plain(m[0])) != m[0]])
 
 
-# Digits as words.
-_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_ANY = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
+# Digits as words, from 0 to 9.
+_SPOKEN = (
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+_WORDS = {w: str(k) for line in _SPOKEN for k, w in enumerate(line.split())} | {"oh": "0"}
+_ANY = "(?:" + "|".join(sorted(_WORDS, key=len, reverse=True)) + ")"
+#: A run has digits inside it that stand between separators.
+_INSIDE = tuple(f" {w} " for w in _WORDS)
 _PAIR = re.compile(rf"{_ANY}[ ,.\-\n]{{1,3}}(?:{_ANY}|dot|point)")
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ ,\-]{{1,2}})?{_ANY}(?:[ ,\-]{{1,2}}(?:(?:dot|point|dash|hyphen)[ ,\-]{{1,2}})?(?:{_ANY}(?![A-Za-z])|[0-9](?![A-Za-z0-9])))+(?![A-Za-z0-9])", re.IGNORECASE)
-_PART = re.compile(r"[A-Za-z0-9]+")
+_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[ ,\-]{{1,2}})?{_ANY}(?:[ ,\-]{{1,2}}(?:(?:dot|point|dash|hyphen)[ ,\-]{{1,2}})?(?:{_ANY}(?![^\W_])|[0-9](?![^\W_])))+(?![^\W_])", re.IGNORECASE)
+_PART = re.compile(r"[^\W_]+")
 _LEAST_DIGITS = 4
 
 
@@ -154,15 +171,17 @@ def spelled_digits(tape: Tape) -> None:
 
 
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase)", r"(?:dot|punto|punkt|point)"
-_CLOSED_AT = rf"\s?[\[({{<]\s?(?:{_AT_WORD}|@)\s?[\])}}>]\s?"
+_CLOSED_AT = rf"\s?[\[({{<]\s?(?:{_AT_WORD}|a|@)\s?[\])}}>]\s?"
 _CLOSED_DOT = rf"\s?[\[({{<]\s?(?:{_DOT_WORD}|\.)\s?[\])}}>]\s?"
 _HIDDEN_DOT = rf"(?:{_CLOSED_DOT}|\s{_DOT_WORD}\s)"
 _AT = re.compile(rf"(?P<closed>{_CLOSED_AT})|(?P<word>(?<=[A-Za-z0-9])\s{_AT_WORD}\s(?=[A-Za-z0-9]))|(?P<plain>\s?@\s?)", re.IGNORECASE)
 _SPOKEN_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:(?:{_HIDDEN_DOT}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
 _SPOKEN_LOCAL = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:{_HIDDEN_DOT}|\.)[A-Za-z0-9_%+-]+)*\Z", re.IGNORECASE)
 _DOTS = re.compile(_HIDDEN_DOT, re.IGNORECASE)
+_SPACED = re.compile(r"(?P<left>[A-Za-z0-9._%+-]+) @ (?P<right>[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)* \. [A-Za-z]{2,})(?![A-Za-z0-9-])")
 _SPOKEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_HIDDEN_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
-_HINT = re.compile(rf"[\[({{<]\s?(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s?[\])}}>]|\s{_DOT_WORD}\s", re.IGNORECASE)
+_HINT = re.compile(rf" @ |[\[({{<]\s?(?:{_AT_WORD}|a|{_DOT_WORD}|@|\.)\s?[\])}}>]|\s{_DOT_WORD}\s", re.IGNORECASE)
+_HINTED = ("dot", "punto", "punkt", "point", " @ ")
 _REACH = 120
 # Last labels that make plain words ("jane at example dot com") an address.
 _LAST_LABELS = frozenset("com org net edu gov mil int info biz name pro dev app io ai co me tv cc us uk eu de fr es it nl be ch at dk se no fi pl cz pt gr ie ru ua tr br mx ar cl ca au nz jp cn kr in za example test invalid local".split())
@@ -187,6 +206,11 @@ def at_dot(tape: Tape) -> None:
         edits[m.start(), m.end()] = "@"
         edits |= {(d.start(), d.end()): "." for d in dots}
         done = right.end()
+    for m in _SPACED.finditer(text):
+        low, high = m.span("right")
+        if len(last := m["right"].rsplit(None, 1)[-1].lower()) > 2 and last in _LAST_LABELS and not any(a < high and b > m.start() for a, b in edits):
+            edits[m.end("left"), low] = "@"
+            edits |= {(low + d.start(), low + d.end()): "." for d in re.finditer(r" ?\. ?", m["right"])}
     for m in _SPOKEN_IP.finditer(text):
         edits |= {(d.start(), d.end()): "." for d in _DOTS.finditer(text, m.start(), m.end())}
     tape.rewrite([(a, b, put) for (a, b), put in sorted(edits.items()) if b > a])
@@ -194,12 +218,18 @@ def at_dot(tape: Tape) -> None:
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the normalised text shows."""
+    # cheap tests of substrings first: nearly all texts end here
     odd = not text.isascii() and _ODD.search(text)
-    words = _PAIR.search(text) or _PAIR.search(text.lower())
-    hint = _HINT.search(text)
-    if not (odd or words or hint):
+    low = text.lower()
+    flat = low.replace(",", " ").replace("-", " ")
+    words = any(w in flat for w in _INSIDE) and _PAIR.search(low)
+    hint = (any(w in low for w in _HINTED) or any(c in text for c in "[({<")) and _HINT.search(text)
+    escaped = ("&" in text or "%40" in text) and _ESCAPED.search(text)
+    if not (odd or words or hint or escaped):
         return []
     tape = Tape(text)
+    if escaped:
+        escapes(tape)
     if odd:
         homoglyphs(tape)
     spelled_digits(tape)

@@ -210,14 +210,12 @@ class ChunkEncoder:
         return out, offsets
 
 
-_ENCODERS: dict = {}
-
-
 def _encoder(path: str) -> ChunkEncoder:
     """One a worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    cache = common.process_cache()
+    if ("encoder", path) not in cache:
+        cache["encoder", path] = ChunkEncoder(path)
+    return cache["encoder", path]
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
