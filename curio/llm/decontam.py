@@ -62,11 +62,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, item_id: str =
         length = row["length"]
         mine = windows.where(F.col("length") == length)
         mine = mine.select(F.xxhash64(*(F.get("window", F.lit(k)) for k in range(length))).alias("h"), "window", "items")
-        spots = base.where(F.size("w") >= length).select("row", "w", F.posexplode("w").alias("position", "word")).where(F.col("position") <= F.size("w") - length)
+        # a condition on w alone (an inner explode implies one) would be evaluated below the split, which it would run again
+        spots = base.select("row", "w", F.posexplode_outer("w").alias("position", "word")).where(F.col("position") <= F.size("w") - length)
         rows = spots.select("row", "w", "position", F.xxhash64("word", *(F.get("w", F.col("position") + k) for k in range(1, length))).alias("h"))
         here = F.slice("w", F.col("position") + 1, length)
         if row["count"] <= BROADCAST_WINDOWS:
-            met = rows.join(F.broadcast(mine), "h").where(here == F.col("window"))
+            # on what the hash has met; written as an equality it would be a join key, and cut a slice for every row
+            same = (here <= F.col("window")) & (here >= F.col("window"))
+            met = rows.join(F.broadcast(mine), "h").where(same)
         else:  # shuffles carry the window, not the text
             met = rows.select("row", "position", "h", here.alias("here")).join(mine, "h").where("here = window")
         met = met.select("row", "position", F.lit(length).alias("length"), "items")
