@@ -389,7 +389,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     # long lists, hub by hub
     members = common.cut(members, "jaccard-long")
     if members.limit(1).count():
-        open_ = members
+        open_, states = members, []
         for round_ in range(ROUNDS + 1):
             c = comps.select("id", "component_id")
             state = open_.join(c.select(F.col("id").alias("a"), F.col("component_id").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
@@ -404,10 +404,10 @@ def classes_of(docs: DataFrame) -> DataFrame:
             state = common.cut(state.select("list", "a", "b", "na", "comp", "both", "state"), "jaccard-state")
             if not state.limit(1).count():
                 break
-            cross = state.groupBy("list").applyInPandas(_more, _PAIRS)
+            states.append(state)
             rest = state.where("state = 0")
             step = rest.withColumn("last", F.lit(round_ == ROUNDS)).groupBy("list").applyInPandas(_open_pairs, _PAIRS)
-            step = common.cut(cross.unionByName(step), "jaccard-step")
+            step = common.cut(step, "jaccard-step")
             done = compared.select("a", "b")
             hub_pairs = _ordered(step.where("kind = 0")).join(done, ["a", "b"], "left_anti")
             pairs = _near(_with_component(_ordered(step.where("kind = 1")), comps).join(done, ["a", "b"], "left_anti"), classes)
@@ -422,6 +422,20 @@ def classes_of(docs: DataFrame) -> DataFrame:
             if not open_.limit(1).count():
                 break
 
+        # now that hubs have joined what they could: members linked with a hub against those that were not
+        cross = None
+        for state in states:
+            again = state.drop("comp").join(comps.select(F.col("id").alias("a"), F.col("component_id").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+            several = again.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
+            pairs = again.join(several, "list").groupBy("list").applyInPandas(_more, _PAIRS)
+            cross = pairs if cross is None else cross.unionByName(pairs)
+        if cross is not None:
+            pairs = _near(_with_component(_ordered(cross), comps).join(compared.select("a", "b"), ["a", "b"], "left_anti"), classes)
+            new = common.cut(_overlaps(pairs, sets), "jaccard-new")
+            compared = common.cut(compared.unionByName(new), "jaccard-overlaps")
+            if _linked(new).limit(1).count():
+                comps = common.cut(common.components(_linked(compared)), "jaccard-components")
+
     late = common.cut(_overlaps(_with_component(others, comps), sets), "jaccard-late")
     if _linked(late).limit(1).count():
         comps = common.cut(common.components(_linked(compared.unionByName(late))), "jaccard-components")
