@@ -329,15 +329,17 @@ def _more(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def _open_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Next pairs of a long list among members linked with no hub so far: a new hub's, or all of a short rest."""
     a, n, comp = rows["a"].to_numpy(), rows["na"].to_numpy(), rows["comp"].to_numpy()
+    cells = np.frombuffer(b"".join(rows["sketch"]), "<u4").reshape(-1, CELLS).astype(np.int32)
     order = np.argsort(a)
-    a, n, comp = a[order], n[order], comp[order]
+    a, n, comp, cells = a[order], n[order], comp[order], cells[order]
     if len(a) <= LONG_LIST or bool(rows["last"].iloc[0]):
         order = np.argsort(n, kind="stable")
-        a, n, comp = a[order], n[order], comp[order]
+        a, n, comp, cells = a[order], n[order], comp[order], cells[order]
         got = []
         for i in range(len(a) - 1):  # sizes ascend: what follows the last fitting size is skipped
             j = np.arange(i + 1, np.searchsorted(n, 100 * n[i] // PERCENT, "right"))
             j = j[comp[j] != comp[i]]
+            j = j[(n[i] + n[j] - np.abs(cells[j] - cells[i]).sum(axis=1)) // 2 >= _required(n[j], n[i])]  # as in _near, before a row is made
             got.append(np.column_stack((np.full(len(j), a[i]), a[j], np.full(len(j), n[i]), n[j])))
         x = np.concatenate(got) if got else np.empty((0, 4), np.int64)
         kind = 1
@@ -406,7 +408,8 @@ def classes_of(docs: DataFrame) -> DataFrame:
                 break
             states.append(state)
             rest = state.where("state = 0")
-            step = rest.withColumn("last", F.lit(round_ == ROUNDS)).groupBy("list").applyInPandas(_open_pairs, _PAIRS)
+            sketched = rest.join(classes.select(F.col("class").alias("a"), "sketch"), "a")
+            step = sketched.withColumn("last", F.lit(round_ == ROUNDS)).groupBy("list").applyInPandas(_open_pairs, _PAIRS)
             step = common.cut(step, "jaccard-step")
             done = compared.select("a", "b")
             hub_pairs = _ordered(step.where("kind = 0")).join(done, ["a", "b"], "left_anti")
