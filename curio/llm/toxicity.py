@@ -130,17 +130,17 @@ def differences(m: dict, h: np.ndarray, before: np.ndarray) -> np.ndarray:
     """log p(word | word before, toxic) - log p(word | word before, ordinary) of each token."""
     distinct, which = np.unique(h, return_inverse=True)
     i, hit = _find(m["words"], distinct)
-    counts = np.where(hit[:, None], m["counts"][i] if len(m["words"]) else 0.0, 0.0)
+    counts = np.where(hit[:, None], m["counts"][i] if len(m["words"]) else np.zeros((len(i), 2)), 0.0)
     shared = np.where(hit, m["shared"][i] if len(m["words"]) else 0.0, m["rare"])
     # what a class leaves is dealt by the shared counts, in the same measure for both classes
     left = m["left"]
     word = np.maximum(counts - D1[np.minimum(counts, 3).astype(int)], 0) / m["total"] + left * shared[:, None]
     first, at = np.unique(before, return_inverse=True)
     j, known = _find(m["contexts"], first)
-    begun = np.where(known[:, None], m["begun"][j] if len(m["contexts"]) else 0.0, 0.0)
+    begun = np.where(known[:, None], m["begun"][j] if len(m["contexts"]) else np.zeros((len(j), 4)), 0.0)
     usable = known & (begun[:, 2:].min(axis=1) >= CONTEXT_TOKENS)  # both classes know the word before
     k, met = _find(m["pairs"], common.mix(before * U64(0x9FB21C651E98DF25) + h))
-    pair = np.where(met[:, None], m["pair_counts"][k] if len(m["pairs"]) else 0.0, 0.0)
+    pair = np.where(met[:, None], m["pair_counts"][k] if len(m["pairs"]) else np.zeros((len(k), 2)), 0.0)
     tokens = np.maximum(begun[at, 2:], 1)
     rest = np.minimum(1.0, D2 * begun[:, :2].sum(axis=1) / np.maximum(begun[:, 2:].sum(axis=1), 1))[at]
     p = np.where(usable[at][:, None], np.maximum(pair - D2, 0) / tokens + rest[:, None] * word[which], word[which])
