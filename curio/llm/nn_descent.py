@@ -4,13 +4,16 @@ Vectors link when their labels are equal (and not null) and their cosine, in dou
 least the threshold.  Vectors that are null, zero or hold null or non-finite components link with nothing.
 
 1. Bit-equal vectors of a label are one node with a count, so a very common vector costs one node.
-2. *Start.*  Random hyperplanes cut each label into leaves, in several tables; a leaf is split by a hash
-   of the id into blocks of at most ``BLOCK`` nodes, and nodes of a block are compared in numpy.  Each
-   node keeps its ``NEIGHBOURS`` best.
+2. *Start.*  Random hyperplanes cut each label into leaves, in as many tables as a pair at the threshold
+   needs to share a leaf of one of them but for a chance of ``MISS``: a pair without other neighbours has
+   no other way to be found.  Larger leaves are cut by further hyperplanes, then by a hash of the id into
+   blocks of at most ``BLOCK`` nodes; nodes of a block are compared in numpy.  Each node keeps its
+   ``NEIGHBOURS`` best, and what is linked within a block is joined whether it is among them or not.
 3. *Descent.*  Neighbours of neighbours, over edges in both directions, are compared and the lists
    updated, until few lists change.
-4. *Audit.*  A bounded number of nodes is compared with all; while too many of their links are missing,
-   more tables are added.
+4. *Audit.*  A bounded number of nodes, dealt over those without links and in small and large components,
+   is compared with all.  Until nodes of few links and nodes of many both have their share, more tables
+   follow, however many that takes.
 5. *Enlarging.*  Edges over the threshold make components.  In every component of three or more nodes a
    list may be saturated, so all members are compared, block by block: a component of any size is dealt
    over tasks, and only counts of links leave them.
@@ -32,7 +35,13 @@ from curio.llm import common
 
 THRESHOLD, FLOOR = 0.93, 0.75
 NEIGHBOURS, BLOCK, TABLES, LEAF = 12, 256, 10, 48
-AUDIT, RECALL, DESCENTS = 200, 0.995, 5
+AUDIT, RECALL, DESCENTS = 800, 0.995, 5
+#: Chance that a pair at the threshold shares no leaf of any table of a pass.
+MISS = 0.002
+#: Further hyperplanes for leaves of more than BLOCK nodes.
+DEEP = 16
+#: In place of a cosine: the two are linked over nodes of their block.
+JOINED = 2.0
 _EDGE = "u long, v long, sim double"
 
 
@@ -51,30 +60,53 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     return grouped.select(F.xxhash64("space", "vec").alias("node"), F.xxhash64("space").alias("space"), "vec", "copies", "least")
 
 
-def _leaves(nodes: DataFrame, first: int, tables: int) -> DataFrame:
-    """(space, t, leaf, node, vec): each node in each table."""
+def _bits(n: int) -> int:
+    """Hyperplanes of a table over n nodes; what fits in a block needs none."""
+    return 0 if n <= BLOCK else int(np.ceil(np.log2(n / LEAF)))
+
+
+def tables_for(n: int) -> int:
+    """Tables after which a pair at the threshold has shared a leaf but for MISS."""
+    meet = (1 - np.arccos(THRESHOLD) / np.pi) ** _bits(n)
+    return 1 if meet == 1 else int(np.ceil(np.log(MISS) / np.log(1 - meet)))
+
+
+def _leaves(nodes: DataFrame, seed: int, low: int, high: int) -> DataFrame:
+    """(space, t, leaf, deep, node): each node in tables ``low`` to ``high`` of those that its space needs."""
     sizes = nodes.groupBy("space").agg(F.count("*").alias("n"))
     sized = nodes.select("node", "space", "vec").join(sizes, "space")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for (space, n, length), part in rows.groupby([rows["space"], rows["n"], rows["vec"].map(len)]):
-                bits = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
+                bits = _bits(n)
                 x = _unit(part["vec"])
-                for t in range(first, first + tables):
-                    planes = np.random.default_rng([t, length]).normal(size=(length, max(bits, 1)))
-                    code = (((x @ planes) > 0)[:, :bits] @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros(len(x), np.int64)
-                    yield pd.DataFrame({"space": space, "t": t, "leaf": code, "node": part["node"].to_numpy(), "vec": part["vec"].to_numpy()})
+                for t in range(low, min(high, tables_for(n))):
+                    planes = np.random.default_rng([seed + t, length]).normal(size=(length, bits + DEEP))
+                    side = (x @ planes) > 0
+                    code = side[:, :bits] @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
+                    deep = side[:, bits:] @ (1 << np.arange(DEEP, dtype=np.int64))
+                    yield pd.DataFrame({"space": space, "t": t, "leaf": code, "deep": deep, "node": part["node"].to_numpy()})
 
-    return sized.mapInPandas(cut, "space long, t int, leaf long, node long, vec array<float>")
+    return sized.mapInPandas(cut, "space long, t int, leaf long, deep long, node long")
 
 
-def start(nodes: DataFrame, first: int, tables: int) -> DataFrame:
-    """Edges (u, v, sim) of the best neighbours in each block, over FLOOR."""
-    leaves = common.cut(_leaves(nodes, first, tables), "nn-leaves")
+def _blocks(leaves: DataFrame) -> DataFrame:
+    """(space, block, node): leaves, the larger ones in blocks of about BLOCK nodes."""
     key = ["space", "t", "leaf"]
-    counts = leaves.groupBy(*key).agg(F.count("*").alias("c"))
-    dealt = leaves.join(counts, key).withColumn("block", F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("c") / BLOCK)))
+    large = leaves.groupBy(*key).agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
+    more = large.select(*key, F.least(F.lit(DEEP), F.ceil(F.log2(F.col("c") / BLOCK))).cast("int").alias("more"))
+    # hyperplanes first: they part near nodes far less often than a hash does
+    parted = leaves.join(more, key, "left").withColumn("part", F.expr("deep & (shiftleft(1L, coalesce(more, 0)) - 1)")).drop("deep", "more")
+    key.append("part")
+    large = parted.groupBy(*key).agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
+    dealt = parted.join(large, key, "left").withColumn("k", F.pmod(F.xxhash64("node", "t"), F.ceil(F.coalesce("c", F.lit(1)) / BLOCK)))
+    return dealt.select("space", F.xxhash64("t", "leaf", "part", "k").alias("block"), "node")
+
+
+def start(nodes: DataFrame, seed: int, low: int, high: int) -> DataFrame:
+    """Edges (u, v, sim) of the best neighbours in each block, over FLOOR, and of nodes that are JOINED there."""
+    blocks = _blocks(common.cut(_leaves(nodes, seed, low, high), "nn-leaves"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) < 2:
@@ -87,9 +119,18 @@ def start(nodes: DataFrame, first: int, tables: int) -> DataFrame:
         u = np.repeat(np.arange(len(node)), k)
         v = best.ravel()
         keep = s[u, v] >= FLOOR
-        return pd.DataFrame({"u": node[u[keep]], "v": node[v[keep]], "sim": s[u[keep], v[keep]]})
+        got = pd.DataFrame({"u": node[u[keep]], "v": node[v[keep]], "sim": s[u[keep], v[keep]]})
+        hit = s >= THRESHOLD
+        if not hit.any():
+            return got
+        np.fill_diagonal(hit, True)
+        root = np.arange(len(node))
+        while (least := np.where(hit, root, len(node)).min(axis=1)).tolist() != root.tolist():
+            root = least
+        far = np.flatnonzero(root != np.arange(len(node)))
+        return pd.concat((got, pd.DataFrame({"u": node[far], "v": node[root[far]], "sim": JOINED})))
 
-    return dealt.select(*key, "block", "node", "vec").groupBy(*key, "block").applyInPandas(compare, _EDGE)
+    return blocks.join(nodes.select("node", "vec"), "node").select("space", "block", "node", "vec").groupBy("space", "block").applyInPandas(compare, _EDGE)
 
 
 def best_of(edges: DataFrame) -> DataFrame:
@@ -122,26 +163,41 @@ def descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
 
 
 def audit(nodes: DataFrame, linked: DataFrame, rows: int = AUDIT) -> float:
-    """Share of the links of at most ``rows`` nodes, compared with all, that lie in one component of ``linked``."""
-    asked = nodes.orderBy(F.xxhash64("node", F.lit(3))).limit(rows).select("node", "space", "vec").toPandas()
-    if not len(asked):
+    """The mean share of its links that a node has in its component of ``linked``: of nodes with few links or with many, the lesser.
+
+    At most ``rows`` nodes without links, of small and of large components each are compared with all, and
+    weigh as many nodes as they stand for.  A node in no component has none of its links.
+    """
+    sizes = linked.groupBy("component_id").agg(F.count("*").alias("c"))
+    placed = nodes.select("node").join(linked.select(F.col("id").alias("node"), "component_id"), "node", "left").join(sizes, "component_id", "left")
+    stratum = F.when(F.col("c").isNull(), 0).when(F.col("c") <= NEIGHBOURS, 1).otherwise(2)
+    placed = common.cut(placed.select("node", F.coalesce("component_id", "node").alias("comp"), stratum.alias("stratum")), "nn-placed")
+    vecs = nodes.select("node", "space", "vec")
+    parts, weight = [], {}
+    for r in placed.groupBy("stratum").count().collect():  # three at most
+        chosen = placed.where(F.col("stratum") == r["stratum"]).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(rows)
+        parts.append(vecs.join(F.broadcast(chosen), "node").toPandas())
+        weight |= dict.fromkeys(parts[-1]["node"].tolist(), r["count"] / max(1, len(parts[-1])))
+    if not parts:
         return 1.0
-    by = {space: (part["node"].to_numpy(), _unit(part["vec"])) for space, part in asked.groupby("space")}
+    by = {space: (part["node"].to_numpy(), part["comp"].to_numpy(), _unit(part["vec"])) for space, part in pd.concat(parts).groupby("space")}
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows_ in batches:
             for space, part in rows_.groupby("space"):
-                if space in by:
-                    q, x = by[space]
-                    i, j = np.nonzero(x @ _unit(part["vec"]).T >= THRESHOLD)
-                    u, v = q[i], part["node"].to_numpy()[j]
-                    yield pd.DataFrame({"u": u[u != v], "v": v[u != v]})
+                if space not in by:
+                    continue
+                q, comp, x = by[space]
+                for k in range(0, len(part), 1000):
+                    some = part.iloc[k : k + 1000]
+                    true = (x @ _unit(some["vec"]).T >= THRESHOLD) & (q[:, None] != some["node"].to_numpy())
+                    n, hit = true.sum(axis=1), (true & (comp[:, None] == some["comp"].to_numpy())).sum(axis=1)
+                    yield pd.DataFrame({"node": q, "n": n, "hit": hit})[n > 0]
 
-    true = nodes.select("node", "space", "vec").mapInPandas(meet, "u long, v long")
-    c = linked.select("id", "component_id")
-    seen = true.join(c.select(F.col("id").alias("u"), F.col("component_id").alias("cu")), "u", "left").join(c.select(F.col("id").alias("v"), F.col("component_id").alias("cv")), "v", "left")
-    got = seen.agg(F.count("*").alias("n"), F.count(F.when(F.col("cu") == F.col("cv"), 1)).alias("hit")).first()
-    return 1.0 if not got["n"] else got["hit"] / got["n"]
+    counted = vecs.join(placed, "node").select("node", "space", "vec", "comp").mapInPandas(meet, "node long, n long, hit long")
+    got = counted.groupBy("node").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).toPandas()  # as many as were asked at most
+    w, share, few = got["node"].map(weight).to_numpy(float), (got["hit"] / got["n"]).to_numpy(float), got["n"].to_numpy() <= NEIGHBOURS
+    return min((float(np.average(share[of], weights=w[of])) for of in (few, ~few) if of.any()), default=1.0)
 
 
 def count_links(nodes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -183,18 +239,43 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     spark = vectors.sparkSession
     source = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), "label")
     nodes = common.cut(nodes_of(source), "nn-nodes")
-    graph = None
-    for round_ in range(3):
-        found = start(nodes, round_ * TABLES, TABLES)
-        graph = common.cut(best_of(found if graph is None else graph.unionByName(found)), "nn-graph")
+    largest = nodes.groupBy("space").count().agg(F.max("count")).first()[0] or 0
+    tables, passes = tables_for(largest), 0
+    graph = comps = None
+
+    def joined_with(pairs: DataFrame) -> DataFrame:
+        """Components of all links so far and of ``pairs`` (a, b)."""
+        if comps is not None:
+            pairs = pairs.unionByName(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+        return common.cut(common.components(pairs, "nn-components"), "nn-components")
+
+    ends = (F.col("u").alias("a"), F.col("v").alias("b"))
+    while True:
+        linked = None
+        for low in range(0, tables, TABLES):
+            found = common.cut(start(nodes, passes * tables, low, min(tables, low + TABLES)), "nn-found")
+            near = found.where(F.col("sim") < JOINED)
+            graph = common.cut(best_of(near if graph is None else graph.unionByName(near)), "nn-graph")
+            pairs = found.where(F.col("sim") == JOINED).select(*ends)
+            linked = pairs if linked is None else linked.unionByName(pairs)
+            common.release(spark)
+        comps = joined_with(linked)
+        across = None
         for _ in range(DESCENTS):
             new = common.cut(descend(nodes, graph), "nn-new")
             after = common.cut(best_of(graph.unionByName(new)), "nn-graph")
+            pairs = new.where((F.col("sim") >= THRESHOLD) & (F.col("u") < F.col("v"))).select(*ends)
+            across = pairs if across is None else across.unionByName(pairs)
             changed = after.join(graph, ["u", "v"], "left_anti").count()
             graph = after
             if changed <= 0.01 * max(1, after.count()):
                 break
-        comps = common.cut(common.components(graph.where(F.col("sim") >= THRESHOLD).select(F.col("u").alias("a"), F.col("v").alias("b")), "nn-components"), "nn-components")
+        c = comps.select("id", "component_id")
+        across = across.join(c.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), "a", "left").join(c.select(F.col("id").alias("b"), F.col("component_id").alias("cb")), "b", "left")
+        across = common.cut(across.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "nn-across")
+        if across.limit(1).count():
+            comps = joined_with(across)
+        passes += 1
         if audit(nodes, comps) >= RECALL:
             break
     links = count_links(nodes, comps)

@@ -183,6 +183,37 @@ def test_nn_descent(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def isolated(spark, n, pairs, rng, group=0):
+    """n random vectors and, from id n, pairs at cosine 0.932 without other neighbours; a group of near ones at the end."""
+    x = rng.normal(size=(n + pairs, 32))
+    y = rng.normal(size=(pairs, 32))
+    u = x[n:] / np.linalg.norm(x[n:], axis=1, keepdims=True)
+    y -= (y * u).sum(axis=1, keepdims=True) * u
+    y = 0.932 * u + math.sqrt(1 - 0.932**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    near = rng.normal(size=32) + rng.normal(size=(group, 32)) * 0.05
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(np.concatenate((x[:n], np.stack((u, y), axis=1).reshape(-1, 32), near)))]
+    return spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+
+
+def test_nn_descent_isolated_pairs(spark):
+    df = isolated(spark, 12_000, 400, np.random.default_rng(2))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(df).collect()}
+    found = sum(got[i] == got[i + 1] == (1, i) for i in range(12_000, 12_800, 2))
+    assert found >= 397
+    assert all(got[i] == (0, i) for i in range(12_000))
+
+
+def test_nn_audit_of_nodes_not_links(spark):
+    nodes = common.cut(nn_descent.nodes_of(isolated(spark, 0, 40, np.random.default_rng(3), 300)), "t")
+    large = nodes.where("least >= 80").select("node", "least").collect()
+    root = min(r["node"] for r in large)
+    some = [(r["node"], root) for r in large]
+    assert nn_descent.audit(nodes, spark.createDataFrame(some, "id long, component_id long")) == 0
+    pairs = {r["least"]: r["node"] for r in nodes.where("least < 80").collect()}
+    some += [(pairs[j], min(pairs[i], pairs[i + 1])) for i in range(0, 80, 2) for j in (i, i + 1)]
+    assert nn_descent.audit(nodes, spark.createDataFrame(some, "id long, component_id long")) == 1
+
+
 # ---- 4
 
 
