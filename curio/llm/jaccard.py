@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curio.llm import common
@@ -86,12 +86,17 @@ def _required(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
+def _rid() -> Column:
+    """Names a row: rows that share an id, or have none, differ by their texts."""
+    return F.xxhash64("doc_id", "text").alias("rid")
+
+
 def describe(docs: DataFrame, flush: int = 4_000_000) -> DataFrame:
-    """A row a document (doc_id, n, class, sketch), and rows of ``frequent``: shingles with the classes of a task that have them."""
+    """A row a document (rid, doc_id, n, class, sketch), and rows of ``frequent``: shingles with the classes of a task that have them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "class", "sketch", "shingle", "seen"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["rid", "doc_id", "n", "class", "sketch", "shingle", "seen"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
 
@@ -105,7 +110,7 @@ def describe(docs: DataFrame, flush: int = 4_000_000) -> DataFrame:
             at = common.runs(h)
             count = np.diff(at)
             often = count >= 3
-            arrays = [pa.nulls(1, k) for k in kinds[:4]] + [pa.array([x], k) for x, k in zip((h[at[:-1][often]].view(np.int64), count[often]), kinds[4:], strict=True)]
+            arrays = [pa.nulls(1, k) for k in kinds[:5]] + [pa.array([x], k) for x, k in zip((h[at[:-1][often]].view(np.int64), count[often]), kinds[5:], strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for part, data, at in common.slices(batches):
@@ -114,7 +119,8 @@ def describe(docs: DataFrame, flush: int = 4_000_000) -> DataFrame:
             cells = np.bincount(row * CELLS + (h & U64(CELLS - 1)).astype(np.int64), minlength=CELLS * len(size)).astype("<u4")
             sketch = [x.tobytes() for x in cells.reshape(-1, CELLS)]
             doc = part.column(part.schema.get_field_index("doc_id")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([doc, pa.array(size), pa.array(mark.view(np.int64)), pa.array(sketch, pa.binary()), pa.nulls(len(size), kinds[4]), pa.nulls(len(size), kinds[5])], names=names)
+            rid = part.column(part.schema.get_field_index("rid"))
+            yield pa.RecordBatch.from_arrays([rid, doc, pa.array(size), pa.array(mark.view(np.int64)), pa.array(sketch, pa.binary()), pa.nulls(len(size), kinds[5]), pa.nulls(len(size), kinds[6])], names=names)
             held.append((mark[row], h))
             waiting += len(h)
             if waiting >= flush:
@@ -123,7 +129,7 @@ def describe(docs: DataFrame, flush: int = 4_000_000) -> DataFrame:
         if waiting:
             yield frequent()
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, class long, sketch binary, shingle array<long>, seen array<long>")
+    return docs.select("doc_id", "text", _rid()).mapInArrow(rows, "rid long, doc_id long, n long, class long, sketch binary, shingle array<long>, seen array<long>")
 
 
 def frequent_shingles(described: DataFrame, least: int = 12) -> np.ndarray:
@@ -352,24 +358,24 @@ def _open_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 _PAIRS = "kind int, a long, b long, na long, nb long, list long"
 
 
-def classes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id): class_id names a set, component_id the smallest id reachable over links."""
+def _resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (rid, doc_id, n, class, sketch), classes (class, first, doc_id, ...; ``first``: its least row) and components of linked classes."""
     spark = docs.sparkSession
     described = common.cut(describe(docs), "jaccard-sets")
-    rows = described.where("class is not null").select("doc_id", "n", "class", "sketch")
+    rows = described.where("class is not null").select("rid", "doc_id", "n", "class", "sketch")
     frequent = frequent_shingles(described)
-    classes = common.cut(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-classes")
+    classes = common.cut(rows.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("doc_id", F.col("first.doc_id")), "jaccard-classes")
     found = common.cut(index(docs, frequent), "jaccard-index")
     common.release(spark)
 
-    # whole sets of the classes that any pair names, from their first documents
+    # whole sets of the classes that any pair names, from their first rows
     hubs = found.where("kind = 0").select("a", "b", "na", "nb").distinct()
     near = common.cut(_near(hubs, classes), "jaccard-hubs")
     others = found.where("kind = 1").select("a", "b", "na", "nb").distinct()
     members = found.where("kind = 2").select("list", "a", "b", "na").distinct()
     others = common.cut(_near(others, classes), "jaccard-others")
     named = near.select(F.explode(F.array("a", "b")).alias("class")).unionByName(others.select(F.explode(F.array("a", "b")).alias("class"))).unionByName(members.select(F.col("a").alias("class"))).distinct()
-    wanted = named.join(classes.select("class", "doc_id"), "class")
+    wanted = named.join(classes.select("class", F.col("first.rid").alias("rid")), "class")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in common.slices(batches):
@@ -378,7 +384,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
             hit = np.flatnonzero(mark.view(np.int64) == want)
             yield pa.RecordBatch.from_arrays([pa.array(want[hit]), pa.array([h[offsets[i] : offsets[i + 1]].tobytes() for i in hit], pa.binary())], names=["class", "hashes"])
 
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
+    texts = docs.select("text", _rid()).join(wanted, "rid").select("class", "text")
     sets = common.cut(texts.mapInArrow(hashes, "class long, hashes binary").dropDuplicates(["class"]), "jaccard-hashes")
     common.release(spark)
 
@@ -443,6 +449,12 @@ def classes_of(docs: DataFrame) -> DataFrame:
     if _linked(late).limit(1).count():
         comps = common.cut(common.components(_linked(compared.unionByName(late))), "jaccard-components")
 
+    return rows, classes, comps
+
+
+def classes_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id): class_id names a set, component_id the smallest id reachable over links."""
+    rows, classes, comps = _resolved(docs)
     least = comps.join(classes.select(F.col("class").alias("id"), "doc_id"), "id").groupBy("component_id").agg(F.min("doc_id").alias("least"))
     root = comps.join(least, "component_id").select(F.col("id").alias("class"), "least")
     own = classes.select("class", F.col("doc_id").alias("own")).join(root, "class", "left").select("class", F.coalesce("least", "own").alias("least"))
@@ -451,9 +463,19 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest id, of repeated ids one row."""
-    found = classes_of(docs).where("doc_id <=> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
-    return docs.dropDuplicates(["doc_id"]).join(found, docs["doc_id"].eqNullSafe(found["_id"])).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One row of each component, the one with the smallest id (of equal ids the least ``rid``); all rows without shingles."""
+    _, classes, comps = _resolved(docs)
+    root = comps.select(F.col("id").alias("class"), "component_id")
+    chosen = classes.select("class", "first").join(root, "class", "left").groupBy(F.coalesce("component_id", "class")).agg(F.min("first").alias("first"))
+    # rows without words are components of their own, however many share an id and a text
+    blank = F.coalesce(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
+    name = "_rid"
+    while name in docs.columns:
+        name += "_"
+    own = docs.where(~blank).withColumn(name, _rid()).dropDuplicates([name])
+    kept = own.join(chosen.select(F.col("first.rid").alias(name)).distinct(), name, "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).unionByName(docs.where(blank).select(*columns))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,6 +304,22 @@ def test_jaccard_odd(spark):
     assert jaccard.classes_of(table(spark, [])).count() == 0
 
 
+def test_jaccard_deduplicate_by_row(spark):
+    """Rows of a null or repeated id stay unless their own component has another row."""
+    rng = random.Random(17)
+    texts = [prose(40, rng) for _ in range(36)]
+    rows = [(None, t) for t in texts[:12]] + [(7, t) for t in texts[12:24]] + list(enumerate(texts[24:], 100))
+    copies = [(None, texts[0] + " more"), (7, texts[12] + " more"), (7, texts[24] + " more"), (7, texts[12]), (None, texts[30]), (9, texts[1])]
+    blanks = [(None, None), (7, " \n\t\x0b\x0c\r"), (7, ""), (7, ""), (50, "\u00a0")]
+    got = [(r["doc_id"], r["text"]) for r in jaccard.deduplicate(table(spark, [*rows, *copies, *blanks]).repartition(3)).collect()]
+    stay = {(d, t) for d, t in rows if t not in (texts[0], texts[1], texts[12], texts[24])} | {(9, texts[1]), (7, texts[24] + " more")}
+    assert [x for x in got if x in stay] and stay <= set(got)
+    rest = [x for x in got if x not in stay and x not in blanks]
+    assert sorted(t.split(" more")[0] for _, t in rest) == sorted((texts[0], texts[12]))  # one of each pair that shares an id
+    assert sorted(map(str, (x for x in got if x in blanks))) == sorted(map(str, blanks))
+    assert len(got) == 36 + len(blanks)
+
+
 # ---- 6
 
 
