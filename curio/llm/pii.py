@@ -147,9 +147,12 @@ _SPOKEN = (
 )
 _WORDS = {w: str(k) for line in _SPOKEN for k, w in enumerate(line.split())} | {"oh": "0"}
 _ANY = "(?:" + "|".join(sorted(_WORDS, key=len, reverse=True)) + ")"
-#: A run has digits inside it that stand between separators.
-_INSIDE = tuple(f" {w} " for w in _WORDS)
-_PAIR = re.compile(rf"{_ANY}[ ,.\-\n]{{1,3}}(?:{_ANY}|dot|point)")
+#: A run begins with a word and a separator.
+_BEGINS = tuple(f"{w} " for w in _WORDS)
+#: What _SPELLED matches begins with two items that this matches in lower case.
+_PAIR = re.compile(rf"{_ANY}(?:[ ,.\-\n]{{1,3}}(?:{_ANY}|dot|point)|[ ,\-]{{1,2}}(?:(?:dot|point|dash|hyphen)[ ,\-]{{1,2}})?(?:{_ANY}|[0-9](?![^\W_])))")
+#: Letters that re.IGNORECASE takes for i and s and lower() does not.
+_LIKE_ASCII = {0x130: "i", 0x131: "i", 0x17F: "s"}
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[ ,\-]{{1,2}})?{_ANY}(?:[ ,\-]{{1,2}}(?:(?:dot|point|dash|hyphen)[ ,\-]{{1,2}})?(?:{_ANY}(?![^\W_])|[0-9](?![^\W_])))+(?![^\W_])", re.IGNORECASE)
 _PART = re.compile(r"[^\W_]+")
 _LEAST_DIGITS = 4
@@ -216,13 +219,19 @@ def at_dot(tape: Tape) -> None:
     tape.rewrite([(a, b, put) for (a, b), put in sorted(edits.items()) if b > a])
 
 
+def _may_spell(text: str) -> bool:
+    """Whether _SPELLED can match; cheap where it cannot."""
+    low = (text if text.isascii() else text.translate(_LIKE_ASCII)).lower()
+    flat = low.replace(",", " ").replace("-", " ")
+    return any(w in flat for w in _BEGINS) and _PAIR.search(low) is not None
+
+
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the normalised text shows."""
     # cheap tests of substrings first: nearly all texts end here
     odd = not text.isascii() and _ODD.search(text)
     low = text.lower()
-    flat = low.replace(",", " ").replace("-", " ")
-    words = any(w in flat for w in _INSIDE) and _PAIR.search(low)
+    words = _may_spell(text)
     hint = (any(w in low for w in _HINTED) or any(c in text for c in "[({<")) and _HINT.search(text)
     escaped = ("&" in text or "%40" in text) and _ESCAPED.search(text)
     if not (odd or words or hint or escaped):

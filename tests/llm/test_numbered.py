@@ -94,6 +94,35 @@ def test_pii_disguises(text, kind, part):
     assert (kind, text.index(part), text.index(part) + len(part)) in base + pii.disguised(text, base)
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("call plus four 9 one 5 two 6 three 7 eight 1 now", "phone"),
+        ("call plus four dash nine dash one dash five dash two dash six dash three dash seven dash eight now", "phone"),
+        ("pay four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1 now", "card"),
+        ("Four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "card"),
+    ],
+)
+def test_pii_mixed_runs(text, kind):
+    assert kind in {k for k, _, _ in pii.disguised(text, pii.detect(text))}
+
+
+def test_pii_gate_is_no_narrower_than_the_transducer():
+    rng = random.Random(5)
+    spoken = [*pii._WORDS, "ſix", "sİeben"]
+    matched = 0
+    for _ in range(5_000):
+        run = rng.choice(["", "plus ", "(", "x ", "\n"])
+        for _ in range(rng.randint(1, 5)):
+            item = str(rng.randint(0, 9)) if rng.random() < 0.5 else rng.choice(spoken)
+            run += rng.choice([str.lower, str.upper, str.title])(item) if "ſ" not in item else item
+            run += rng.choice([" ", "-", ", ", ",", "--", " - "]) + rng.choice(["", "", "dash ", "hyphen-", "Dot ", "point,"])
+        if pii._SPELLED.search(run):
+            matched += 1
+            assert pii._may_spell(run), run
+    assert matched > 1_000
+
+
 def test_pii_leaves_prose_alone():
     for text in ("we met at noon. two of one hundred at home", "look at this dot on the map", "one two three", "кот и дом, 12 мая", "one at two dot", "un six sept fois", "see @ home . it was", "(a) first. com"):
         assert pii.disguised(text, pii.detect(text)) == []
