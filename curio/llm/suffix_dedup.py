@@ -418,7 +418,10 @@ def ranges(docs: DataFrame) -> DataFrame:
     once = _pack(named).dropDuplicates(["rid"])
     sorted_ = common.cut(settle(once, fetched), "suffix-ranges")
     common.release(docs.sparkSession)
-    return settled.unionByName(sorted_)
+    # every window of equal rows is a repeat, whatever their shared rid made of their requests
+    rows = named.groupBy("rid").agg(F.count("*").alias("c"), F.max(F.octet_length("text")).cast("long").alias("b"))
+    equal = rows.where((F.col("c") > 1) & (F.col("b") >= LENGTH)).select("rid", F.lit(0).cast("long").alias("a"), "b")
+    return settled.unionByName(sorted_).unionByName(equal)
 
 
 def _named(docs: DataFrame) -> DataFrame:

@@ -177,6 +177,18 @@ def test_suffix_dedup(spark, crowd, monkeypatch):
     assert [(*r[:5], bytes(r[5])) for r in got] == removed(docs)
 
 
+def test_suffix_dedup_equal_rows_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 2)
+    rng = random.Random(21)
+    line = prose(45, rng)
+    around = lambda: prose(60, rng) + line + prose(60, rng)
+    equal = [(400 + i, around()) for i in range(8)]
+    tasks = [[(i, around()) for i in range(k, k + 70)] + equal for k in (0, 100)]
+    docs = table(spark, tasks[0]).coalesce(1).union(table(spark, tasks[1]).coalesce(1))
+    got = sorted((tuple(r) for r in suffix_dedup.remove(docs).collect()), key=str)
+    assert [(*r[:5], bytes(r[5])) for r in got] == removed([*tasks[0], *tasks[1]])
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove(table(spark, []), texts=False).count() == 0
 
