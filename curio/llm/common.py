@@ -150,6 +150,27 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             first = last
 
 
+def unpack(sizes, packed) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of zstd-packed texts one after another, and their n+1 offsets."""
+    codec = pa.Codec("zstd")
+    raw = b"".join(codec.decompress(z, int(n), asbytes=True) if n else b"" for n, z in zip(sizes, packed, strict=True))
+    return np.frombuffer(raw, np.uint8), np.concatenate(([0], np.cumsum(np.asarray(sizes, np.int64)))).astype(np.int64)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], rows: bool = False, limit: int = SLICE_BYTES) -> Iterator[tuple]:
+    """As :func:`slices` for columns (n_bytes, z) of packed texts: (bytes, offsets), with the rows before them if asked for."""
+    for batch in batches:
+        sizes, packed = (batch.column(batch.schema.get_field_index(c)) for c in ("n_bytes", "z"))
+        total = np.concatenate(([0], np.cumsum(np.asarray(sizes))))
+        first, n = 0, batch.num_rows
+        while first < n:
+            last = min(n, max(first + 1, int(np.searchsorted(total, total[first] + limit, "right")) - 1))
+            some = slice(first, last)
+            data, at = unpack(np.asarray(sizes)[some], packed.slice(first, last - first).to_pylist())
+            yield (batch.slice(first, last - first), data, at) if rows else (data, at)
+            first = last
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -3,24 +3,31 @@
 A document's set: hashes of its distinct ``SHINGLE``-word shingles (the whole sequence where it has
 fewer words).  Two link when 100 * intersection >= ``PERCENT`` * union.
 
-1. *Copies first.*  One pass makes each document's set fingerprint; documents with one fingerprint
-   are one class, and only classes are joined.  The pass also finds shingles that many classes have.
-2. *Index.*  Sets are ordered by hash with frequent shingles last; the first n - ceil(0.8 n) + 1 are
-   indexed (a linked pair always shares one of those).  Lists are sorted by size, then position, and
-   cut into blocks; whole blocks are skipped whose sizes or positions rule a link out.
-3. *Answers from similar sets.*  In each list the smallest class is the hub and is compared first.
-   Members linked with it are one component, so pairs among them are never compared.  For other
-   pairs (R, S) the hub's overlaps bound |R n S| <= |R| - |R n Q| + |S n Q|; what that rules out is
-   skipped, and in long lists what remains takes the next hub, round by round.
-4. Pairs that are left are compared by their whole sets.
-
-No pair is lost: each is either verified, ruled out by a bound, or joined through a common hub.
-Sketches (counts of the set's hashes in 32 cells) give a lower bound of the difference of two sets
-and save fetching sets that cannot link.
-
-Definedness: null, empty and blank texts have empty sets, link with nothing and are their own
-component; rows that repeat an id are documents of their own; a null id never becomes a component
-id unless the whole component has none.
+1. *Copies first.*  One pass makes each document's set fingerprint and packs its text; documents of one
+   set are one class, and only classes are joined.  Classes that share a 64-bit fingerprint show by a
+   second one and take that instead.  The pass also finds shingles that many classes have.
+2. *Index.*  Sets are ordered by hash with frequent shingles last.  A linked pair shares one of the first
+   n - ceil(0.8 n) + 1, and at the first shared one as much as a link needs must still follow: that bounds
+   the positions.  Lists are sorted by size, then position, and cut into blocks of ``LIST_BLOCK`` entries;
+   the sizes and positions of two blocks tell whether any pair of them can link, else both are skipped.
+3. *Hubs.*  The entry of least position in a list has the fewest rare shingles, so in a group of near
+   copies it is the one that most others resemble: the list's hub.  Members are compared with it first;
+   those linked with it are one component, and pairs within a component are never compared.
+4. *Answers from similar sets.*  Long lists never gather in one place: their members only meet the hub.
+   All long lists of a hub Q are one family, whose members' overlaps with Q bound every other pair,
+   |R n S| <= min(|R n Q|, |S n Q|) + min(|R - Q|, |S - Q|).  Families are dealt into blocks by size and
+   overlap (``FAMILY_BLOCK`` shingles at most), and only pairs of blocks that this bound and the components
+   leave open are compared, each pair of blocks in a group of its own.
+
+No pair is lost: each is either compared by whole sets, ruled out by a bound, or joined through a common
+hub.  Sketches (counts of the set's hashes in ``CELLS`` cells) bound the difference of two sets from below
+and save comparisons.
+
+Definedness: null, empty and blank texts have empty sets, link with nothing and are their own component;
+very long texts are one set like others, compared whole; ties among hubs go to the least class; rows that
+repeat an id are documents of their own; a null id never becomes a component id unless the whole component
+has none; extra columns are ignored, and kept whatever their names by :func:`deduplicate`; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -37,13 +44,18 @@ from curio.llm import common
 
 SHINGLE, PERCENT = 5, 80
 U64 = np.uint64
-CELLS = 32
-#: Bound of the broadcast set of frequent shingles.
+CELLS = 64
+#: Bound of the broadcast set of frequent shingles; it orders sets and names long lists, and loses no pair.
 MAX_FREQUENT = 300_000
-#: Lists of more members are resolved hub by hub.
-LONG_LIST = 48
-ROUNDS = 3
-_SALT = U64(0x8CB92BA72F3D8DD7)
+#: Lists of more members are resolved by families; shorter ones in blocks of so many entries.
+LONG_LIST, LIST_BLOCK = 48, 8
+#: Shingles in a block of a family (one document may have more), and members that meet their hub in one group.
+FAMILY_BLOCK, HUB_GROUP = 400_000, 256
+#: Long lists whose hubs are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_HUBS = 500_000
+_SALT, _TWIN = U64(0x8CB92BA72F3D8DD7), U64(0x5851F42D4C957F2D)
+#: Bits of a class fingerprint that are used (tests take few).
+_MARK = U64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingles(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,16 +81,23 @@ def shingles(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row[new], h[new]
 
 
-def _sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, n+1 offsets, fingerprint of each row's set)."""
+def _sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, n+1 offsets, fingerprint of each row's set, and the one that serves where two sets share that)."""
     row, h = shingles(*common.word_hashes(data, at))
     offsets = np.searchsorted(row, np.arange(len(at)))
     size = np.diff(offsets)
-    mark = np.zeros(len(size), U64)
+    mark, twin = np.zeros(len(size), U64), np.zeros(len(size), U64)
     if len(h):
         some = size > 0
         mark[some] = np.add.reduceat(common.mix(h ^ _SALT), offsets[:-1][some])
-    return row, h, offsets, common.mix(mark + size.astype(U64))
+        twin[some] = np.add.reduceat(common.mix(h * _TWIN + _SALT), offsets[:-1][some])
+    mark = common.mix(mark + size.astype(U64))
+    return row, h, offsets, mark & _MARK, common.mix(mark ^ common.mix(twin))
+
+
+def _classes(mark: np.ndarray, twin: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Class ids: fingerprints, or twins where sets share a fingerprint."""
+    return np.where(np.isin(mark, shared), twin, mark) if len(shared) else mark
 
 
 def _required(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -86,19 +105,25 @@ def _required(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
+def _need(a: Column, b: Column) -> Column:
+    """As :func:`_required`."""
+    return F.ceil(PERCENT * (a + b) / F.lit(100 + PERCENT))
+
+
 def _rid() -> Column:
     """Names a row: rows that share an id, or have none, differ by their texts."""
     return F.xxhash64("doc_id", "text").alias("rid")
 
 
 def describe(docs: DataFrame, flush: int = 4_000_000) -> DataFrame:
-    """A row a document (rid, doc_id, n, class, sketch), and rows of ``frequent``: shingles with the classes of a task that have them."""
+    """A row a document (rid, doc_id, n, mark, twin, sketch, z: its packed text), and rows of ``shingle``: shingles with the classes of a task that have them."""
+    names = ["rid", "doc_id", "n", "mark", "twin", "sketch", "n_bytes", "z", "shingle", "seen"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "doc_id", "n", "class", "sketch", "shingle", "seen"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
+        codec = pa.Codec("zstd", compression_level=1)
 
         def frequent() -> pa.RecordBatch:
             mark, h = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -110,17 +135,20 @@ def describe(docs: DataFrame, flush: int = 4_000_000) -> DataFrame:
             at = common.runs(h)
             count = np.diff(at)
             often = count >= 3
-            arrays = [pa.nulls(1, k) for k in kinds[:5]] + [pa.array([x], k) for x, k in zip((h[at[:-1][often]].view(np.int64), count[often]), kinds[5:], strict=True)]
+            arrays = [pa.nulls(1, k) for k in kinds[:8]] + [pa.array([x], k) for x, k in zip((h[at[:-1][often]].view(np.int64), count[often]), kinds[8:], strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for part, data, at in common.slices(batches):
-            row, h, offsets, mark = _sets(data, at)
+            row, h, offsets, mark, twin = _sets(data, at)
             size = np.diff(offsets)
-            cells = np.bincount(row * CELLS + (h & U64(CELLS - 1)).astype(np.int64), minlength=CELLS * len(size)).astype("<u4")
-            sketch = [x.tobytes() for x in cells.reshape(-1, CELLS)]
+            cells = np.bincount(row * CELLS + (h & U64(CELLS - 1)).astype(np.int64), minlength=CELLS * len(size))
+            sketch = [x.tobytes() for x in np.minimum(cells, 65_535).astype("<u2").reshape(-1, CELLS)]
+            raw = memoryview(data.tobytes())
+            z = [codec.compress(raw[a:b], asbytes=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             doc = part.column(part.schema.get_field_index("doc_id")).cast(pa.int64())
             rid = part.column(part.schema.get_field_index("rid"))
-            yield pa.RecordBatch.from_arrays([rid, doc, pa.array(size), pa.array(mark.view(np.int64)), pa.array(sketch, pa.binary()), pa.nulls(len(size), kinds[5]), pa.nulls(len(size), kinds[6])], names=names)
+            arrays = [rid, doc, pa.array(size), pa.array(mark.view(np.int64)), pa.array(twin.view(np.int64)), pa.array(sketch, pa.binary()), pa.array(np.diff(at)), pa.array(z, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(size), k) for k in kinds[8:])], names=names)
             held.append((mark[row], h))
             waiting += len(h)
             if waiting >= flush:
@@ -129,11 +157,11 @@ def describe(docs: DataFrame, flush: int = 4_000_000) -> DataFrame:
         if waiting:
             yield frequent()
 
-    return docs.select("doc_id", "text", _rid()).mapInArrow(rows, "rid long, doc_id long, n long, class long, sketch binary, shingle array<long>, seen array<long>")
+    return docs.select("doc_id", "text", _rid()).mapInArrow(rows, "rid long, doc_id long, n long, mark long, twin long, sketch binary, n_bytes long, z binary, shingle array<long>, seen array<long>")
 
 
-def frequent_shingles(described: DataFrame, least: int = 12) -> np.ndarray:
-    """Sorted hashes of at most MAX_FREQUENT shingles, those that most classes have."""
+def frequent_shingles(described: DataFrame, least: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most MAX_FREQUENT shingles, those that most classes have, and how many those are."""
     counts = described.where("shingle is not null").select(F.explode(F.arrays_zip("shingle", "seen")).alias("x")).groupBy("x.shingle").agg(F.sum("x.seen").alias("c")).where(F.col("c") >= least)
     counts = common.cut(counts, "jaccard-frequent")
     levels = counts.groupBy(F.floor(F.log2("c") * 4).alias("level")).count().orderBy(F.desc("level")).collect()  # some hundred rows at most
@@ -144,66 +172,101 @@ def frequent_shingles(described: DataFrame, least: int = 12) -> np.ndarray:
             break
         level = r["level"]
     if level is None:
-        return np.empty(0, U64)
-    got = counts.where(F.floor(F.log2("c") * 4) >= level).select("shingle").toPandas()["shingle"]
-    return np.sort(got.to_numpy(np.int64).view(U64))
+        return np.empty(0, U64), np.empty(0, np.int64)
+    got = counts.where(F.floor(F.log2("c") * 4) >= level).toPandas()  # MAX_FREQUENT rows at most
+    h, c = got["shingle"].to_numpy(np.int64).view(U64), got["c"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
 
 
-def _lists(h: np.ndarray, mark: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Entries of each shingle once a class, sorted by shingle, size, position; with the lists' offsets."""
+def _once(h: np.ndarray, mark: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries of each shingle once a class, sorted by shingle and class."""
     order = np.lexsort((mark, h))
     h, mark, n, pos = h[order], mark[order], n[order], pos[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (mark[1:] != mark[:-1])
-    h, mark, n, pos = h[new], mark[new], n[new], pos[new]
-    at = common.runs(h)
-    much = np.repeat(np.diff(at) > 1, np.diff(at))
-    h, mark, n, pos = h[much], mark[much], n[much], pos[much]
-    order = np.lexsort((pos, n, h))
-    h, mark, n, pos = h[order], mark[order], n[order], pos[order]
-    return h, mark, n, pos, common.runs(h)
+    return h[new], mark[new], n[new], pos[new]
 
 
 def _may_link(na, nb, pa_, pb):
-    """Whether sets of these sizes that share the shingle at these positions can link."""
+    """Whether sets of these sizes whose first common shingle stands at these positions can link."""
     need = _required(na, nb)
-    return (np.minimum(na, nb) >= need) & (np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need)
+    return np.minimum(na - pa_, nb - pb) >= need
 
 
-def index(docs: DataFrame, frequent: np.ndarray, flush: int = 2_000_000) -> DataFrame:
-    """Rows (kind, a, b, na, nb, list): kind 0 hub pairs, 1 other candidate pairs, 2 members (a) of long lists with their hub (b)."""
-    spark = docs.sparkSession
+def block_pairs(list_at: np.ndarray, n: np.ndarray, pos: np.ndarray, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of entries of one list that sizes and positions leave open; whole pairs of blocks are skipped first.
+
+    Entries are sorted by list, size and position; ``list_at`` are the lists' offsets.
+    """
+    size = np.diff(list_at)
+    blocks = -(-size // LIST_BLOCK)
+    of = np.repeat(np.arange(len(size)), blocks)
+    begin = list_at[:-1][of] + LIST_BLOCK * common.ranges(np.zeros(len(size), np.int64), blocks)
+    end = np.minimum(begin + LIST_BLOCK, list_at[1:][of])
+    if not len(begin):
+        return
+    least, most = n[begin], n[end - 1]
+    first = np.minimum.reduceat(pos, begin)
+    room = most - first
+    live = np.arange(len(begin))
+    for gap in range(int(blocks.max())):
+        live = live[live + gap < len(begin)]
+        live = live[of[live + gap] == of[live]]
+        live = live[PERCENT * least[live + gap] <= 100 * most[live]]  # sizes ascend: what follows is farther still
+        if not len(live):
+            break
+        open_ = live[np.minimum(room[live], room[live + gap]) >= _required(least[live], least[live + gap])]
+        wide = (end - begin)[open_] * (end - begin)[open_ + gap]
+        cuts = np.searchsorted(np.cumsum(wide), np.arange(0, int(wide.sum()) + 1, chunk), "right") if len(wide) else np.zeros(1, np.int64)
+        for a, b in zip(cuts, [*cuts[1:], len(open_)], strict=True):
+            x = open_[a:b]
+            y = x + gap
+            right = (end - begin)[y]
+            k = common.ranges(np.zeros(len(x), np.int64), wide[a:b])
+            own = np.repeat(np.arange(len(x)), wide[a:b])
+            i, j = begin[x][own] + k // right[own], begin[y][own] + k % right[own]
+            ok = (i < j) & _may_link(n[i], n[j], pos[i], pos[j])
+            yield i[ok], j[ok]
+
+
+_FOUND = ("kind", "a", "b", "na", "nb", "list")
+
+
+def index(described: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shared: np.ndarray, flush: int = 2_000_000) -> DataFrame:
+    """Rows (kind, a, b, na, nb, list): kind 0 hub pairs, 1 other candidate pairs, 2 members (a) of long lists, ``nb`` their position."""
+    spark = described.sparkSession
     buckets = common.shuffle_parts(spark)
-    held_frequent = spark.sparkContext.broadcast(frequent)  # at most MAX_FREQUENT hashes
+    often_, count_ = frequent
+    held_frequent = spark.sparkContext.broadcast((often_, often_[count_ > LONG_LIST]))  # at most MAX_FREQUENT hashes each
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = held_frequent.value
+        often, long_ = held_frequent.value
         held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
 
         def pieces() -> pa.RecordBatch:
-            h, mark, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = common.bucket_of(common.mix(h), buckets)
-            order = np.lexsort((mark, h, bucket))
+            h, mark, n, pos = _once(*(np.concatenate(x) for x in zip(*held, strict=True)))  # copies within the task go as one
+            many = np.isin(h, long_)
+            # members of lists known to be long are dealt by class: no task has such a list
+            bucket = 2 * common.bucket_of(common.mix(np.where(many, mark, h)), buckets) + many
+            order = np.argsort(bucket, kind="stable")
             h, mark, n, pos, bucket = h[order], mark[order], n[order], pos[order], bucket[order]
-            new = np.ones(len(h), bool)  # copies within the task go as one
-            new[1:] = (h[1:] != h[:-1]) | (mark[1:] != mark[:-1])
-            h, mark, n, pos, bucket = h[new], mark[new], n[new], pos[new], bucket[new]
-            to = common.by_bucket(bucket, buckets)
+            to = common.by_bucket(bucket, 2 * buckets)
             some = np.flatnonzero(np.diff(to))
             blobs = [[x[to[k] : to[k + 1]].tobytes() for k in some] for x in (h, mark, n.astype("<u4"), pos.astype("<u4"))]
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(b, pa.binary()) for b in blobs)], names=["bucket", "h", "m", "n", "p"])
+            return pa.RecordBatch.from_arrays([pa.array((some // 2).astype(np.int32)), pa.array((some % 2).astype(np.int32)), *(pa.array(b, pa.binary()) for b in blobs)], names=["bucket", "many", "h", "m", "n", "p"])
 
-        for _, data, at in common.slices(batches):
-            row, h, offsets, mark = _sets(data, at)
+        for data, at in common.unpacked(batches):
+            row, h, offsets, mark, twin = _sets(data, at)
             if not len(h):
                 continue
+            mark = _classes(mark, twin, shared)
             if len(often):
                 i = np.minimum(np.searchsorted(often, h), len(often) - 1)
                 order = np.lexsort((h, often[i] == h, row))
                 h = h[order]
-            size = np.diff(offsets)
-            n = size[row]
+            n = np.diff(offsets)[row]
             pos = np.arange(len(h)) - offsets[:-1][row]
             keep = pos < n - (-(-PERCENT * n // 100)) + 1
             held.append((h[keep], mark[row[keep]], n[keep], pos[keep]))
@@ -214,89 +277,65 @@ def index(docs: DataFrame, frequent: np.ndarray, flush: int = 2_000_000) -> Data
         if waiting:
             yield pieces()
 
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def entries(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
         h, mark = (np.concatenate([np.frombuffer(x, np.uint64) for x in rows[c]]) for c in ("h", "m"))
         n, pos = (np.concatenate([np.frombuffer(x, "<u4") for x in rows[c]]).astype(np.int64) for c in ("n", "p"))
-        del rows
-        h, mark, n, pos, at = _lists(h, mark, n, pos)
+        return _once(h, mark, n, pos)
+
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
 
-        def put(kind: int, i: np.ndarray, j: np.ndarray, name: np.ndarray | None = None) -> None:
-            a, b = mark[i], mark[j]
+        def put(kind: int, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, name: np.ndarray | None = None) -> None:
             swap = (a > b) & (kind < 2)
-            out.append(pd.DataFrame({"kind": kind, "a": np.where(swap, b, a).view(np.int64), "b": np.where(swap, a, b).view(np.int64), "na": np.where(swap, n[j], n[i]), "nb": np.where(swap, n[i], n[j]), "list": (name if name is not None else np.zeros(len(i), U64)).view(np.int64)}))
-
-        if len(h):
-            size = np.diff(at)
-            which = np.repeat(np.arange(len(size)), size)
-            # the hub of a list: its smallest class id
-            order = np.lexsort((mark, which))
-            hub = order[at[:-1]][which]
-            here = np.arange(len(h))
-            fit = (hub != here) & _may_link(n, n[hub], pos, pos[hub])
-            put(0, hub[fit], here[fit])
-            long_ = size[which] > LONG_LIST
-            put(2, here[long_], hub[long_], h[long_])
-            # all pairs of short lists, one step apart, two steps apart, ...; sizes ascend, so a
-            # block of entries that is too far from the next sizes is skipped as a whole
-            live = np.flatnonzero(~long_)
-            end = at[1:][which]
-            for gap in range(1, LONG_LIST):
-                live = live[live + gap < end[live]]
-                live = live[PERCENT * n[live + gap] <= 100 * n[live]]
-                if not len(live):
-                    break
-                other = live + gap
-                ok = (hub[live] != live) & (hub[live] != other) & _may_link(n[live], n[other], pos[live], pos[other])
-                put(1, live[ok], other[ok])
-        got = pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in ("kind", "a", "b", "na", "nb", "list")})
+            columns = np.where(swap, b, a).view(np.int64), np.where(swap, a, b).view(np.int64), np.where(swap, nb, na), np.where(swap, na, nb), (name if name is not None else np.zeros(len(a), U64)).view(np.int64)
+            out.append(pd.DataFrame(dict(zip(_FOUND, (kind, *columns), strict=True))))
+
+        if (long_ := rows["many"] == 1).any():
+            h, mark, n, pos = entries(rows[long_])
+            put(2, mark, mark, n, pos, h)
+        if not long_.all():
+            h, mark, n, pos = entries(rows[~long_])
+            at = common.runs(h)
+            size = np.repeat(np.diff(at), np.diff(at))
+            if (more := size > LONG_LIST).any():  # not known before
+                put(2, mark[more], mark[more], n[more], pos[more], h[more])
+            short = (size > 1) & ~more
+            h, mark, n, pos = h[short], mark[short], n[short], pos[short]
+            order = np.lexsort((pos, n, h))
+            h, mark, n, pos = h[order], mark[order], n[order], pos[order]
+            at = common.runs(h)
+            if len(h):
+                which = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                hub = np.lexsort((mark, pos, which))[at[:-1]]
+                for i, j in block_pairs(at, n, pos):
+                    first = ((hub[which[i]] == i) | (hub[which[i]] == j)).astype(np.int64)
+                    for kind in (0, 1):
+                        x, y = i[first == 1 - kind], j[first == 1 - kind]
+                        put(kind, mark[x], mark[y], n[x], n[y])
+        got = pd.concat(out) if out else pd.DataFrame({c: np.empty(0, np.int64) for c in _FOUND})
         return got.drop_duplicates()
 
-    pieces = docs.select("text").mapInArrow(prefixes, "bucket int, h binary, m binary, n binary, p binary")
+    packed = described.where("n > 0").select("n_bytes", "z")
+    pieces = packed.mapInArrow(prefixes, "bucket int, many int, h binary, m binary, n binary, p binary")
     return pieces.groupBy("bucket").applyInPandas(join, "kind int, a long, b long, na long, nb long, list long")
 
 
-#: Of at most so many classes are the ids broadcast, to read their sets without a shuffle of all sets.
-BROADCAST_CLASSES = 100_000
-
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pairs`` with ``most``: what their sketches leave of an intersection."""
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both): the exact intersections."""
-    pairs = common.cut(pairs.select("a", "b", "na", "nb"), "jaccard-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    if named.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
-        sets = sets.join(F.broadcast(named), "class", "left_semi")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
-
-    left = pairs.select("a", "b", "na", "nb").join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a")
-    joined = left.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
-    return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(count, "a long, b long, na long, nb long, both long")
-
-
-def _linked(found: DataFrame) -> DataFrame:
-    return found.where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sketches leave a link possible."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, CELLS).astype(np.int64) for k in (4, 5))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32) for k in (4, 5))
             na, nb = (np.asarray(batch.column(k)) for k in (2, 3))
             # a symmetric difference of d leaves an intersection of (na + nb - d) / 2 at most
-            ok = (na + nb - np.abs(x - y).sum(axis=1)) // 2 >= _required(na, nb)
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(ok))
+            most = np.minimum((na + nb - np.abs(x - y).sum(axis=1)) // 2, np.minimum(na, nb))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(most)], names=["a", "b", "na", "nb", "most"])
 
     s = classes.select("class", "sketch")
     got = pairs.join(s.select(F.col("class").alias("a"), F.col("sketch").alias("x")), "a").join(s.select(F.col("class").alias("b"), F.col("sketch").alias("y")), "b")
-    return got.select("a", "b", "na", "nb", "x", "y").mapInArrow(keep, "a long, b long, na long, nb long")
+    return got.select("a", "b", "na", "nb", "x", "y").mapInArrow(bound, "a long, b long, na long, nb long, most long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -306,6 +345,41 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(one("a", "b").alias("a"), one("b", "a").alias("b"), one("na", "nb").alias("na"), one("nb", "na").alias("nb")).distinct()
 
 
+def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, na, nb, both): the exact intersections of ``pairs`` (a, b).
+
+    A pair carries the text of ``b``; that of ``a`` travels once for each HUB_GROUP of its pairs.
+    """
+    crowded = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_GROUP).alias("k")).where("k > 1")
+    dealt = pairs.select("a", "b").join(crowded, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1))).alias("s"))
+    dealt = common.cut(dealt, "jaccard-dealt")
+    left = dealt.select("a", "s").distinct().join(texts.withColumnRenamed("class", "a"), "a").select("a", "s", F.lit(None).cast("long").alias("b"), "n_bytes", "z")
+    right = dealt.join(texts.withColumnRenamed("class", "b"), "b").select("a", "s", "b", "n_bytes", "z")
+    met = left.unionByName(right).repartition("a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.empty(0, U64)
+        for part, data, at in common.unpacked(batches, rows=True):
+            _, h, offsets, _, _ = _sets(data, at)
+            a, b = part.column(0).to_pylist(), part.column(2).to_pylist()
+            out: list[tuple] = []
+            for k in range(len(a)):
+                own = h[offsets[k] : offsets[k + 1]]
+                if b[k] is None:
+                    hub = own
+                else:
+                    spot = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
+                    out.append((a[k], b[k], len(hub), len(own), int((hub[spot] == own).sum())))
+            table = np.array(out, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in range(5)], names=["a", "b", "na", "nb", "both"])
+
+    return met.mapInArrow(count, "a long, b long, na long, nb long, both long")
+
+
+def _linked(found: DataFrame) -> DataFrame:
+    return found.where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
 def _with_component(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs of different components."""
     c = comps.select("id", "component_id")
@@ -313,143 +387,119 @@ def _with_component(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return got.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _more(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a long list that the overlaps with its hub (``both``) and the components so far leave open.
-
-    Rows: member ``a`` of size ``na``, its component, ``both`` (its intersection with the hub) and ``state``
-    (1: linked with the hub).  Pairs of a member linked with the hub and one that is not are meant here.
-    """
-    a, n, comp = rows["a"].to_numpy(), rows["na"].to_numpy(), rows["comp"].to_numpy()
-    both, linked = rows["both"].to_numpy(), rows["state"].to_numpy() > 0
-    r = np.flatnonzero(linked)
-    left = n[r] - both[r]  # what a linked member has beside the hub
-    got = [np.empty((0, 4), np.int64)]
-    if len(r):
-        for i in np.flatnonzero(~linked & (both + left.max() >= _required(n[r].min(), n))):
-            j = r[(comp[r] != comp[i]) & (np.minimum(both[i] + left, np.minimum(n[r], n[i])) >= _required(n[r], n[i]))]
-            got.append(np.column_stack((np.full(len(j), a[i]), a[j], np.full(len(j), n[i]), n[j])))
-    x = np.concatenate(got)
-    return pd.DataFrame({"kind": 1, "a": x[:, 0], "b": x[:, 1], "na": x[:, 2], "nb": x[:, 3], "list": key[0]})
-
-
-def _open_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Next pairs of a long list among members linked with no hub so far: a new hub's, or all of a short rest."""
-    a, n, comp = rows["a"].to_numpy(), rows["na"].to_numpy(), rows["comp"].to_numpy()
-    cells = np.frombuffer(b"".join(rows["sketch"]), "<u4").reshape(-1, CELLS).astype(np.int32)
-    order = np.argsort(a)
-    a, n, comp, cells = a[order], n[order], comp[order], cells[order]
-    if len(a) <= LONG_LIST or bool(rows["last"].iloc[0]):
-        order = np.argsort(n, kind="stable")
-        a, n, comp, cells = a[order], n[order], comp[order], cells[order]
-        got = []
-        for i in range(len(a) - 1):  # sizes ascend: what follows the last fitting size is skipped
-            j = np.arange(i + 1, np.searchsorted(n, 100 * n[i] // PERCENT, "right"))
-            j = j[comp[j] != comp[i]]
-            j = j[(n[i] + n[j] - np.abs(cells[j] - cells[i]).sum(axis=1)) // 2 >= _required(n[j], n[i])]  # as in _near, before a row is made
-            got.append(np.column_stack((np.full(len(j), a[i]), a[j], np.full(len(j), n[i]), n[j])))
-        x = np.concatenate(got) if got else np.empty((0, 4), np.int64)
-        kind = 1
-    else:
-        x = np.column_stack((np.full(len(a) - 1, a[0]), a[1:], np.full(len(a) - 1, n[0]), n[1:]))
-        kind = 0
-    return pd.DataFrame({"kind": kind, "a": x[:, 0], "b": x[:, 1], "na": x[:, 2], "nb": x[:, 3], "list": key[0]})
-
-
-_PAIRS = "kind int, a long, b long, na long, nb long, list long"
+def families(members: DataFrame) -> DataFrame:
+    """(hub, nhub, a, na): the other members of the long lists that have one hub; ``members``: (list, a, na, pos)."""
+    hubs = common.cut(members.groupBy("list").agg(F.min(F.struct("pos", F.col("a").alias("hub"), F.col("na").alias("nhub"))).alias("h")).select("list", "h.hub", "h.nhub"), "jaccard-list-hubs")
+    few = hubs.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS
+    return members.join(F.broadcast(hubs) if few else hubs, "list").where("a <> hub").select("hub", "nhub", "a", "na").distinct()
+
+
+def _across(family: DataFrame, bounds: DataFrame, compared: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links of members of one family and different components, one at least for each two components that have any."""
+    ends = (F.least("hub", "a").alias("a"), F.greatest("hub", "a").alias("b"))
+    pair = family.select("hub", F.col("a").alias("member"), F.col("na").alias("n"), *ends)
+    state = pair.join(bounds.select("a", "b", "most"), ["a", "b"]).join(compared.select("a", "b", "both"), ["a", "b"], "left")
+    state = state.select("hub", F.col("member").alias("a"), "n", F.coalesce("both", F.lit(0)).alias("in_hub"), F.coalesce("both", "most").alias("most"))
+    state = state.join(comps.select(F.col("id").alias("a"), "component_id"), "a", "left").withColumn("comp", F.coalesce("component_id", "a")).drop("component_id")
+    # members alike in size and overlap with the hub are neighbours in the order of blocks
+    key = ["hub", "size", "share"]
+    state = state.withColumn("size", F.floor(F.log("n") / F.log(F.lit(1.12))).cast("int")).withColumn("share", F.floor(16 * F.col("in_hub") / F.col("n")).cast("int"))
+    state = common.cut(state, "jaccard-state")
+    several = state.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hub")
+    large = state.groupBy(*key).agg(F.ceil(F.sum("n") / FAMILY_BLOCK).alias("k")).where("k > 1")
+    state = state.join(several, "hub", "left_semi").join(large, key, "left").withColumn("block", F.xxhash64("size", "share", F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1)))))
+    state = common.cut(state.select("hub", "block", "a", "n", "in_hub", "most", "comp"), "jaccard-blocks")
+    blocks = state.groupBy("hub", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("most").alias("m"), F.max(F.col("n") - F.col("in_hub")).alias("r"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    blocks = common.cut(blocks, "jaccard-block-bounds")
+    two = blocks.withColumnsRenamed({c: f"{c}_" for c in ("block", "n0", "n1", "m", "r", "c0", "c1")})
+    open_ = (
+        (PERCENT * F.greatest("n0", "n0_") <= 100 * F.least("n1", "n1_"))
+        & (F.least("m", "m_") + F.least("r", "r_") >= _need(F.col("n0"), F.col("n0_")))
+        & ~((F.col("c0") == F.col("c1")) & (F.col("c0") == F.col("c0_")) & (F.col("c0") == F.col("c1_")))
+    )
+    pairs = common.cut(blocks.join(two, "hub").where("block <= block_").where(open_).select("hub", F.col("block").alias("i"), F.col("block_").alias("j")), "jaccard-block-pairs")
+    places = pairs.select("hub", "i", "j", F.col("i").alias("block")).unionByName(pairs.where("i <> j").select("hub", "i", "j", F.col("j").alias("block")))
+    sent = state.join(places, ["hub", "block"]).join(texts.withColumnRenamed("class", "a"), "a").select("hub", "i", "j", "block", "a", "comp", "n_bytes", "z")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        data, at = common.unpack(rows["n_bytes"], rows["z"])
+        row, h, offsets, _, _ = _sets(data, at)
+        n, comp, a = np.diff(offsets), rows["comp"].to_numpy(), rows["a"].to_numpy()
+        left = np.flatnonzero(rows["block"].to_numpy() == key[1])
+        right = np.flatnonzero(rows["block"].to_numpy() == key[2])
+        _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+        spot = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[which]  # shingles of one row only meet nothing
+        row, spot = row[spot >= 0], spot[spot >= 0]
+        order = np.argsort(spot, kind="stable")
+        row, spot = row[order], spot[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for low in range(0, int(spot[-1]) + 1 if len(spot) else 0, 2_048):
+            some = slice(*np.searchsorted(spot, (low, low + 2_048)))
+            has = np.zeros((len(a), 2_048), np.float32)
+            has[row[some], spot[some] - low] = 1
+            both += has[left] @ has[right].T
+        both = both.astype(np.int64)
+        hit = 100 * both >= PERCENT * (n[left][:, None] + n[right] - both)
+        x, y = np.nonzero(hit & (comp[left][:, None] != comp[right]))
+        x, y = left[x], right[y]
+        _, one = np.unique(np.column_stack((comp[x], comp[y])), axis=0, return_index=True)
+        return pd.DataFrame({"a": a[x[one]], "b": a[y[one]]})
+
+    return sent.groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (rid, doc_id, n, class, sketch), classes (class, first, doc_id, ...; ``first``: its least row) and components of linked classes."""
+    """Rows (rid, doc_id, n, class), classes (class, first, doc_id, ...; ``first``: its least row) and components of linked classes."""
     spark = docs.sparkSession
     described = common.cut(describe(docs), "jaccard-sets")
-    rows = described.where("class is not null").select("rid", "doc_id", "n", "class", "sketch")
     frequent = frequent_shingles(described)
-    classes = common.cut(rows.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("doc_id", F.col("first.doc_id")), "jaccard-classes")
-    found = common.cut(index(docs, frequent), "jaccard-index")
+    known = described.where("mark is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        of = rows.where("n > 0").groupBy("class").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("twin").alias("lo"), F.max("twin").alias("hi"))
+        return common.cut(of.withColumn("doc_id", F.col("first.doc_id")), "jaccard-classes")
+
+    rows = known.withColumn("class", F.col("mark"))
+    classes = grouped(rows)
+    # different sets of one fingerprint: none is expected below some billion classes
+    shared = [r["class"] for r in classes.where("lo <> hi").select("class").collect()]
+    if shared:
+        rows = known.withColumn("class", F.when(F.col("mark").isin(shared), F.col("twin")).otherwise(F.col("mark")))
+        classes = grouped(rows)
+    classes = classes.drop("lo", "hi")
+    found = common.cut(index(described, frequent, np.array(shared, np.int64).view(U64)), "jaccard-index")
     common.release(spark)
 
-    # whole sets of the classes that any pair names, from their first rows
-    hubs = found.where("kind = 0").select("a", "b", "na", "nb").distinct()
-    near = common.cut(_near(hubs, classes), "jaccard-hubs")
-    others = found.where("kind = 1").select("a", "b", "na", "nb").distinct()
-    members = found.where("kind = 2").select("list", "a", "b", "na").distinct()
-    others = common.cut(_near(others, classes), "jaccard-others")
-    named = near.select(F.explode(F.array("a", "b")).alias("class")).unionByName(others.select(F.explode(F.array("a", "b")).alias("class"))).unionByName(members.select(F.col("a").alias("class"))).distinct()
-    wanted = named.join(classes.select("class", F.col("first.rid").alias("rid")), "class")
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, at in common.slices(batches):
-            _, h, offsets, mark = _sets(data, at)
-            want = np.asarray(part.column(part.schema.get_field_index("class")))
-            hit = np.flatnonzero(mark.view(np.int64) == want)
-            yield pa.RecordBatch.from_arrays([pa.array(want[hit]), pa.array([h[offsets[i] : offsets[i + 1]].tobytes() for i in hit], pa.binary())], names=["class", "hashes"])
-
-    texts = docs.select("text", _rid()).join(wanted, "rid").select("class", "text")
-    sets = common.cut(texts.mapInArrow(hashes, "class long, hashes binary").dropDuplicates(["class"]), "jaccard-hashes")
+    columns = ("a", "b", "na", "nb")
+    members = found.where("kind = 2").select("list", "a", "na", F.col("nb").alias("pos"))
+    family = common.cut(families(members), "jaccard-families")
+    hubs = found.where("kind = 0").select(*columns).unionByName(_ordered(family.select(F.col("hub").alias("a"), F.col("a").alias("b"), F.col("nhub").alias("na"), F.col("na").alias("nb"))))
+    bounds = common.cut(_bounded(hubs.distinct(), classes), "jaccard-hubs")
+    others = common.cut(_bounded(found.where("kind = 1").select(*columns).distinct(), classes).where(F.col("most") >= _need(F.col("na"), F.col("nb"))), "jaccard-others")
+    near = bounds.where(F.col("most") >= _need(F.col("na"), F.col("nb")))
+
+    # packed texts of the classes that are compared, one of each; copies go as one before the shuffle
+    either = F.explode(F.array("a", "b")).alias("class")
+    named = near.select(either).unionByName(others.select(either)).unionByName(family.select(F.col("a").alias("class"))).distinct()
+    texts = common.cut(rows.where("n > 0").select("class", "n_bytes", "z").dropDuplicates(["class"]).join(named, "class", "left_semi"), "jaccard-texts")
     common.release(spark)
 
-    # members of long lists are compared with their hub whatever the sketches say: the bounds need it
-    with_hub = members.where("a <> b").join(classes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-    compared = common.cut(_overlaps(near.unionByName(_ordered(with_hub)).distinct(), sets), "jaccard-overlaps")
+    compared = common.cut(_overlaps(near, texts), "jaccard-overlaps")
     common.release(spark)
     comps = common.cut(common.components(_linked(compared)), "jaccard-components")
 
-    # long lists, hub by hub
-    members = common.cut(members, "jaccard-long")
-    if members.limit(1).count():
-        open_, states = members, []
-        for round_ in range(ROUNDS + 1):
-            c = comps.select("id", "component_id")
-            state = open_.join(c.select(F.col("id").alias("a"), F.col("component_id").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-            several = state.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-            state = state.join(several, "list")
-            # overlaps with the hub, whichever way the pair was written
-            sides = compared.select(F.col("a").alias("b"), F.col("b").alias("a"), "both").unionByName(compared.select("b", "a", "both"))
-            hub_size = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"))
-            state = state.join(sides, ["a", "b"], "left").join(hub_size, "b")
-            own = F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.col("both"))
-            state = state.withColumn("both", own).withColumn("state", F.when(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both")), 1).otherwise(0))
-            state = common.cut(state.select("list", "a", "b", "na", "comp", "both", "state"), "jaccard-state")
-            if not state.limit(1).count():
-                break
-            states.append(state)
-            rest = state.where("state = 0")
-            sketched = rest.join(classes.select(F.col("class").alias("a"), "sketch"), "a")
-            step = sketched.withColumn("last", F.lit(round_ == ROUNDS)).groupBy("list").applyInPandas(_open_pairs, _PAIRS)
-            step = common.cut(step, "jaccard-step")
-            done = compared.select("a", "b")
-            hub_pairs = _ordered(step.where("kind = 0")).join(done, ["a", "b"], "left_anti")
-            pairs = _near(_with_component(_ordered(step.where("kind = 1")), comps).join(done, ["a", "b"], "left_anti"), classes)
-            new = common.cut(_overlaps(hub_pairs.unionByName(pairs).distinct(), sets), "jaccard-new")
-            compared = common.cut(compared.unionByName(new), "jaccard-overlaps")
-            if _linked(new).limit(1).count():
-                comps = common.cut(common.components(_linked(compared)), "jaccard-components")
-            # lists that took a new hub go on with the members that no hub is linked with
-            hub = step.where("kind = 0").groupBy("list").agg(F.min("a").alias("b"))
-            open_ = rest.select("list", "a", "na").join(hub, "list")
-            open_ = common.cut(open_.select("list", "a", "b", "na"), "jaccard-long")
-            if not open_.limit(1).count():
-                break
-
-        # now that hubs have joined what they could: members linked with a hub against those that were not
-        cross = None
-        for state in states:
-            again = state.drop("comp").join(comps.select(F.col("id").alias("a"), F.col("component_id").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-            several = again.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-            pairs = again.join(several, "list").groupBy("list").applyInPandas(_more, _PAIRS)
-            cross = pairs if cross is None else cross.unionByName(pairs)
-        if cross is not None:
-            pairs = _near(_with_component(_ordered(cross), comps).join(compared.select("a", "b"), ["a", "b"], "left_anti"), classes)
-            new = common.cut(_overlaps(pairs, sets), "jaccard-new")
-            compared = common.cut(compared.unionByName(new), "jaccard-overlaps")
-            if _linked(new).limit(1).count():
-                comps = common.cut(common.components(_linked(compared)), "jaccard-components")
-
-    late = common.cut(_overlaps(_with_component(others, comps), sets), "jaccard-late")
-    if _linked(late).limit(1).count():
-        comps = common.cut(common.components(_linked(compared.unionByName(late))), "jaccard-components")
-
-    return rows, classes, comps
+    def joined_with(links: DataFrame) -> DataFrame:
+        edges = comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(links)
+        return common.cut(common.components(edges), "jaccard-components") if links.limit(1).count() else comps
+
+    if family.limit(1).count():
+        comps = joined_with(common.cut(_across(family, bounds, compared, comps, texts), "jaccard-across"))
+        common.release(spark)
+    left = common.cut(_with_component(others, comps), "jaccard-left")
+    if left.limit(1).count():
+        comps = joined_with(_linked(common.cut(_overlaps(left, texts), "jaccard-late")))
+    return rows.select("rid", "doc_id", "n", "class"), classes, comps
 
 
 def classes_of(docs: DataFrame) -> DataFrame:

@@ -317,9 +317,13 @@ def components(docs):
     return sorted(((d, len(sets[i]), least[top(i)] if least[top(i)] < math.inf else None) for i, (d, _) in enumerate(docs)), key=str)
 
 
-@pytest.mark.parametrize("long_list", [48, 4])
-def test_jaccard(spark, long_list, monkeypatch):
+@pytest.mark.parametrize("long_list, family_block, mark", [(48, 400_000, (1 << 64) - 1), (4, 200, 15)])
+def test_jaccard(spark, long_list, family_block, mark, monkeypatch):
+    """Also with long lists everywhere, families in many blocks, and fingerprints that many sets share."""
     monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
+    monkeypatch.setattr(jaccard, "FAMILY_BLOCK", family_block)
+    monkeypatch.setattr(jaccard, "HUB_GROUP", long_list)
+    monkeypatch.setattr(jaccard, "_MARK", np.uint64(mark))
     rng = random.Random(5)
     docs, line = [], prose(30, rng)
     for g in range(6):
@@ -336,6 +340,21 @@ def test_jaccard(spark, long_list, monkeypatch):
     assert got == components(docs)
 
 
+def test_jaccard_blocks_skip_no_pair():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        size = rng.integers(2, 60, rng.integers(1, 5))
+        which = np.repeat(np.arange(len(size)), size)
+        n = rng.integers(5, 60, len(which))
+        pos = rng.integers(0, n)
+        order = np.lexsort((pos, n, which))
+        n, pos, at = n[order], pos[order], np.concatenate(([0], np.cumsum(size)))
+        got = {(int(i), int(j)) for x, y in jaccard.block_pairs(at, n, pos, chunk=100) for i, j in zip(x, y, strict=True)}
+        i, j = np.triu_indices(len(n), 1)
+        ok = (which[i] == which[j]) & jaccard._may_link(n[i], n[j], pos[i], pos[j])
+        assert got == set(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
+
+
 def test_jaccard_odd(spark):
     got = {r["doc_id"]: r for r in jaccard.classes_of(table(spark, ODD)).collect()}
     assert got[1]["n_shingles"] == 0 and got[1]["component_id"] == 1
