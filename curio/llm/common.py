@@ -171,6 +171,29 @@ def unpacked(batches: Iterator[pa.RecordBatch], rows: bool = False, limit: int =
             first = last
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that agree in the first ``keys`` columns (whole numbers), whole across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.column_stack([np.asarray(batch.column(c)) for c in range(keys)])
+        at = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if held and (k[a] != last).any():
+                yield whole()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = k[a]
+    if held:
+        yield whole()
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

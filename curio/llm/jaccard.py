@@ -6,18 +6,18 @@ fewer words).  Two link when 100 * intersection >= ``PERCENT`` * union.
 1. *Copies first.*  One pass makes each document's set fingerprint and packs its text; documents of one
    set are one class, and only classes are joined.  Classes that share a 64-bit fingerprint show by a
    second one and take that instead.  The pass also finds shingles that many classes have.
-2. *Index.*  Sets are ordered by hash with frequent shingles last.  A linked pair shares one of the first
+2. *Index.*  Sets are ordered with frequent shingles last, the most frequent ones at the end.  A linked pair shares one of the first
    n - ceil(0.8 n) + 1, and at the first shared one as much as a link needs must still follow: that bounds
    the positions.  Lists are sorted by size, then position, and cut into blocks of ``LIST_BLOCK`` entries;
    the sizes and positions of two blocks tell whether any pair of them can link, else both are skipped.
 3. *Hubs.*  The entry of least position in a list has the fewest rare shingles, so in a group of near
    copies it is the one that most others resemble: the list's hub.  Members are compared with it first;
    those linked with it are one component, and pairs within a component are never compared.
-4. *Answers from similar sets.*  Long lists never gather in one place: their members only meet the hub.
+4. *Answers from similar sets.*  In long lists members only meet the hub, and very long ones never gather in one place.
    All long lists of a hub Q are one family, whose members' overlaps with Q bound every other pair,
    |R n S| <= min(|R n Q|, |S n Q|) + min(|R - Q|, |S - Q|).  Families are dealt into blocks by size and
    overlap (``FAMILY_BLOCK`` shingles at most), and only pairs of blocks that this bound and the components
-   leave open are compared, each pair of blocks in a group of its own.
+   leave open are compared, each pair of blocks in a group of its own: by sketches first, then by whole sets.
 
 No pair is lost: each is either compared by whole sets, ruled out by a bound, or joined through a common
 hub.  Sketches (counts of the set's hashes in ``CELLS`` cells) bound the difference of two sets from below
@@ -44,11 +44,12 @@ from curio.llm import common
 
 SHINGLE, PERCENT = 5, 80
 U64 = np.uint64
-CELLS = 64
+CELLS = 256
 #: Bound of the broadcast set of frequent shingles; it orders sets and names long lists, and loses no pair.
 MAX_FREQUENT = 300_000
-#: Lists of more members are resolved by families; shorter ones in blocks of so many entries.
-LONG_LIST, LIST_BLOCK = 48, 8
+#: Lists of more members are resolved by families, shorter ones in blocks of so many entries; lists that are
+#: known to have more than DEALT_LIST are not even gathered to find their hub.
+LONG_LIST, LIST_BLOCK, DEALT_LIST = 8, 4, 2_000
 #: Shingles in a block of a family (one document may have more), and members that meet their hub in one group.
 FAMILY_BLOCK, HUB_GROUP = 400_000, 256
 #: Long lists whose hubs are broadcast; beyond that they are joined by a shuffle.
@@ -142,7 +143,7 @@ def describe(docs: DataFrame, flush: int = 4_000_000) -> DataFrame:
             row, h, offsets, mark, twin = _sets(data, at)
             size = np.diff(offsets)
             cells = np.bincount(row * CELLS + (h & U64(CELLS - 1)).astype(np.int64), minlength=CELLS * len(size))
-            sketch = [x.tobytes() for x in np.minimum(cells, 65_535).astype("<u2").reshape(-1, CELLS)]
+            sketch = [x.tobytes() for x in np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)]
             raw = memoryview(data.tobytes())
             z = [codec.compress(raw[a:b], asbytes=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             doc = part.column(part.schema.get_field_index("doc_id")).cast(pa.int64())
@@ -234,14 +235,18 @@ _FOUND = ("kind", "a", "b", "na", "nb", "list")
 
 
 def index(described: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shared: np.ndarray, flush: int = 2_000_000) -> DataFrame:
-    """Rows (kind, a, b, na, nb, list): kind 0 hub pairs, 1 other candidate pairs, 2 members (a) of long lists, ``nb`` their position."""
+    """Rows (kind, a, b, na, nb, list).
+
+    Kind 0: a hub and a member of a short list, 1: other pairs of short lists, 2: members (a) of dealt lists with their
+    position ``nb``, 3: a hub (a) of long lists and a member.
+    """
     spark = described.sparkSession
     buckets = common.shuffle_parts(spark)
     often_, count_ = frequent
-    held_frequent = spark.sparkContext.broadcast((often_, often_[count_ > LONG_LIST]))  # at most MAX_FREQUENT hashes each
+    held_frequent = spark.sparkContext.broadcast((often_, count_, often_[count_ > DEALT_LIST]))  # at most MAX_FREQUENT hashes each
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, long_ = held_frequent.value
+        often, times, long_ = held_frequent.value
         held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
 
@@ -264,7 +269,7 @@ def index(described: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shared:
             mark = _classes(mark, twin, shared)
             if len(often):
                 i = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                order = np.lexsort((h, often[i] == h, row))
+                order = np.lexsort((h, np.where(often[i] == h, times[i], 0), row))
                 h = h[order]
             n = np.diff(offsets)[row]
             pos = np.arange(len(h)) - offsets[:-1][row]
@@ -297,8 +302,11 @@ def index(described: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shared:
             h, mark, n, pos = entries(rows[~long_])
             at = common.runs(h)
             size = np.repeat(np.diff(at), np.diff(at))
-            if (more := size > LONG_LIST).any():  # not known before
-                put(2, mark[more], mark[more], n[more], pos[more], h[more])
+            if (more := size > LONG_LIST).any():
+                which, m, k, p = (x[more] for x in (np.repeat(np.arange(len(at) - 1), np.diff(at)), mark, n, pos))
+                hub = np.repeat(np.lexsort((m, p, which))[common.runs(which)[:-1]], np.diff(common.runs(which)))
+                other = np.flatnonzero(hub != np.arange(len(hub)))
+                put(3, m[hub[other]], m[other], k[hub[other]], k[other])
             short = (size > 1) & ~more
             h, mark, n, pos = h[short], mark[short], n[short], pos[short]
             order = np.lexsort((pos, n, h))
@@ -327,10 +335,10 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32) for k in (4, 5))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for k in (4, 5))
             na, nb = (np.asarray(batch.column(k)) for k in (2, 3))
             # a symmetric difference of d leaves an intersection of (na + nb - d) / 2 at most
-            most = np.minimum((na + nb - np.abs(x - y).sum(axis=1)) // 2, np.minimum(na, nb))
+            most = np.minimum((na + nb - np.abs(x - y).sum(axis=1, dtype=np.int64)) // 2, np.minimum(na, nb))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(most)], names=["a", "b", "na", "nb", "most"])
 
     s = classes.select("class", "sketch")
@@ -387,29 +395,37 @@ def _with_component(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return got.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def families(members: DataFrame) -> DataFrame:
-    """(hub, nhub, a, na): the other members of the long lists that have one hub; ``members``: (list, a, na, pos)."""
+def families(found: DataFrame) -> DataFrame:
+    """(hub, nhub, a, na): the other members of the long lists that have one hub; ``found`` is an :func:`index`."""
+    members = found.where("kind = 2").select("list", "a", "na", F.col("nb").alias("pos"))
     hubs = common.cut(members.groupBy("list").agg(F.min(F.struct("pos", F.col("a").alias("hub"), F.col("na").alias("nhub"))).alias("h")).select("list", "h.hub", "h.nhub"), "jaccard-list-hubs")
     few = hubs.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS
-    return members.join(F.broadcast(hubs) if few else hubs, "list").where("a <> hub").select("hub", "nhub", "a", "na").distinct()
+    dealt = members.join(F.broadcast(hubs) if few else hubs, "list").where("a <> hub").select("hub", "nhub", "a", "na")
+    return dealt.unionByName(found.where("kind = 3").select(F.col("a").alias("hub"), F.col("na").alias("nhub"), F.col("b").alias("a"), F.col("nb").alias("na"))).distinct()
 
 
-def _across(family: DataFrame, bounds: DataFrame, compared: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links of members of one family and different components, one at least for each two components that have any."""
+def _placed(family: DataFrame, bounds: DataFrame, compared: DataFrame, comps: DataFrame) -> DataFrame:
+    """(hub, i, j, block, a, n, in_hub, most, comp): members of each unit to compare, block i of a family with block j.
+
+    A family of at most FAMILY_BLOCK shingles is one unit; of larger ones, pairs of blocks that the bounds leave open.
+    """
     ends = (F.least("hub", "a").alias("a"), F.greatest("hub", "a").alias("b"))
     pair = family.select("hub", F.col("a").alias("member"), F.col("na").alias("n"), *ends)
     state = pair.join(bounds.select("a", "b", "most"), ["a", "b"]).join(compared.select("a", "b", "both"), ["a", "b"], "left")
     state = state.select("hub", F.col("member").alias("a"), "n", F.coalesce("both", F.lit(0)).alias("in_hub"), F.coalesce("both", "most").alias("most"))
     state = state.join(comps.select(F.col("id").alias("a"), "component_id"), "a", "left").withColumn("comp", F.coalesce("component_id", "a")).drop("component_id")
-    # members alike in size and overlap with the hub are neighbours in the order of blocks
-    key = ["hub", "size", "share"]
-    state = state.withColumn("size", F.floor(F.log("n") / F.log(F.lit(1.12))).cast("int")).withColumn("share", F.floor(16 * F.col("in_hub") / F.col("n")).cast("int"))
     state = common.cut(state, "jaccard-state")
-    several = state.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hub")
-    large = state.groupBy(*key).agg(F.ceil(F.sum("n") / FAMILY_BLOCK).alias("k")).where("k > 1")
-    state = state.join(several, "hub", "left_semi").join(large, key, "left").withColumn("block", F.xxhash64("size", "share", F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1)))))
-    state = common.cut(state.select("hub", "block", "a", "n", "in_hub", "most", "comp"), "jaccard-blocks")
-    blocks = state.groupBy("hub", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("most").alias("m"), F.max(F.col("n") - F.col("in_hub")).alias("r"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    # more members than one, in more components than one
+    several = state.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("whole")).where("lo <> hi").select("hub", (F.col("whole") > FAMILY_BLOCK).alias("dealt"))
+    state = state.join(several, "hub")
+    whole = state.where("not dealt").select("hub", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("block"), "a", "n", "in_hub", "most", "comp")
+    # members alike in size and overlap with the hub share blocks
+    key = ["hub", "size", "share"]
+    large = state.where("dealt").withColumn("size", F.floor(F.log("n") / F.log(F.lit(1.12))).cast("int")).withColumn("share", F.floor(16 * F.col("in_hub") / F.col("n")).cast("int"))
+    parts = large.groupBy(*key).agg(F.ceil(F.sum("n") / FAMILY_BLOCK).alias("k")).where("k > 1")
+    large = large.join(parts, key, "left").withColumn("block", F.xxhash64("size", "share", F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1)))))
+    large = common.cut(large.select("hub", "block", "a", "n", "in_hub", "most", "comp"), "jaccard-blocks")
+    blocks = large.groupBy("hub", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("most").alias("m"), F.max(F.col("n") - F.col("in_hub")).alias("r"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     blocks = common.cut(blocks, "jaccard-block-bounds")
     two = blocks.withColumnsRenamed({c: f"{c}_" for c in ("block", "n0", "n1", "m", "r", "c0", "c1")})
     open_ = (
@@ -419,33 +435,74 @@ def _across(family: DataFrame, bounds: DataFrame, compared: DataFrame, comps: Da
     )
     pairs = common.cut(blocks.join(two, "hub").where("block <= block_").where(open_).select("hub", F.col("block").alias("i"), F.col("block_").alias("j")), "jaccard-block-pairs")
     places = pairs.select("hub", "i", "j", F.col("i").alias("block")).unionByName(pairs.where("i <> j").select("hub", "i", "j", F.col("j").alias("block")))
-    sent = state.join(places, ["hub", "block"]).join(texts.withColumnRenamed("class", "a"), "a").select("hub", "i", "j", "block", "a", "comp", "n_bytes", "z")
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        data, at = common.unpack(rows["n_bytes"], rows["z"])
-        row, h, offsets, _, _ = _sets(data, at)
-        n, comp, a = np.diff(offsets), rows["comp"].to_numpy(), rows["a"].to_numpy()
-        left = np.flatnonzero(rows["block"].to_numpy() == key[1])
-        right = np.flatnonzero(rows["block"].to_numpy() == key[2])
-        _, which, times = np.unique(h, return_inverse=True, return_counts=True)
-        spot = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[which]  # shingles of one row only meet nothing
-        row, spot = row[spot >= 0], spot[spot >= 0]
-        order = np.argsort(spot, kind="stable")
-        row, spot = row[order], spot[order]
-        both = np.zeros((len(left), len(right)), np.float32)
-        for low in range(0, int(spot[-1]) + 1 if len(spot) else 0, 2_048):
-            some = slice(*np.searchsorted(spot, (low, low + 2_048)))
-            has = np.zeros((len(a), 2_048), np.float32)
-            has[row[some], spot[some] - low] = 1
-            both += has[left] @ has[right].T
-        both = both.astype(np.int64)
-        hit = 100 * both >= PERCENT * (n[left][:, None] + n[right] - both)
-        x, y = np.nonzero(hit & (comp[left][:, None] != comp[right]))
-        x, y = left[x], right[y]
-        _, one = np.unique(np.column_stack((comp[x], comp[y])), axis=0, return_index=True)
-        return pd.DataFrame({"a": a[x[one]], "b": a[y[one]]})
-
-    return sent.groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long")
+    return whole.unionByName(large.join(places, ["hub", "block"]).select(*whole.columns))
+
+
+def _sides(unit: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of block i and of block j of a unit."""
+    i, j, block = (np.asarray(unit.column(k)) for k in (1, 2, 3))
+    return np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+
+def _open_members(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(hub, i, j, block, a, comp): members of a unit that may link with another one there, of another component."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in common.groups(batches, 3):
+            left, right = _sides(unit)
+            n, in_hub, most, comp = (np.asarray(unit.column(k)) for k in (5, 6, 7, 8))
+            cells = np.frombuffer(b"".join(unit.column(9).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+            rest = n - in_hub
+            stay = np.zeros(len(n), bool)
+            step = max(1, 50_000 // max(1, len(right)))
+            for low in range(0, len(left), step):
+                x = left[low : low + step][:, None]
+                need = _required(n[x], n[right])
+                ok = (comp[x] != comp[right]) & (np.minimum(n[x], n[right]) >= need) & (np.minimum(most[x], most[right]) + np.minimum(rest[x], rest[right]) >= need)
+                u, v = np.nonzero(ok)
+                need = need[u, v]
+                u, v = x[u, 0], right[v]
+                hit = (n[u] + n[v] - np.abs(cells[u] - cells[v]).sum(axis=1, dtype=np.int64)) // 2 >= need
+                stay[u[hit]] = stay[v[hit]] = True
+            if stay.any():
+                yield unit.select([0, 1, 2, 3, 4, 8]).filter(pa.array(stay))
+
+    sketched = placed.join(classes.select(F.col("class").alias("a"), "sketch"), "a").select(*placed.columns, "sketch")
+    return sketched.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(keep, "hub long, i long, j long, block long, a long, comp long")
+
+
+def _across(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links of members of one unit and different components, one at least for each two components that have any."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in common.groups(batches, 3):
+            left, right = _sides(unit)
+            a, comp = np.asarray(unit.column(4)), np.asarray(unit.column(5))
+            data, at = common.unpack(unit.column(6).to_pylist(), unit.column(7).to_pylist())
+            row, h, offsets, _, _ = _sets(data, at)
+            n = np.diff(offsets)
+            _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+            spot = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[which]  # shingles of one row only meet nothing
+            row, spot = row[spot >= 0], spot[spot >= 0]
+            order = np.argsort(spot, kind="stable")
+            row, spot = row[order], spot[order]
+            both = np.zeros((len(left), len(right)), np.float32)
+            width = 2_048
+            for low in range(0, int(spot[-1]) + 1 if len(spot) else 0, width):
+                some = slice(*np.searchsorted(spot, (low, low + width)))
+                has = np.zeros((len(a), min(width, int(spot[-1]) + 1 - low)), np.float32)
+                has[row[some], spot[some] - low] = 1
+                both += has[left] @ has[right].T
+            both = both.astype(np.int64)
+            hit = 100 * both >= PERCENT * (n[left][:, None] + n[right] - both)
+            x, y = np.nonzero(hit & (comp[left][:, None] != comp[right]))
+            x, y = left[x], right[y]
+            _, one = np.unique(np.column_stack((comp[x], comp[y])), axis=0, return_index=True)
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(a[x[one]]), pa.array(a[y[one]])], names=["a", "b"])
+
+    sent = members.join(texts.withColumnRenamed("class", "a"), "a").select("hub", "i", "j", "block", "a", "comp", "n_bytes", "z")
+    return sent.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(compare, "a long, b long")
 
 
 def _resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -472,18 +529,21 @@ def _resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     common.release(spark)
 
     columns = ("a", "b", "na", "nb")
-    members = found.where("kind = 2").select("list", "a", "na", F.col("nb").alias("pos"))
-    family = common.cut(families(members), "jaccard-families")
+    family = common.cut(families(found), "jaccard-families")
     hubs = found.where("kind = 0").select(*columns).unionByName(_ordered(family.select(F.col("hub").alias("a"), F.col("a").alias("b"), F.col("nhub").alias("na"), F.col("na").alias("nb"))))
     bounds = common.cut(_bounded(hubs.distinct(), classes), "jaccard-hubs")
     others = common.cut(_bounded(found.where("kind = 1").select(*columns).distinct(), classes).where(F.col("most") >= _need(F.col("na"), F.col("nb"))), "jaccard-others")
     near = bounds.where(F.col("most") >= _need(F.col("na"), F.col("nb")))
 
-    # packed texts of the classes that are compared, one of each; copies go as one before the shuffle
+    def texts_of(named: DataFrame) -> DataFrame:
+        """Packed texts of the classes, one of each; copies go as one before the shuffle."""
+        single = rows.where("n > 0").select("class", "n_bytes", "z").dropDuplicates(["class"])
+        found_ = common.cut(single.join(named.distinct(), "class", "left_semi"), "jaccard-texts")
+        common.release(spark)
+        return found_
+
     either = F.explode(F.array("a", "b")).alias("class")
-    named = near.select(either).unionByName(others.select(either)).unionByName(family.select(F.col("a").alias("class"))).distinct()
-    texts = common.cut(rows.where("n > 0").select("class", "n_bytes", "z").dropDuplicates(["class"]).join(named, "class", "left_semi"), "jaccard-texts")
-    common.release(spark)
+    texts = texts_of(near.select(either).unionByName(others.select(either)))
 
     compared = common.cut(_overlaps(near, texts), "jaccard-overlaps")
     common.release(spark)
@@ -494,8 +554,10 @@ def _resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return common.cut(common.components(edges), "jaccard-components") if links.limit(1).count() else comps
 
     if family.limit(1).count():
-        comps = joined_with(common.cut(_across(family, bounds, compared, comps, texts), "jaccard-across"))
+        open_ = common.cut(_open_members(_placed(family, bounds, compared, comps), classes), "jaccard-open")
         common.release(spark)
+        if open_.limit(1).count():
+            comps = joined_with(common.cut(_across(open_, texts_of(open_.select(F.col("a").alias("class")))), "jaccard-across"))
     left = common.cut(_with_component(others, comps), "jaccard-left")
     if left.limit(1).count():
         comps = joined_with(_linked(common.cut(_overlaps(left, texts), "jaccard-late")))

@@ -317,12 +317,13 @@ def components(docs):
     return sorted(((d, len(sets[i]), least[top(i)] if least[top(i)] < math.inf else None) for i, (d, _) in enumerate(docs)), key=str)
 
 
-@pytest.mark.parametrize("long_list, family_block, mark", [(48, 400_000, (1 << 64) - 1), (4, 200, 15)])
+@pytest.mark.parametrize("long_list, family_block, mark", [(48, 400_000, (1 << 64) - 1), (3, 200, 15)])
 def test_jaccard(spark, long_list, family_block, mark, monkeypatch):
     """Also with long lists everywhere, families in many blocks, and fingerprints that many sets share."""
     monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
     monkeypatch.setattr(jaccard, "FAMILY_BLOCK", family_block)
     monkeypatch.setattr(jaccard, "HUB_GROUP", long_list)
+    monkeypatch.setattr(jaccard, "DEALT_LIST", long_list + 9)
     monkeypatch.setattr(jaccard, "_MARK", np.uint64(mark))
     rng = random.Random(5)
     docs, line = [], prose(30, rng)
