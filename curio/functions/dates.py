@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RULE_VERSION = "2026-08-01"
+RULE_VERSION = "curio-1"
 #: Precision words of one source.
 PRECISION_WORDS = {"en": "exact", "vers": "circa", "entre": "range", "après": "after", "apres": "after", "avant": "before", "début": "circa", "debut": "circa", "fin": "circa"}
 

@@ -81,9 +81,5 @@ def image_path(image_id: Column, size: str | None = None, root: str = "./public/
     return F.regexp_replace(F.concat(F.lit(f"{root}/"), image_id.cast("string"), F.lit(f".{size}.jpg" if size else ".jpg")), r"^\.", "")
 
 
-def last_segment(value: Column) -> Column:
-    return F.element_at(F.split(value, "/"), -1)
-
-
 def iso_now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")

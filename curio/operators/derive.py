@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curio.sources import raw
+
 
 def seed_names(artists: DataFrame, lang: str, now: Column) -> DataFrame:
     """Names in the original language that the source itself gives, as rows of image_artist_names."""
@@ -16,28 +18,46 @@ def seed_names(artists: DataFrame, lang: str, now: Column) -> DataFrame:
 
 
 def _put(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """``table`` with the rows of ``new`` in place of those with their keys; of new rows with one key the last by ``order``, then by their columns."""
+    rest = [c for c in table.columns if c not in key]
+    new = raw.last_wins(new, key, [c for c in ("order", *rest) if c in new.columns])
     return table.join(new.select(*key), key, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
 
 
+def _order(csv: DataFrame) -> list[str]:
+    return ["order"] if "order" in csv.columns else []
+
+
 def put_seed(names: DataFrame, artists: DataFrame, lang: str, now: Column) -> DataFrame:
     """image_artist_names after seeding."""
     return _put(names, seed_names(artists, lang, now), ["image_artist_id", "lang"])
 
 
+def read_translations(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    """Rows (``key``, ``value``, confidence, method, order) of CSV files with a header, ``key`` being source_url or name_raw.
+
+    Keys are taken as they stand, blanks included, since they are matched exactly; rows without a key or a value go.
+    ``order`` is the file's name and the place in it, so the last row of a key wins.
+    """
+    rows = spark.read.csv(path, header=True, schema=f"`{key}` string, `{value}` string, confidence string, method string", multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="", enforceSchema=False)
+    placed = rows.withColumn("order", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
+    return placed.where((F.coalesce(key, F.lit("")) != "") & (F.coalesce(value, F.lit("")) != ""))
+
+
 def apply_titles(translations: DataFrame, images: DataFrame, csv: DataFrame, lang: str, now: Column) -> DataFrame:
-    """image_translations after rows (source_url, text, confidence, method) were applied to the images that they name."""
+    """image_translations after rows (source_url, text, confidence, method, perhaps order) were applied to the images that they name."""
     met = csv.where(F.col("text").isNotNull()).join(images.select("id", "source_url", "title"), "source_url")
-    new = met.select(F.col("id").alias("image_id"), F.lit("title").alias("field"), F.lit(lang).alias("lang"), "text", "confidence", "method", F.col("title").alias("source_text"), now.alias("translated_at"))
+    new = met.select(F.col("id").alias("image_id"), F.lit("title").alias("field"), F.lit(lang).alias("lang"), "text", "confidence", "method", F.col("title").alias("source_text"), now.alias("translated_at"), *_order(csv))
     return _put(translations, new, ["image_id", "field", "lang"])
 
 
 def apply_names(names: DataFrame, artists: DataFrame, csv: DataFrame, lang: str, now: Column) -> DataFrame:
-    """image_artist_names after rows (name_raw, name, confidence, method) were fanned out to all entries of that name.
+    """image_artist_names after rows (name_raw, name, confidence, method, perhaps order) were fanned out to all entries of that name.
 
     What the source itself gave (method ``source``) is never replaced.
     """
     met = csv.where(F.col("name").isNotNull()).join(artists.select("id", "name_raw"), "name_raw")
-    new = met.select(F.col("id").alias("image_artist_id"), F.lit(lang).alias("lang"), "name", "confidence", "method", F.col("name_raw").alias("name_original"), now.alias("translated_at"))
+    new = met.select(F.col("id").alias("image_artist_id"), F.lit(lang).alias("lang"), "name", "confidence", "method", F.col("name_raw").alias("name_original"), now.alias("translated_at"), *_order(csv))
     protected = names.where(F.col("method") == "source").select("image_artist_id", "lang")
     return _put(names, new.join(protected, ["image_artist_id", "lang"], "left_anti"), ["image_artist_id", "lang"])
 

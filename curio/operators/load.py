@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curio import schemas
+from curio import schemas, tables
 from curio.functions import dates
 
 
 def allocate_ids(new: DataFrame, order: list[str], base: int = 0, into: str = "id") -> DataFrame:
-    """``new`` with ids base + 1, base + 2, ... by ``order``.
+    """``new`` with ids base + 1, base + 2, ... by ``order``; rows that tie are numbered in any order.
 
-    Rows are range-partitioned and numbered within their partition; only the partitions' sizes, one row
-    each, are summed up in one place.
+    Rows are range-partitioned, sorted and numbered within their partition, and written once: sizes and ids
+    come from the same table, however often Spark would deal the rows anew.  Only the partitions' sizes, one
+    row each, are summed up in one place.
     """
-    ordered = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ordered = ordered.withColumn("_seq", F.monotonically_increasing_id())
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_seq").alias("_lo"))
-    before = sizes.select("_part", "_lo", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    numbered = ordered.join(F.broadcast(before), "_part")
-    return numbered.select(*(F.col(f"`{c}`") for c in new.columns), (F.lit(base) + F.col("_before") + F.col("_seq") - F.col("_lo") + 1).cast("long").alias(into))
+    part, seq = tables.unused(new.columns, "_part", "_seq")
+    ordered = new.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = tables.cut(ordered.withColumns({part: F.spark_partition_id(), seq: F.monotonically_increasing_id()}), "ordered")
+    sizes = ordered.groupBy(F.col(part).alias("_p")).agg(F.count("*").alias("_n"), F.min(seq).alias("_lo"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n") - F.col("_lo")).alias("_before"))
+    numbered = ordered.select(F.struct("*").alias("r")).join(F.broadcast(before), F.col(f"r.{part}") == F.col("_p"))
+    return numbered.select(*(F.col("r")[c].alias(c) for c in new.columns), (F.lit(base) + F.col("_before") + F.col("r")[seq] + 1).cast("long").alias(into))
 
 
 def changed(old: str, new: str, columns: tuple[str, ...]) -> Column:
@@ -129,34 +133,38 @@ def load_stats(loaded: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables as numbered versions in a folder; a version counts once its pointer row is committed.
+    """Tables as numbered versions in a folder; a version counts once its pointer is committed.
 
-    A job reads the current version and writes the next, so it never overwrites what it reads, and one
-    that dies leaves the current version as it was.
+    A job reads the current version and writes the next into a folder of its own, so it never overwrites what
+    it or another job reads.  A pointer is a new folder named by its version: of two jobs that began with one
+    version the second fails, and one that dies leaves the current version as it was.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def version(self, table: str) -> int:
-        pointers = self._pointers(table)
-        return pointers.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
-
-    def _pointers(self, table: str) -> DataFrame:
+    def _current(self, table: str) -> tuple[int, str | None]:
         try:
-            return self.spark.read.schema("version int").json(f"{self.path}/{table}/current").limit(1_000_000)
-        except Exception as e:
+            pointers = self.spark.read.schema("version int, folder string").option("recursiveFileLookup", True).json(f"{self.path}/{table}/current")
+            last = pointers.agg(F.max(F.struct("version", "folder")).alias("p")).first()["p"]
+        except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], "version int")
+            last = None
+        return (last["version"], last["folder"]) if last else (0, None)
+
+    def version(self, table: str) -> int:
+        return self._current(table)[0]
 
     def read(self, table: str) -> DataFrame:
-        v = self.version(table)
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.path}/{table}/v{v}") if v else schemas.empty(self.spark, table)
-
-    def write(self, table: str, df: DataFrame) -> int:
-        v = self.version(table) + 1
-        columns = [f.name for f in schemas.TABLES[table]]
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{table}/v{v}")
-        self.spark.createDataFrame([(v,)], "version int").coalesce(1).write.mode("append").json(f"{self.path}/{table}/current")
+        _, folder = self._current(table)
+        return self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.path}/{table}/{folder}") if folder else schemas.empty(self.spark, table)
+
+    def write(self, table: str, df: DataFrame, after: int | None = None) -> int:
+        """Commit ``df`` as the version after ``after``, the one that it was made of (the current one for none)."""
+        v = (self.version(table) if after is None else after) + 1
+        folder = f"v{v}-{uuid.uuid4().hex}"
+        df.select(*(f.name for f in schemas.TABLES[table])).write.parquet(f"{self.path}/{table}/{folder}")
+        pointer = self.spark.createDataFrame([(v, folder)], "version int, folder string").coalesce(1)
+        pointer.write.mode("errorifexists").json(f"{self.path}/{table}/current/v{v}")
         return v

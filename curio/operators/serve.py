@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curio.functions.text import contains_like
@@ -23,19 +23,24 @@ def by_style(images: DataFrame, style: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: str = "id") -> DataFrame:
-    """``df`` with ``n``, the place from 0 by ``order``: ranges sorted apart, their sizes summed up in one row each."""
+    """``df`` with ``n``, the place from 0 by ``order``: see :func:`curio.operators.load.allocate_ids`."""
     from curio.operators.load import allocate_ids
 
     return allocate_ids(df, [order], -1, "n")
 
 
 def pick(df: DataFrame, bucket: int, order: str = "id") -> DataFrame:
-    """The row that a minute shows: the same all through it, spread evenly over minutes; none of no rows."""
-    count = df.count()
+    """The row that a minute shows: the same all through it, spread evenly over minutes; none of no rows.
+
+    Only the keys are ranked, by ranges; the row is then looked up by its key.
+    """
+    keys = ranked(df.select(F.col(order).alias("k")), "k")
+    count = keys.count()
     if not count:
         return df.limit(0)
-    n = df.sparkSession.range(1).select(F.pmod(F.xxhash64(F.lit(bucket).cast("long")), F.lit(count))).first()[0]
-    return df.orderBy(order).offset(int(n)).limit(1)
+    n = F.pmod(F.xxhash64(F.lit(bucket).cast("long")), F.lit(count))
+    chosen = keys.where(F.col("n") == n).select("k")  # one row
+    return df.join(F.broadcast(chosen), df[order].eqNullSafe(chosen["k"]), "left_semi").limit(1)
 
 
 def page_after(df: DataFrame, last: int, n: int = 5000, key: str = "id") -> DataFrame:
@@ -43,11 +48,5 @@ def page_after(df: DataFrame, last: int, n: int = 5000, key: str = "id") -> Data
     return df.where(F.col(key) > last).orderBy(key).limit(n)
 
 
-def last_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio import schemas
+from curio import schemas, tables
 from curio.functions import dates, text
 from curio.operators import collections, derive, load, serve
 from curio.sources import extract, raw
+from curio.streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,16 +71,16 @@ def pattern_union(spark, sf):
 
 
 @_query(f"""WITH m AS ({_MEMBERS}) SELECT collection_id, image_id FROM m WHERE collection_id <> 2
-UNION ALL SELECT 2, CAST(p_partkey AS BIGINT) FROM part WHERE {_FOLD.format('p_type')} LIKE '%steel%'""")
+UNION ALL SELECT 2, CAST(p_partkey AS BIGINT) FROM part WHERE {_FOLD.format('p_type')} LIKE '%mall%'""")
 def replace_collection(spark, sf):
     images = _images(spark, sf)
     old = collections.members(images, {d["id"]: d["artists"] for d in DEFINITIONS})
-    return collections.replace_members(old, collections.members(images, {2: ["STEEL"]}, "style"), [2])
+    return collections.replace_members(old, collections.members(images, {2: ["MALL"]}, "style"), [2])
 
 
-@_query(f"SELECT CAST(p_partkey AS BIGINT) AS id, p_type AS style FROM part WHERE {_FOLD.format('p_type')} LIKE '%e_l%'")
+@_query(f"SELECT CAST(p_partkey AS BIGINT) AS id, p_type AS style FROM part WHERE {_FOLD.format('p_type')} LIKE '%m_d%'")
 def style_filter(spark, sf):
-    return serve.by_style(_images(spark, sf), "E_l").select("id", "style")
+    return serve.by_style(_images(spark, sf), "M_d").select("id", "style")
 
 
 @_query(f"WITH m AS ({_MEMBERS}) SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS title FROM part WHERE p_partkey IN (SELECT image_id FROM m WHERE collection_id = 2)")
@@ -256,6 +257,20 @@ def precision_histogram(spark, sf):
     return load.histogram(load.image_dates(_dated(spark, sf)), "date_precision")
 
 
+@_query(f"""SELECT CAST(o_orderkey AS BIGINT) AS id, {_Y} AS date_start, CAST({_Y} + CASE WHEN o_orderkey % 3 = 1 THEN 3 ELSE 0 END AS INTEGER) AS date_end, CASE WHEN o_orderkey % 3 = 1 THEN 'range' ELSE 'exact' END AS date_precision FROM orders""")
+def date_both_ends(spark, sf):
+    """What the text calls before, after or a range, against both years of the source: exact where those agree."""
+    k, y = F.col("o_orderkey") % 3, F.year("o_orderdate")
+    spoken = F.when(k == 0, F.concat(F.lit("before "), y)).when(k == 1, F.concat(F.lit("after "), y)).otherwise(F.concat(y, F.lit("–"), y + 4))
+    o = _read(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.lit("met").alias("source"), spoken.alias("date"), y.alias("date_raw_start"), (y + F.when(k == 1, 3).otherwise(0)).alias("date_raw_end"), F.lit(None).cast("string").alias("date_raw_precision"))
+    return dates.resolve(o).select("id", "date_start", "date_end", "date_precision")
+
+
+@_query("SELECT date_trunc('minute', ts) AS minute, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def per_minute(spark, sf):
+    return ingest.per_minute(_read(spark, sf, "events")).select(F.col("minute").cast("timestamp_ntz").alias("minute"), "n")
+
+
 @_query(f"""WITH r AS ({_RESOLVED}) SELECT id AS image_id, date_start, date_end, date_precision, CASE WHEN id % 8 IN (1, 3) THEN 'new' ELSE 'old' END AS rule_version FROM r""")
 def upsert_dates(spark, sf):
     images = _dated(spark, sf).withColumn("source", F.when(F.col("id") % 8 == 3, "aic").otherwise(F.col("source")))
@@ -327,6 +342,24 @@ def sync_artists(spark, sf):
     return out.select("id", "conv_id", "position", F.md5("name_raw").alias("name"), "result", "role_bucket")
 
 
+@_query("""SELECT conv_id + 1 AS image_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, role AS name_raw, CAST(turn AS VARCHAR) AS source_artist_id FROM conversations WHERE conv_id % 5 <> 0""")
+def child_rows(spark, sf):
+    """Lists of a conversation's turns as rows of their own; records whose item is not loaded have none."""
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in schemas.ARTIST}
+    one = F.struct("turn", F.struct(*(c.alias(n) for n, c in (blank | {"name_raw": F.col("role"), "source_artist_id": F.col("turn").cast("string")}).items())).alias("a"))
+    lists = _read(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["a"]).alias("artists"))
+    records = lists.select(F.col("conv_id").cast("string").alias("source_url"), "artists", F.lit(0).alias("item"))
+    images = lists.where("conv_id % 5 <> 0").select((F.col("conv_id") + 1).alias("id"), F.col("conv_id").cast("string").alias("source_url"))
+    return load.child_rows(records, images)[1].select("image_id", "position", "name_raw", "source_artist_id")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def stored_keys(spark, sf):
+    known = _read(spark, sf, "customer").where("c_acctbal > 0").select(F.lit("c").alias("source"), F.col("c_custkey").cast("string").alias("key"))
+    wanted = _read(spark, sf, "orders").select("o_orderkey", F.lit("c").alias("source"), F.col("o_custkey").cast("string").alias("key"))
+    return raw.has(known, wanted).select("o_orderkey")
+
+
 @_query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def incremental_anti(spark, sf):
     known = _read(spark, sf, "customer").where("c_acctbal > 0").select(F.lit("c").alias("source"), F.col("c_custkey").cast("string").alias("key"))
@@ -395,6 +428,18 @@ def apply_titles(spark, sf):
     return _translated(spark, sf)[1].select("image_id", "text", "source_text")
 
 
+@_query("SELECT page_id AS image_id, 'title, \"' || url || '\"' AS text, 'high' AS confidence FROM pages WHERE page_id % 3 = 0")
+def translation_csv(spark, sf):
+    """Titles by way of CSV files: of two rows with one key the last counts, rows without a key or a title go."""
+    images = _read(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("source_url"), F.col("url").alias("title"))
+    row = lambda text, confidence: F.struct(F.col("source_url"), text.alias("text"), F.lit(confidence).alias("confidence"), F.lit("manual").alias("method"))
+    told = F.when(F.col("id") % 3 == 0, F.concat(F.lit('title, "'), "source_url", F.lit('"')))
+    path = tables.shared_folder(spark, "titles")
+    images.select(F.explode(F.array(row(F.when(F.col("id") % 3 == 0, F.lit("first")), "low"), row(told, "high"))).alias("r")).select("r.*").write.option("header", True).option("escape", '"').csv(path)
+    done = derive.apply_titles(schemas.empty(spark, "image_translations"), images, derive.read_translations(spark, path, "source_url", "text"), "en", F.lit("now"))
+    return done.select("image_id", "text", "confidence")
+
+
 @_query(f"SELECT image_id FROM ({_TITLED}) WHERE image_id % 6 = 0")
 def stale(spark, sf):
     images, translations = _translated(spark, sf)
@@ -495,13 +540,63 @@ def ndjson_lines(spark, sf):
     return raw.from_ndjson(e.select(line.alias("value"))).select("source", "key")
 
 
-@_query("SELECT CAST(event_id AS VARCHAR) AS key, 'id/' || event_id AS identifier FROM events WHERE event_id % 4 <> 0 AND event_id % 7 <> 0")
+@_query("SELECT CAST(event_id AS VARCHAR) AS key, 'id&/' || event_id AS identifier FROM events WHERE event_id % 4 <> 0 AND event_id % 7 <> 0")
 def oai_records(spark, sf):
     e = _read(spark, sf, "events")
-    page = F.concat(F.lit("<OAI><record><header"), F.when(F.col("event_id") % 4 == 0, ' status="deleted"').otherwise(""), F.lit("><identifier>id/"), "event_id", F.lit("</identifier><datestamp>d</datestamp></header><metadata>"), F.when(F.col("event_id") % 7 == 0, "").otherwise("<rdf:RDF>x</rdf:RDF>"), F.lit("</metadata></record></OAI>"))
+    page = F.concat(F.lit("<OAI><o:record><o:header"), F.when(F.col("event_id") % 8 == 0, " status='deleted'").when(F.col("event_id") % 4 == 0, ' status="deleted"').otherwise(""), F.lit("><identifier>id&amp;/"), "event_id", F.lit("</identifier><datestamp>d</datestamp></o:header><metadata>"), F.when(F.col("event_id") % 7 == 0, "").otherwise("<rdf:RDF>x</rdf:RDF>"), F.lit("</metadata></o:record></OAI>"))
     return raw.from_oai(raw.harvested(e.select(page.alias("value")))).select("key", F.get_json_object("value", "$.identifier").alias("identifier"))
 
 
+def _pages(spark: SparkSession, sf: str, data: str) -> DataFrame:
+    """Parts in landed pages (source, skip, value): the elements of a hundred keys each, as ``data`` in the JSON."""
+    p = _read(spark, sf, "part").select(F.lit("cleveland").alias("source"), (F.col("p_partkey") - F.col("p_partkey") % 100).alias("skip"), F.when(F.col("p_partkey") % 10 != 0, F.struct(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("entityId"), F.col("p_name").alias("title"))).alias("r"))
+    each = p.groupBy("source", "skip").agg(F.array_join(F.collect_list(F.coalesce(F.to_json("r"), F.lit("null"))), ",").alias("all"))
+    return each.select("source", "skip", F.concat(F.lit(data.split("?")[0]), "all", F.lit(data.split("?")[1])).alias("value"))
+
+
+@_query("SELECT 'cleveland' AS source, CAST(p_partkey AS VARCHAR) AS key, p_name AS title FROM part WHERE p_partkey % 10 <> 0")
+def rest_pages(spark, sf):
+    found = raw.from_pages(_pages(spark, sf, '{"info":{"total":9},"data":[?]}'), "cleveland", "$.data", F.get_json_object("value", "$.id"))
+    return found.select("source", "key", F.get_json_object("value", "$.title").alias("title"))
+
+
+@_query("SELECT 'parismusees' AS source, CAST(p_partkey AS VARCHAR) AS key, p_name AS title FROM part WHERE p_partkey % 10 <> 0")
+def graphql_pages(spark, sf):
+    """Entities of nested pages; null ones go."""
+    found = raw.from_graphql(_pages(spark, sf, '{"data":{"nodeQuery":{"count":9,"entities":[?]}}}'))
+    return found.select("source", "key", F.get_json_object("value", "$.title").alias("title"))
+
+
+@_query("SELECT CASE WHEN p_partkey % 7 <> 0 THEN 'http://next/' || p_partkey END AS url FROM part")
+def next_urls(spark, sf):
+    url = F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit('"http://next/'), "p_partkey", F.lit('"'))).otherwise("null")
+    return raw.next_urls(_read(spark, sf, "part").select(F.concat(F.lit('{"pagination":{"next_url":'), url, F.lit("}}")).alias("value")))
+
+
+@_query("""WITH c AS (SELECT 'c' || (o_custkey % 9) AS source, o_custkey % 9 AS k, max(o_orderkey) AS skip FROM orders GROUP BY 1, 2)
+SELECT source, CASE WHEN k <> 0 AND k % 3 <> 1 THEN skip + 100 END AS skip FROM c""")
+def next_skips(spark, sf):
+    """Of each source's pages the last one says where to go on: nowhere after an empty one, or at the total."""
+    k = F.col("o_custkey") % 9
+    total = F.when(k % 3 == 1, F.col("o_orderkey") + 100).otherwise(F.col("o_orderkey") + 101)
+    value = F.concat(F.lit('{"info":{"total":'), total, F.lit('},"data":['), F.when(k == 0, "").otherwise("{}"), F.lit("]}"))
+    return raw.next_skips(_read(spark, sf, "orders").select(F.concat(F.lit("c"), k).alias("source"), F.col("o_orderkey").alias("skip"), value.alias("value")))
+
+
+@_query("SELECT n_name AS source, CAST((SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 5000) AS BIGINT) AS \"offset\" FROM nation")
+def next_offsets(spark, sf):
+    nations = _read(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("source"))
+    stored = _read(spark, sf, "customer").where("c_acctbal > 5000").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("source")
+    return raw.next_offsets(stored, nations)
+
+
+@_query("SELECT CASE WHEN event_id % 3 = 0 THEN 'a%2Fb%3D' || event_id END AS token, event_id % 3 = 2 AS restart FROM events")
+def resume_tokens(spark, sf):
+    k = F.col("event_id") % 3
+    page = F.when(k == 0, F.concat(F.lit('<r><resumptionToken completeListSize="9">a/b='), "event_id", F.lit("</resumptionToken></r>"))).when(k == 1, "<r><resumptionToken/></r>").otherwise("<r><error code='badResumptionToken'>gone</error></r>")
+    return raw.resume_token(_read(spark, sf, "events").select(page.alias("value")))
+
+
 @_query("SELECT unit, shard FROM (SELECT DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'saam' WHEN 1 THEN 'fsg' ELSE 'other' END AS unit, CAST(o_orderkey % 256 AS VARCHAR) AS shard FROM orders) WHERE unit <> 'other' AND CAST(shard AS INTEGER) >= 16")
 def shards_to_do(spark, sf):
     k = F.col("o_orderkey")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curio import schemas
@@ -51,7 +51,17 @@ def scan(spark: SparkSession, path: str, source: str | None = None) -> DataFrame
 def from_pages(pages: DataFrame, source: str, items: str, key: Column) -> DataFrame:
     """Raw rows of landed REST pages: one for each element of the JSON array at ``items`` in ``value``."""
     each = pages.select(F.explode(F.from_json(F.get_json_object("value", items), "array<string>")).alias("value"))
-    return each.select(F.lit(source).alias("source"), key.alias("key"), "value").where(F.col("key").isNotNull())
+    return each.where(F.col("value").isNotNull()).select(F.lit(source).alias("source"), key.alias("key"), "value").where(F.col("key").isNotNull())
+
+
+def next_urls(pages: DataFrame) -> DataFrame:
+    """The URL that each landed page names as the next; null at the end."""
+    return pages.select(F.get_json_object("value", "$.pagination.next_url").alias("url"))
+
+
+def from_graphql(pages: DataFrame, source: str = "parismusees") -> DataFrame:
+    """Raw rows of landed GraphQL pages: one for each entity that is not null, by its entityId."""
+    return from_pages(pages, source, "$.data.nodeQuery.entities", F.get_json_object("value", "$.entityId"))
 
 
 def from_ndjson(lines: DataFrame, source: str = "smithsonian") -> DataFrame:
@@ -65,9 +75,6 @@ def shards_to_do(index: DataFrame, done: DataFrame) -> DataFrame:
     return index.where(F.col("unit").isin(*UNITS) & (F.trim("shard") != "")).join(done, ["unit", "shard"], "left_anti")
 
 
-_OAI = "struct<`ListRecords`:struct<`record`:array<struct<`header`:struct<`_status`:string,`identifier`:string,`datestamp`:string>,`metadata`:string>>,`resumptionToken`:string>>"
-
-
 def from_oai(records: DataFrame, source: str = "rijksmuseum") -> DataFrame:
     """Raw rows of harvested records (status, identifier, datestamp, rdf_xml): deleted and empty ones go, the rest is wrapped as JSON."""
     kept = records.where((F.coalesce("status", F.lit("")) != "deleted") & F.col("rdf_xml").isNotNull())
@@ -75,22 +82,43 @@ def from_oai(records: DataFrame, source: str = "rijksmuseum") -> DataFrame:
     return kept.select(F.lit(source).alias("source"), F.element_at(F.split("identifier", "/"), -1).alias("key"), wrapped.alias("value"))
 
 
+_RECORD = r"(?s)<(?:[\w.-]+:)?record(?:\s[^>]*)?>.*?</(?:[\w.-]+:)?record\s*>"
+_HEADER = r"(?s)(<(?:[\w.-]+:)?header(?:\s[^>]*)?>.*?</(?:[\w.-]+:)?header\s*>|<(?:[\w.-]+:)?header(?:\s[^>]*)?/>)"
+
+
 def harvested(pages: DataFrame) -> DataFrame:
-    """Records (status, identifier, datestamp, rdf_xml) of harvested pages of XML in ``value``."""
-    each = pages.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<record>.*?</record>"), F.lit(0))).alias("r"))
-    one = lambda pattern: F.nullif(F.regexp_extract("r", pattern, 1), F.lit(""))
-    return each.select(
-        one(r'<header[^>]*\bstatus="([^"]*)"').alias("status"), one(r"(?s)<identifier>\s*(.*?)\s*</identifier>").alias("identifier"),
-        one(r"(?s)<datestamp>\s*(.*?)\s*</datestamp>").alias("datestamp"), one(r"(?s)(<rdf:RDF.*?</rdf:RDF>)").alias("rdf_xml"),
-    )
+    """Records (status, identifier, datestamp, rdf_xml) of harvested pages of XML in ``value``.
+
+    Records are cut out whole; their headers are parsed as XML (either quotes, entities, any prefix), and the
+    description stays as it was sent.
+    """
+    each = pages.select(F.explode(F.regexp_extract_all("value", F.lit(_RECORD), F.lit(0))).alias("r"))
+    bare = F.regexp_replace(F.regexp_extract("r", _HEADER, 1), r"(</?)[\w.-]+:", "$1")  # names without their prefixes
+    parsed = each.select("r", F.from_xml(bare, "_status string, identifier string, datestamp string").alias("h"))
+    rdf = F.nullif(F.regexp_extract("r", r"(?s)(<rdf:RDF.*?</rdf:RDF\s*>)", 1), F.lit(""))
+    return parsed.select(F.col("h._status").alias("status"), F.trim("h.identifier").alias("identifier"), F.trim("h.datestamp").alias("datestamp"), rdf.alias("rdf_xml"))
 
 
 def resume_token(pages: DataFrame) -> DataFrame:
-    """The token of each page to go on with, URL-encoded; null at the end."""
-    token = F.nullif(F.trim(F.regexp_extract("value", r"(?s)<resumptionToken[^>]*>(.*?)</resumptionToken>", 1)), F.lit(""))
-    return pages.select(F.url_encode(token).alias("token"))
+    """(token, restart): the token of each page to go on with, URL-encoded, null at the end; whether the harvest must begin anew since its token is bad."""
+    token = F.nullif(F.trim(F.regexp_extract("value", r"(?s)<(?:[\w.-]+:)?resumptionToken[^>/]*>(.*?)</(?:[\w.-]+:)?resumptionToken\s*>", 1)), F.lit(""))
+    bad = F.coalesce(F.regexp_like("value", F.lit(r"""<(?:[\w.-]+:)?error\s[^>]*code\s*=\s*["']badResumptionToken["']""")), F.lit(False))
+    return pages.select(F.url_encode(F.when(~bad, token)).alias("token"), bad.alias("restart"))
+
+
+def next_skips(pages: DataFrame, limit: int = 100) -> DataFrame:
+    """(source, skip) to fetch next, of landed pages (source, skip, value) numbered by how many records they skip; null once a source is done.
+
+    A source is done when its last page has no records, or the next skip reaches ``info.total``.
+    """
+    last = last_wins(pages, ["source"], ["skip"])
+    empty = F.coalesce(F.json_array_length(F.get_json_object("value", "$.data")), F.lit(0)) == 0
+    after = F.col("skip") + limit
+    total = F.get_json_object("value", "$.info.total").cast("long")
+    return last.select("source", F.when(~(empty | F.coalesce(after >= total, F.lit(False))), after).alias("skip"))
 
 
-def window_numbered(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Position from 0 within a key, as ``position``."""
-    return df.withColumn("position", (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).cast("int"))
+def next_offsets(store: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, offset) for each row of ``sources``: as many as are stored, for pages in the order of creation."""
+    stored = store.groupBy("source").agg(F.count("*").alias("n"))
+    return sources.select("source").join(stored, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("offset"))

@@ -51,6 +51,43 @@ def test_versions(spark, tmp_path):
     assert store.read("collections").count() == 2
 
 
+def test_ids_of_wide_rows(spark):
+    """Rows with a wide payload are dealt and merged otherwise than their keys alone: none may be lost."""
+    settings = {"spark.sql.adaptive.enabled": "true", "spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2MB", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        wide = spark.range(300_000).select((F.col("id") * 7919 % 300_000).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("_part"), F.lit(1).alias("_seq"))
+        got = load.allocate_ids(wide, ["k"])
+        assert got.columns == ["k", "_part", "_seq", "id"]
+        assert tuple(got.agg(F.count("*"), F.min("id"), F.max("id"), F.count_distinct("id"), F.sum((F.col("id") != F.col("k") + 1).cast("int"))).first()) == (300_000, 1, 300_000, 300_000, 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert load.allocate_ids(wide.limit(0), ["k"]).count() == 0
+
+
+def test_second_writer_of_a_version_fails(spark, tmp_path):
+    import pytest
+
+    store = load.Store(spark, str(tmp_path))
+    df = spark.createDataFrame([(1, "t", None, None, "1", None)], schemas.COLLECTIONS)
+    store.write("collections", df, after=0)
+    with pytest.raises(Exception, match="EXISTS"):
+        store.write("collections", df.limit(0), after=0)
+    assert store.version("collections") == 1 and store.read("collections").count() == 1
+
+
+def test_last_translation_wins(spark):
+    images = spark.createDataFrame([(1, "u", "t")], "id long, source_url string, title string")
+    csv = spark.createDataFrame([("u", "b", None, "m", 1), ("u", "a", None, "m", 2)], "source_url string, text string, confidence string, method string, order long")
+    done = derive.apply_titles(schemas.empty(spark, "image_translations"), images, csv, "ja", F.lit("t"))
+    assert [r["text"] for r in done.collect()] == ["a"]
+    again = derive.apply_titles(done, images, csv.drop("order"), "ja", F.lit("t"))
+    assert [r["text"] for r in again.collect()] == ["b"]
+
+
 def test_faults(spark):
     images = spark.createDataFrame([(1, "s", "u"), (1, None, "u")], "id long, source string, source_url string").withColumns({"first_seen_at": F.lit("t"), "updated_at": F.lit("t")})
     dates = spark.createDataFrame([(1, "exact"), (9, "about")], "image_id long, date_precision string")
