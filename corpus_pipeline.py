@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``.  ``run`` writes each stage's result to the shared folder and reads it again, so a lost
 executor never sends work back beyond the stage at hand.
+
+Definedness of every stage: rows of a null or repeated id are documents of their own (the mix gives rows of
+one id one rate); null and empty texts pass the stages that look for something in them, and have the score of
+the zero vector; very long texts are worked on whole; ties are settled by ids, then texts; equal rows are
+equal in all that is decided; extra columns go through whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ TARGETS = {"clean": 0.96, "low": 0.01, "toxic": 0.03}
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that the quality classifier rejects go."""
     model = quality.fit(docs, common.read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, tuple(docs.columns)).where(F.col("score") >= LEAST_QUALITY).drop("score")
+    (name,) = common.unused(docs.columns, "score")
+    return quality.score(docs, model, tuple(docs.columns), into=name).where(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
