@@ -8,4 +8,7 @@ import sys
 
 from pyspark import cloudpickle
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from curio import tables
+
+for _module in (sys.modules[__name__], tables):
+    cloudpickle.register_pickle_by_value(_module)

@@ -8,7 +8,6 @@ the temporary arrays however many rows a batch has.
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curio.tables import cut, shared_folder, unused  # noqa: F401
+
 SLICE_BYTES = 2_000_000
 U64 = np.uint64
 #: Odd multiplier of the polynomial hashes (modulo 2^64) and its inverse.
@@ -33,31 +34,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one which the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    does a folder of this machine serve.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = jdir.get() if jdir.isDefined() else None
-    if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='curio-checkpoint-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a short lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def process_cache() -> dict:
     """A dict that lives as long as the worker process.
 
@@ -279,18 +255,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int, seed: int = 0) -> DataFrame:
-    """(text, y) of at most ``rows`` labelled documents of each class, for fitting.
+    """(doc_id, text, y) of at most ``rows`` labelled documents of each class, for fitting.
 
     Rows with crc32(doc_id) mod ``modulus`` = ``held_out`` never take part.  The choice is by a hash of
-    the id, so it does not depend on the order or the partitions; its size bounds what is broadcast.
+    the id, so it does not depend on the order or the partitions; its size bounds what is broadcast.  An id
+    counts once, however many rows and labels it has: with its least text and its largest label.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out))
+    usable = usable.groupBy("doc_id").agg(F.max(label).alias(label))
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     chosen = None
     for y in (0, 1):
         part = usable.where(F.col(label) == y).select("doc_id", F.lit(y).alias("y")).orderBy(order, "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "y").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")).select("doc_id", "text", "y")
 
 
 _LETTER = np.zeros(256, bool)

@@ -6,11 +6,14 @@ windows are hashed where they stand, within generated code, one pass for each wi
 benchmark has (1 to ``SIZE``), and looked up in the benchmark's set of hashes; what it hits is
 verified word by word.
 
-The set is broadcast while it has at most ``BROADCAST_WINDOWS`` rows; a larger benchmark is joined by
-a shuffle of hashes instead.  A document's hits are gathered by document only.
-
-Definedness: null texts, and texts without words, have no words, hits or items; null item ids and
-empty items are ignored; repeated items each count; with an empty benchmark nothing is hit.
+The set is broadcast while it has at most ``BROADCAST_WINDOWS`` rows and ``BROADCAST_BYTES`` bytes; a larger
+benchmark is joined by a shuffle of hashes instead, with the same result.  It holds windows alone: which items
+have a window is looked up for the hits.  A document's hits are gathered by document only.
+
+Definedness: null texts, and texts without words, have no words, hits or items; very long texts are scanned
+whole; items of a null id are ignored, and so are items without words; repeated items each count; rows that
+repeat an id are documents of their own, equal rows have equal results; extra columns are ignored, or kept
+whatever their names; an empty table gives no rows, and with an empty benchmark nothing is hit.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from curio.llm import common
 
 SIZE = 10
-#: Two longs and a string array a row: below 60 MB.
-BROADCAST_WINDOWS = 200_000
+#: Bounds of what is broadcast, in windows of a length and in bytes (twice each text and a hundred more).
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,74 +41,81 @@ def words(text: Column) -> Column:
 
 
 def row_key() -> Column:
-    """Tells documents apart, those too that repeat an id with another text."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce(F.col("text"), F.lit("")))
+    """Tells documents apart, those too that repeat an id with another text: 128 bits."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(" "), F.coalesce(F.col("text"), F.lit(""))).cast("binary"))
 
 
-def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item_id, length, window): the distinct windows of each item."""
-    items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+def benchmark_windows(benchmark: DataFrame, size: int = SIZE, item_id: str = "item_id") -> DataFrame:
+    """(item_id, length, gram): the distinct windows of each item, words joined by blanks."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col("text")).alias("w")).where(F.col("item_id").isNotNull() & (F.size("w") > 0))
     items = items.withColumn("length", F.least(F.size("w"), F.lit(size)))
-    at = items.select("item_id", "length", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1), lambda i: F.slice("w", i, F.col("length")))).alias("window")).distinct()
-    return at
+    places = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1), lambda i: F.array_join(F.slice("w", i, F.col("length")), " "))
+    return common.cut(items.select("item_id", "length", F.explode(places).alias("gram")).distinct(), "benchmark-windows")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, item_id: str = "item_id") -> DataFrame:
-    """(row, position, length, items): each occurrence of a window in a document, positions from 0; row is :func:`row_key`."""
-    windows = benchmark_windows(benchmark.select(F.col(item_id).alias("item_id"), "text"), size)
-    # lists, one row for each window: what is looked up and verified
-    windows = common.cut(windows.groupBy("length", "window").agg(F.collect_set("item_id").alias("items")), "benchmark-windows")
-    stats = windows.groupBy("length").count().collect()  # at most SIZE rows
+def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row, position, length, gram): each occurrence of a window in a document, positions from 0; row is :func:`row_key`."""
+    grams = common.cut(windows.select("length", "gram").distinct(), "benchmark-grams")
+    stats = grams.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.octet_length("gram") * 2 + 100).alias("bytes")).collect()  # at most SIZE rows
     found = None
     base = docs.select(row_key().alias("row"), words(F.col("text")).alias("w"))
     for row in sorted(stats, key=lambda r: r["length"]):
         length = row["length"]
-        mine = windows.where(F.col("length") == length)
-        mine = mine.select(F.xxhash64(*(F.get("window", F.lit(k)) for k in range(length))).alias("h"), "window", "items")
+        word = F.split("gram", " ")
+        mine = grams.where(F.col("length") == length).select(F.xxhash64(*(F.get(word, F.lit(k)) for k in range(length))).alias("h"), "gram")
         # a condition on w alone (an inner explode implies one) would be evaluated below the split, which it would run again
         spots = base.select("row", "w", F.posexplode_outer("w").alias("position", "word")).where(F.col("position") <= F.size("w") - length)
         rows = spots.select("row", "w", "position", F.xxhash64("word", *(F.get("w", F.col("position") + k) for k in range(1, length))).alias("h"))
-        here = F.slice("w", F.col("position") + 1, length)
-        if row["count"] <= BROADCAST_WINDOWS:
+        here = F.array_join(F.slice("w", F.col("position") + 1, length), " ")
+        if row["n"] <= BROADCAST_WINDOWS and row["bytes"] <= BROADCAST_BYTES:
             # on what the hash has met; written as an equality it would be a join key, and cut a slice for every row
-            same = (here <= F.col("window")) & (here >= F.col("window"))
+            same = (here <= F.col("gram")) & (here >= F.col("gram"))
             met = rows.join(F.broadcast(mine), "h").where(same)
         else:  # shuffles carry the window, not the text
-            met = rows.select("row", "position", "h", here.alias("here")).join(mine, "h").where("here = window")
-        met = met.select("row", "position", F.lit(length).alias("length"), "items")
+            met = rows.select("row", "position", "h", here.alias("here")).join(mine, "h").where("here = gram")
+        met = met.select("row", "position", F.lit(length).alias("length"), "gram")
         found = met if found is None else found.unionByName(met)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], f"row long, position int, length int, items array<{benchmark.schema[item_id].dataType.simpleString()}>")
+        found = docs.sparkSession.createDataFrame([], "row string, position int, length int, gram string")
     return found
 
 
-def by_document(found: DataFrame) -> DataFrame:
-    """(row, hit_words, item_ids): the distinct positions of hit words, ascending, and the items."""
-    # a window's place says its length and items: gathered once for each place of a document
-    got = found.groupBy("row").agg(F.collect_set(F.struct("position", "length")).alias("p"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
+def hit_words(found: DataFrame) -> DataFrame:
+    """(row, hit_words): the distinct positions of hit words, ascending."""
+    got = found.groupBy("row").agg(F.collect_set(F.struct("position", "length")).alias("p"))
     spots = F.flatten(F.transform("p", lambda x: F.sequence(x["position"], x["position"] + x["length"] - 1)))
-    return got.select("row", F.array_sort(F.array_distinct(spots)).alias("hit_words"), "item_ids")
+    return got.select("row", F.array_sort(F.array_distinct(spots)).alias("hit_words"))
+
+
+def hit_items(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row, item_ids): the items whose windows occur; items are looked up after the hit, so none is ever broadcast."""
+    return found.select("row", "gram").distinct().join(windows.select("gram", "item_id"), "gram").groupBy("row").agg(F.collect_set("item_id").alias("item_ids"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The documents that no window occurs in."""
-    found = hits(docs, benchmark, size).select(F.col("row").alias("_row")).distinct()
-    return docs.join(found, row_key() == F.col("_row"), "left_anti")
+    found = hits(docs, benchmark_windows(benchmark, size)).select("row").distinct()
+    (name,) = common.unused(docs.columns, "row")
+    return docs.join(found.withColumnRenamed("row", name), row_key() == F.col(name), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """All documents, their hit words gone: words that stay are joined by single blanks where one was hit, else the text is as it was."""
-    got = by_document(hits(docs, benchmark, size))
+    got = hit_words(hits(docs, benchmark_windows(benchmark, size)))
+    row, hit = common.unused(docs.columns, "row", "hit")
     kept = F.filter(F.split(F.col("text"), "(?<=[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?=[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"), lambda w: w != "")
     first = F.when(F.col("text").rlike("^[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"), 1).otherwise(0)
-    rest = F.array_join(F.filter(kept, lambda w, i: ~F.array_contains("_hit", i - first)), "")
-    joined = docs.join(got.select(F.col("row").alias("_row"), F.col("hit_words").alias("_hit")), row_key() == F.col("_row"), "left")
-    return joined.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(rest)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rest = F.array_join(F.filter(kept, lambda w, i: ~F.array_contains(hit, i - first)), "")
+    joined = docs.join(got.select(F.col("row").alias(row), F.col("hit_words").alias(hit)), row_key() == F.col(row), "left")
+    text = F.when(F.col(hit).isNull(), F.col("text")).otherwise(rest).alias("text")
+    return joined.select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """One row a document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    got = by_document(hits(docs, benchmark, size))
+    windows = benchmark_windows(benchmark, size)
+    found = common.cut(hits(docs, windows), "benchmark-hits")
+    got = hit_words(found).join(hit_items(found, windows), "row")
     ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
     joined = docs.select("doc_id", row_key().alias("row"), F.size(words(F.col("text"))).cast("long").alias("n_words")).join(got, "row", "left")
     return joined.select(

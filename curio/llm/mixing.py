@@ -14,11 +14,15 @@
 
 Definedness: rows with the same id (null included) are one document: their words are pooled and they
 share a rate.  A document without words has the prior as membership and a rate of one, for it has no
-tokens to fit.  Without labels all documents are of the first domain.  An empty table gives no rows.
+tokens to fit.  Very long texts count with all their words.  Equal documents have equal rates.  Extra columns
+are ignored, and kept whatever their names by :func:`resample`.  Without labels all documents are of the first
+domain.  An empty table gives no rows.  A fit that has not come close in time warns; :func:`shares` tells the gap.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,11 +35,11 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
 #: Bound of the fitting sample, in rows of each domain, and of the broadcast weights, in rows.
 SAMPLE_ROWS, BUCKETS, SHAPES = 3_000, 1 << 18, 1 << 12
-_STEPS, _CLOSE, _UNIT = 60, 1e-4, 1000
+_STEPS, _REPLAYED, _CLOSE, _UNIT = 60, 15, 1e-4, 1000
 
 
 def domain(labels: DataFrame) -> DataFrame:
-    """(doc_id, k) of the labelled documents, k an index of DOMAINS; an id with several labels has the last."""
+    """(doc_id, k) of the labelled documents, k an index of DOMAINS; an id with several labels has the largest index."""
     known = labels.where("doc_id is not null and (toxic is not null or quality is not null)")
     k = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     return known.groupBy("doc_id").agg(F.max(k).alias("k"))
@@ -68,8 +72,6 @@ def weights(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, smoothi
     logs = [F.log((F.col(f"n{k}") + smoothing * (total[k] + 1.0) / (max(total) + 1.0)) / F.lit(total[k] + 1.0)) for k in range(len(DOMAINS))]
     mean = reduce(lambda a, b: a + b, logs) / len(logs)
     alls = sum(share.values())
-    import math
-
     # a domain that no row is labelled with is left out
     priors = [math.log((share.get(k, 0) + (k == 0)) / (alls + 1.0)) if share.get(k, 0) or k == 0 else -60.0 for k in range(len(DOMAINS))]
     return table.select("b", *((x - mean).alias(f"w{k}") for k, x in enumerate(logs))), priors
@@ -90,12 +92,12 @@ def memberships(docs: DataFrame, table: DataFrame, priors: list[float]) -> DataF
 
 
 def _rate(steps: list[list[float]]) -> Column:
-    """The rate after the steps' corrections, each followed by the projection to what is not negative."""
+    """The rate ``r0`` after the steps' corrections, each followed by the projection to what is not negative."""
     if not steps:
-        return F.lit(1.0)
+        return F.col("r0")
     listed = F.array(*(F.array(*(F.lit(float(c)) for c in step)) for step in steps))
     dot = lambda c: reduce(lambda a, b: a + b, (F.col(f"p{k}") * c[k] for k in range(len(DOMAINS))))
-    return F.aggregate(listed, F.lit(1.0), lambda r, c: F.greatest(F.lit(0.0), r - dot(c)))
+    return F.aggregate(listed, F.col("r0"), lambda r, c: F.greatest(F.lit(0.0), r - dot(c)))
 
 
 def fit(members: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None) -> DataFrame:
@@ -109,6 +111,7 @@ def fit(members: DataFrame, targets: dict[str, float] | None = None, tokens: flo
         found = members.select("n_tokens", *(f"p{k}" for k in ks), r.alias("r")).agg(*(F.sum(F.round(F.col("n_tokens") * F.col(f"p{k}") * F.col("r") * _UNIT).cast("long")).alias(f"t{k}") for k in ks)).first()
         return [float(x or 0) / _UNIT for x in found]
 
+    members = members.withColumn("r0", F.lit(1.0))
     now = totals([])
     weight = [w if n > 0 else 0.0 for w, n in zip(weight, now, strict=True)]
     weight = [w / (sum(weight) or 1.0) for w in weight]
@@ -122,9 +125,16 @@ def fit(members: DataFrame, targets: dict[str, float] | None = None, tokens: flo
         if max((abs(h - t) for h, t in zip(have, target, strict=True)), default=0.0) <= _CLOSE * max(tokens, 1.0):
             break
         steps.append([(h - t) / max(n, 1.0) for h, t, n in zip(have, target, now, strict=True)])
+        if len(steps) == _REPLAYED:  # so that a row never replays more steps than these
+            members = common.cut(members.withColumn("r0", _rate(steps)), "mixing-rates")
+            steps = []
         have = totals(steps)
+    else:
+        gap = max(abs(h - t) for h, t in zip(have, target, strict=True)) / max(tokens, 1.0)
+        if gap > _CLOSE:
+            warnings.warn(f"after {_STEPS} steps a domain is {gap:.2%} of all tokens from its target", stacklevel=2)
     rate = F.when(F.col("n_tokens") == 0, 1.0).otherwise(_rate(steps))
-    return members.withColumn("rate", F.round(rate, 6))
+    return members.withColumn("rate", F.round(rate, 6)).drop("r0")
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -142,9 +152,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None) -> DataFrame:
     """The documents, each as often as its copies say."""
-    n = mix(docs, labels, targets, tokens).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    kept = docs.join(n, docs["doc_id"].eqNullSafe(n["_id"]))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    n = mix(docs, labels, targets, tokens).where("copies > 0").select(F.col("doc_id").alias("id"), "copies")
+    kept = docs.select(F.struct("*").alias("r")).join(n, F.col("r.doc_id").eqNullSafe(F.col("id")))
+    return kept.select("r", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("r")[c].alias(c) for c in docs.columns))
+
+
+def shares(mixed: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """(domain, target, by_rate, by_copies): how far the expected and the whole-numbered mix of :func:`mix` are from the targets."""
+    weight = targets or TARGETS
+    sums = [F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col(r)).alias(f"{r}_{d}") for d in DOMAINS for r in ("rate", "copies")]
+    whole = lambda r: reduce(lambda a, b: a + b, (F.coalesce(f"{r}_{d}", F.lit(0.0)) for d in DOMAINS))
+    rows = [F.struct(F.lit(d).alias("domain"), F.lit(weight.get(d, 0.0) / sum(weight.values())).alias("target"), F.try_divide(F.col(f"rate_{d}"), whole("rate")).alias("by_rate"), F.try_divide(F.col(f"copies_{d}"), whole("copies")).alias("by_copies")) for d in DOMAINS]
+    return mixed.agg(*sums).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ least the threshold.  Vectors that are null, zero or hold null or non-finite com
    blocks of at most ``BLOCK`` nodes; nodes of a block are compared in numpy.  Each node keeps its
    ``NEIGHBOURS`` best, and what is linked within a block is joined whether it is among them or not.
 3. *Descent.*  Neighbours of neighbours, over edges in both directions, are compared and the lists
-   updated, until few lists change.
+   updated, until few lists change.  Lists keep some weak neighbours too, so that the descent can go on from them.
 4. *Audit.*  A bounded number of nodes, dealt over those without links and in small and large components,
    is compared with all.  Until nodes of few links and nodes of many both have their share, more tables
    follow, however many that takes.
@@ -18,7 +18,7 @@ least the threshold.  Vectors that are null, zero or hold null or non-finite com
    list may be saturated, so all members are compared, block by block: a component of any size is dealt
    over tasks, and only counts of links leave them.
 
-Definedness: one row a vector; rows that repeat an id are vectors of their own (they share the id in
+Definedness: ties among neighbours go to the smaller node; one row a vector; rows that repeat an id are vectors of their own (they share the id in
 components); extra columns are ignored; an empty table gives no rows.  Vectors of unequal length never link.
 """
 
@@ -28,13 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curio.llm import common
 
 THRESHOLD, FLOOR = 0.93, 0.75
 NEIGHBOURS, BLOCK, TABLES, LEAF = 12, 256, 10, 48
+#: Neighbours below FLOOR that a list keeps, for the descent to go on from.
+WEAK = 2
+#: Nodes in a block of a component whose links are counted.
+COUNTED = 1_024
 AUDIT, RECALL, DESCENTS = 800, 0.995, 5
 #: Chance that a pair at the threshold shares no leaf of any table of a pass.
 MISS = 0.002
@@ -50,16 +54,28 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _rank(u: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    """The place of each entry among those of its u, the most similar first."""
+    order = np.lexsort((-sim, u))
+    out = np.empty(len(u), np.int64)
+    out[order] = np.arange(len(u)) - np.searchsorted(u[order], u[order])
+    return out
+
+
 def nodes_of(vectors: DataFrame) -> DataFrame:
     """(node, space, vec, copies, least): distinct usable vectors; ``space`` names label and length."""
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    # minus zero is zero
-    vec = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))
-    same = vectors.where(sound).select("vec_id", F.struct("label", F.size("embedding").alias("n")).alias("space"), vec.alias("vec"))
+    same = vectors.where(sound).select("vec_id", F.struct("label", F.size("embedding").alias("n")).alias("space"), _plain(vectors).alias("vec"))
     grouped = same.groupBy("space", "vec").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     return grouped.select(F.xxhash64("space", "vec").alias("node"), F.xxhash64("space").alias("space"), "vec", "copies", "least")
 
 
+def _plain(vectors: DataFrame) -> Column:
+    """The vectors with minus zero as zero, in their own precision; all cosines are in double precision."""
+    of = vectors.schema["embedding"].dataType.elementType
+    return F.transform("embedding", lambda x: x + F.lit(0.0).cast(of))
+
+
 def _bits(n: int) -> int:
     """Hyperplanes of a table over n nodes; what fits in a block needs none."""
     return 0 if n <= BLOCK else int(np.ceil(np.log2(n / LEAF)))
@@ -118,7 +134,7 @@ def start(nodes: DataFrame, seed: int, low: int, high: int) -> DataFrame:
         best = np.argpartition(-s, k - 1, axis=1)[:, :k]
         u = np.repeat(np.arange(len(node)), k)
         v = best.ravel()
-        keep = s[u, v] >= FLOOR
+        keep = (s[u, v] >= FLOOR) | (_rank(u, s[u, v]) < WEAK)
         got = pd.DataFrame({"u": node[u[keep]], "v": node[v[keep]], "sim": s[u[keep], v[keep]]})
         hit = s >= THRESHOLD
         if not hit.any():
@@ -137,15 +153,25 @@ def best_of(edges: DataFrame) -> DataFrame:
     """Each node's NEIGHBOURS best, without repeats."""
     once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
     # arrays of the best, merged before the shuffle as well as after: a list is as long as a node's candidates
-    return once.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= NEIGHBOURS).select("u", "v", "sim")
+    return _listed(once).select("u", "v", "sim")
 
 
-def descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
-    """New edges among neighbours of neighbours."""
-    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")
-    back = back.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("r") <= NEIGHBOURS).drop("r")
-    both = common.cut(graph.unionByName(back).select("u", "v").distinct(), "nn-both")
-    pairs = both.alias("x").join(both.select(F.col("u").alias("v"), F.col("v").alias("w")).alias("y"), "v").where("u < w").select("u", "w").distinct()
+def _listed(edges: DataFrame) -> DataFrame:
+    """The NEIGHBOURS best of each ``u``, of those below FLOOR no more than WEAK."""
+    r = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
+    return edges.withColumn("r", r).where((F.col("r") <= NEIGHBOURS) & ((F.col("sim") >= FLOOR) | (F.col("r") <= WEAK))).drop("r")
+
+
+def descend(nodes: DataFrame, graph: DataFrame, comps: DataFrame) -> DataFrame:
+    """New edges among neighbours of neighbours of different components (a component is compared as a whole later).
+
+    Of a node's neighbours in one component the best stands for it, so a crowd of near vectors makes no pairs.
+    """
+    back = _listed(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
+    both = graph.select("u", "v", "sim").unionByName(back).groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    placed = both.join(comps.select(F.col("id").alias("u"), "component_id"), "u", "left").withColumn("comp", F.coalesce("component_id", "u"))
+    ends = common.cut(placed.groupBy("v", "comp").agg(F.max_by("u", F.struct("sim", "u")).alias("u")), "nn-both")
+    pairs = ends.alias("x").join(ends.select("v", F.col("u").alias("w")).alias("y"), "v").where("u < w").select("u", "w").distinct()
     pairs = pairs.join(both.select("u", F.col("v").alias("w")), ["u", "w"], "left_anti")
     vec = nodes.select("node", "vec")
     right = pairs.join(vec.select(F.col("node").alias("w"), F.col("vec").alias("y")), "w").join(vec.select(F.col("node").alias("u"), F.col("vec").alias("x")), "u")
@@ -155,8 +181,7 @@ def descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
             if not len(rows):
                 continue
             sim = np.concatenate([np.einsum("ij,ij->i", _unit(rows["x"].iloc[k : k + 5000]), _unit(rows["y"].iloc[k : k + 5000])) for k in range(0, len(rows), 5000)])
-            keep = sim >= FLOOR
-            u, w, s = rows["u"].to_numpy()[keep], rows["w"].to_numpy()[keep], sim[keep]
+            u, w, s = rows["u"].to_numpy(), rows["w"].to_numpy(), sim
             yield pd.DataFrame({"u": np.concatenate((u, w)), "v": np.concatenate((w, u)), "sim": np.concatenate((s, s))})
 
     return right.select("u", "w", "x", "y").mapInPandas(compare, _EDGE)
@@ -204,7 +229,7 @@ def count_links(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     """(node, links): copies of other nodes over the threshold in a node's component, compared block by block."""
     inside = nodes.select("node", "vec", "copies").join(comps.select(F.col("id").alias("node"), "component_id"), "node")
     sizes = comps.groupBy("component_id").agg(F.count("*").alias("c"))
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
+    parts = F.ceil(F.col("c") / COUNTED).cast("int")
     placed = inside.join(sizes, "component_id").withColumn("k", parts).withColumn("b", F.pmod(F.xxhash64("node", F.lit(8)), F.col("k")).cast("int"))
     # block b meets each other block once: as the first of the pair or as the second
     meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
@@ -237,7 +262,8 @@ def count_links(nodes: DataFrame, comps: DataFrame) -> DataFrame:
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, label, embedding)."""
     spark = vectors.sparkSession
-    source = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), "label")
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    source = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"), "label")
     nodes = common.cut(nodes_of(source), "nn-nodes")
     largest = nodes.groupBy("space").count().agg(F.max("count")).first()[0] or 0
     tables, passes = tables_for(largest), 0
@@ -262,9 +288,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         comps = joined_with(linked)
         across = None
         for _ in range(DESCENTS):
-            new = common.cut(descend(nodes, graph), "nn-new")
+            new = common.cut(best_of(descend(nodes, graph, comps)), "nn-new")
             after = common.cut(best_of(graph.unionByName(new)), "nn-graph")
-            pairs = new.where((F.col("sim") >= THRESHOLD) & (F.col("u") < F.col("v"))).select(*ends)
+            pairs = new.where(F.col("sim") >= THRESHOLD).select(*ends)
             across = pairs if across is None else across.unionByName(pairs)
             changed = after.join(graph, ["u", "v"], "left_anti").count()
             graph = after
@@ -283,8 +309,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     root = comps.join(least, "component_id").select(F.col("id").alias("node"), "root")
     known = nodes.select("node", "copies", "least").join(root, "node", "left").join(links, "node", "left")
     known = known.select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("root", "least").alias("root"))
-    vec = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))
-    rows = source.select("vec_id", F.xxhash64(F.struct("label", F.size("embedding").alias("n")), vec).alias("node"))
+    rows = source.select("vec_id", F.xxhash64(F.struct("label", F.size("embedding").alias("n")), _plain(source)).alias("node"))
     joined = rows.join(known, "node", "left")
     component = F.coalesce("root", "vec_id")
     return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

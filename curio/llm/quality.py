@@ -9,8 +9,11 @@ of two layers (numpy, Adam) and a temperature, chosen on a fifth of the fitting
 The fit uses at most ``SAMPLE_ROWS`` labelled rows of each class, the bound of what is broadcast and
 sent to the driver; every document is scored whole, in one pass without a shuffle.
 
-Definedness: null and empty texts pool to the zero vector and get its score; units of other columns
-are never read; with labels of one class or none every score is (ones + 1) / (rows + 2).
+Definedness: null and empty texts pool to the zero vector and get its score; very long texts are pooled whole,
+a part at a time; equal texts have equal scores; of rows that repeat an id one is learnt from, and all are
+scored; null ids and labels other than 0 and 1 are never learnt from; other columns are never read, and the
+score takes the name that the caller gives it; with labels of one class or none every score is
+(ones + 1) / (rows + 2); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -155,7 +158,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, weight: np.ndarray, hidden: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held_out: int = 1, rows: int = SAMPLE_ROWS) -> dict:
-    """A model for :func:`score`."""
+    """A model for :func:`score`; what reaches the driver is bounded by ``rows``, a vector each, and by BUCKETS."""
     sample = common.cut(common.labelled_sample(docs, labels, label, modulus, held_out, rows), "quality-sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2 or sum(sizes.values()) < 20:
@@ -185,18 +188,19 @@ def predict(model: dict, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return common.logistic((hidden @ model["second"] + model["last"]) / model["temperature"])
 
 
-def score(docs: DataFrame, model: dict, keep: tuple[str, ...], predict_=None) -> DataFrame:
-    """The columns ``keep`` and ``score`` of every document."""
+def score(docs: DataFrame, model: dict, keep: tuple[str, ...], predict_=None, into: str = "score") -> DataFrame:
+    """The columns ``keep`` and the score, as ``into``, of every document."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # of a size set by BUCKETS and HIDDEN
     predict_ = predict_ or predict
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in common.slices(batches):
             out = [part.column(part.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(predict_(held.value, data, at), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(predict_(held.value, data, at), pa.float64())], names=[*keep, into])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(rows, ", ".join([*fields, "score double"]))
+    columns = lambda names: [F.col(f"`{c}`") for c in dict.fromkeys(names)]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns(keep)).schema]
+    return docs.select(*columns([*keep, "text"])).mapInArrow(rows, ", ".join([*fields, f"`{into}` double"]))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from curio.llm import common, decontam, jaccard, kn_lm, mixing, nn_descent, pii, quality, suffix_dedup, token_shards, toxicity
 
@@ -244,6 +245,30 @@ def test_nn_descent_isolated_pairs(spark):
     assert all(got[i] == (0, i) for i in range(12_000))
 
 
+def test_nn_descent_finds_what_the_start_missed(spark, monkeypatch):
+    """Hyperplanes too deep for the table, as a label of many millions has: pairs part at the start."""
+    deep = nn_descent._bits
+    monkeypatch.setattr(nn_descent, "_bits", lambda n: deep(n) + 8)
+    monkeypatch.setattr(nn_descent, "tables_for", lambda n: 4)
+    rng = np.random.default_rng(12)
+    near = rng.normal(size=(60, 1, 24)) + rng.normal(size=(60, 8, 24)) * 0.22  # groups of eight, most pairs linked
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(near.reshape(-1, 24))]
+    rows += [(1000 + i, 1, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 24)))]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    nodes = common.cut(nn_descent.nodes_of(df), "t")
+    found = common.cut(nn_descent.start(nodes, 0, 0, 4), "t")
+    graph = common.cut(nn_descent.best_of(found.where(f"sim < {nn_descent.JOINED}")), "t")
+    comps = common.components(found.where(f"sim = {nn_descent.JOINED}").selectExpr("u a", "v b"))
+    new = nn_descent.descend(nodes, graph, comps).where(f"sim >= {nn_descent.THRESHOLD}")
+    assert new.count() > 0
+    x = np.array([v for _, _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= nn_descent.THRESHOLD).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in nn_descent.near_duplicates(df).collect()}
+    true = np.array([links[i] for i in range(480)])
+    assert np.array([got[i] for i in range(480)]).sum() >= 0.99 * true.sum() and true.sum() > 500
+
+
 def test_nn_audit_of_nodes_not_links(spark):
     nodes = common.cut(nn_descent.nodes_of(isolated(spark, 0, 40, np.random.default_rng(3), 300)), "t")
     large = nodes.where("least >= 80").select("node", "least").collect()
@@ -285,6 +310,8 @@ def test_mixing_fits_targets(spark):
     for _ in range(200):  # the same descent, in numpy
         r = np.maximum(0, r - p @ ((((n * r)[:, None] * p).sum(axis=0) - target) / np.maximum(now, 1)))
     assert np.abs(r - got["rate"])[n > 0].max() < 0.05
+    gaps = {r["domain"]: r for r in mixing.shares(mixing.mix(docs, lab)).collect()}
+    assert all(abs(gaps[d]["by_rate"] - w) < 0.01 and abs(gaps[d]["by_copies"] - w) < 0.1 for d, w in mixing.TARGETS.items())
     again = mixing.resample(docs, lab)
     assert again.columns == docs.columns
     assert mixing.mix(docs.limit(0), lab).count() == 0
@@ -518,6 +545,25 @@ def contaminated(docs, items):
         yield d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)
 
 
+def test_clashing_columns(spark):
+    """Columns with the names that operators use inside come through unharmed."""
+    names = ["score", "row", "hit", "_row", "_hit", "_id", "id", "r", "copies", "_copy", "_rid", "rid", "class"]
+    rows = [(i, f"the word of w{i} " * 12) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *(F.lit(n).alias(n) for n in names))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    for got in (decontam.decontaminate(docs, bench), decontam.remove_spans(docs, bench), mixing.resample(docs, labels), jaccard.deduplicate(docs), quality.score(docs, {"constant": 0.5}, tuple(docs.columns), into="score_").drop("score_")):
+        assert got.columns == docs.columns and got.count() >= 1
+        assert set(got.first().asDict().items()) >= {(n, n) for n in names}
+
+
+def test_sample_is_bounded_in_documents(spark):
+    docs = spark.range(100_000).select(F.when(F.col("id") < 50, F.col("id")).otherwise(7).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = spark.range(50).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    got = common.labelled_sample(docs, labels.union(labels), "quality", 3, 1, 10).toPandas()
+    assert len(got) == 20 and got["doc_id"].is_unique
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_decontamination(spark, limit, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
