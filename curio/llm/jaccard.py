@@ -52,8 +52,8 @@ MAX_FREQUENT = 300_000
 LONG_LIST, LIST_BLOCK, DEALT_LIST = 8, 4, 2_000
 #: Shingles in a block of a family (one document may have more), and members that meet their hub in one group.
 FAMILY_BLOCK, HUB_GROUP = 400_000, 256
-#: Long lists whose hubs are broadcast; beyond that they are joined by a shuffle.
-BROADCAST_HUBS = 500_000
+#: Long lists whose hubs are broadcast, and classes whose ids are (some 64 MB); more are joined by a shuffle.
+BROADCAST_HUBS, BROADCAST_CLASSES = 500_000, 2_000_000
 _SALT, _TWIN = U64(0x8CB92BA72F3D8DD7), U64(0x5851F42D4C957F2D)
 #: Bits of a class fingerprint that are used (tests take few).
 _MARK = U64(0xFFFFFFFFFFFFFFFF)
@@ -537,8 +537,10 @@ def _resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     def texts_of(named: DataFrame) -> DataFrame:
         """Packed texts of the classes, one of each; copies go as one before the shuffle."""
+        named = common.cut(named.distinct(), "jaccard-named")
+        few = named.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
         single = rows.where("n > 0").select("class", "n_bytes", "z").dropDuplicates(["class"])
-        found_ = common.cut(single.join(named.distinct(), "class", "left_semi"), "jaccard-texts")
+        found_ = common.cut(single.join(F.broadcast(named) if few else named, "class", "left_semi"), "jaccard-texts")
         common.release(spark)
         return found_
 
