@@ -9,8 +9,8 @@ hash of the bigram, not of its context, so no word makes a bucket large.
 The model is a folder of flat files below the shared folder, two for each bucket:
 
 * ``bigrams-<k>``  directory (uint32), lower 32 hash bits (uint32, sorted within a directory slot), counts (uint8);
-* ``words-<k>``    48-bit hashes (uint64, sorted), then uint32 arrays: count, continuation count, bigram types that
-  begin with the word and were seen once, twice, three times or more.
+* ``words-<k>``    48-bit hashes (uint64, sorted), then arrays of uint32, or uint64 where a count needs it: count,
+  continuation count, bigram types that begin with the word and were seen once, twice, three times or more.
 
 Probabilities: p(w|u) = max(c(uw) - D(c(uw)), 0)/c(u) + g(u) p1(w), where p1 is the same over
 continuation counts, interpolated with 1/(V+1).  All counts cover all training texts.
@@ -128,6 +128,7 @@ def train(docs: DataFrame, folder: str, buckets: int | None = None, flush: int =
             h, u, v, c = _merge(u, v, np.ones(len(u), np.int64))
             at = common.by_bucket(common.bucket_of(h, n), n)
             some = np.flatnonzero(np.diff(at))
+            # within one flush four bytes hold any count
             blob = [(_six(u[a:b]), _six(v[a:b]), c[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for a, b in zip(at[some], at[some + 1], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array([x[k] for x in blob], pa.binary()) for k in range(3))], names=["bucket", "u", "v", "c"])
 
@@ -179,7 +180,7 @@ def train(docs: DataFrame, folder: str, buckets: int | None = None, flush: int =
         order = np.argsort(w, kind="stable")
         at = common.runs(w[order])[:-1]
         w, table = w[order][at], np.add.reduceat(table[order], at, axis=0)
-        _store(folder, f"words-{key[0]}", [w.astype("<u8"), *(np.minimum(table[:, k], (1 << 32) - 1).astype("<u4") for k in range(5))])
+        _store(folder, f"words-{key[0]}", _word_arrays(w, table))
         seen = table[:, 0] > 0
         return pd.DataFrame([(int(seen.sum()), int(table[:, 0].sum()), int(table[:, 1].sum()), *(int((table[:, 1] == k).sum()) for k in (1, 2, 3, 4)), int((table[:, 1] >= 1).sum()))], columns=["v", "n", "types", "k1", "k2", "k3", "k4", "some"])
 
@@ -203,12 +204,27 @@ def discounts(n: np.ndarray) -> list[float]:
     return [float(min(max(d, 0.05), k - 0.05)) for k, d in enumerate(found, 1)]
 
 
+def _width(table: np.ndarray) -> int:
+    """Bytes that the largest count needs, 4 or 8."""
+    return 4 if table.max(initial=0) < 1 << 32 else 8
+
+
 def _table_bytes(table: np.ndarray) -> bytes:
-    return np.ascontiguousarray(table.astype("<u4").view(np.uint8).reshape(-1, 20).T).tobytes()
+    """Planes of the counts' bytes, after their width."""
+    width = _width(table)
+    return bytes([width]) + np.ascontiguousarray(table.astype(f"<u{width}").view(np.uint8).reshape(-1, len(COLUMNS) * width).T).tobytes()
 
 
 def _from_table(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(20, -1).T).view("<u4").astype(np.int64)
+    width = raw[0]
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(len(COLUMNS) * width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").astype(np.int64)
+
+
+def _word_arrays(w: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
+    """What a file of words holds: its length and the width of its counts, the words, a column of counts after another."""
+    width = _width(table)
+    return [np.array([len(w), width], "<u8"), w.astype("<u8"), *(table[:, k].astype(f"<u{width}") for k in range(len(COLUMNS)))]
 
 
 def hash_file(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,8 +269,9 @@ class Model:
     def _word_file(self, k: int):
         if ("w", k) not in self.files:
             raw = _load(self.m["folder"], f"words-{k}")
-            n = len(raw) // 28
-            self.files["w", k] = [raw[: 8 * n].view("<u8"), *(raw[8 * n + 4 * n * j : 12 * n + 4 * n * j].view("<u4") for j in range(5))]
+            n, width = (int(x) for x in raw[:16].view("<u8"))
+            at = 16 + 8 * n
+            self.files["w", k] = [raw[16:at].view("<u8"), *(raw[at + width * n * j : at + width * n * (j + 1)].view(f"<u{width}") for j in range(len(COLUMNS)))]
         return self.files["w", k]
 
     def bigram_counts(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:

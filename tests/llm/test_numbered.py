@@ -368,6 +368,20 @@ def test_jaccard(spark, long_list, family_block, mark, monkeypatch):
     assert got == components(docs)
 
 
+def test_word_counts_beyond_32_bits(tmp_path):
+    w = np.array([5, 9, 11], np.uint64)
+    for most in (7, (1 << 32) - 1, 1 << 32, 1 << 50):
+        counts = np.arange(15, dtype=np.int64).reshape(3, 5)
+        counts[1, 0] = most
+        assert (kn_lm._from_table(kn_lm._table_bytes(counts)) == counts).all()
+        order = np.argsort(kn_lm.word_place(w))  # any words of one bucket
+        kn_lm._store(str(tmp_path), f"words-{most % 97}", kn_lm._word_arrays(w, counts))
+        model = kn_lm.Model({"folder": str(tmp_path), "buckets": 1})
+        (tmp_path / f"words-{most % 97}").rename(tmp_path / "words-0")
+        assert (model.word_counts(w[order]) == counts[order]).all()
+        (tmp_path / "words-0").unlink()
+
+
 def test_jaccard_blocks_skip_no_pair():
     rng = np.random.default_rng(5)
     for _ in range(200):
@@ -392,8 +406,10 @@ def test_jaccard_odd(spark):
     assert jaccard.classes_of(table(spark, [])).count() == 0
 
 
-def test_jaccard_deduplicate_by_row(spark):
+@pytest.mark.parametrize("broadcast", [0, 1_000])
+def test_jaccard_deduplicate_by_row(spark, broadcast, monkeypatch):
     """Rows of a null or repeated id stay unless their own component has another row."""
+    monkeypatch.setattr(jaccard, "BROADCAST_CLASSES", broadcast)
     rng = random.Random(17)
     texts = [prose(40, rng) for _ in range(36)]
     rows = [(None, t) for t in texts[:12]] + [(7, t) for t in texts[12:24]] + list(enumerate(texts[24:], 100))
