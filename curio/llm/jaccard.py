@@ -577,17 +577,25 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one with the smallest id (of equal ids the least ``rid``); all rows without shingles."""
-    _, classes, comps = _resolved(docs)
+    """One row of each component, the one with the smallest id (of equal ids the least ``rid``); all rows without shingles.
+
+    Where the ids of the rows that stay can be broadcast, only texts of rows that repeat are shuffled.
+    """
+    rows, classes, comps = _resolved(docs)
     root = comps.select(F.col("id").alias("class"), "component_id")
     chosen = classes.select("class", "first").join(root, "class", "left").groupBy(F.coalesce("component_id", "class")).agg(F.min("first").alias("first"))
     # rows without words are components of their own, however many share an id and a text
     blank = F.coalesce(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")), F.lit("")) == ""
-    name = "_rid"
-    while name in docs.columns:
-        name += "_"
-    own = docs.where(~blank).withColumn(name, _rid()).dropDuplicates([name])
-    kept = own.join(chosen.select(F.col("first.rid").alias(name)).distinct(), name, "left_semi")
+    name, more = common.unused(docs.columns, "_rid", "_more")
+    times = rows.where("n > 0").groupBy("rid").agg((F.count("*") > 1).alias("more"))
+    stay = common.cut(chosen.select("first.rid").distinct().join(times, "rid").select(F.col("rid").alias(name), F.col("more").alias(more)), "jaccard-kept")
+    common.release(docs.sparkSession)
+    own = docs.where(~blank).withColumn(name, _rid())
+    if stay.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
+        met = own.join(F.broadcast(stay), name)
+        kept = met.where(~F.col(more)).unionByName(met.where(F.col(more)).dropDuplicates([name]))
+    else:
+        kept = own.join(stay, name).dropDuplicates([name])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns).unionByName(docs.where(blank).select(*columns))
 
