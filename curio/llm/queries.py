@@ -1,6 +1,6 @@
 """The numbered queries, by name."""
 
-from curio.llm import decontam, jaccard, kn_lm, mixing, nn_descent, pii, quality, suffix_dedup, token_shards, toxicity
+from curio.llm import decontam, jaccard, kn_lm, mixing, nn_descent, pii, quality, suffix_dedup, token_shards, toxicity, whitening
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         kn_lm.op8_kneser_ney,
         toxicity.op9_toxicity,
         decontam.op10_decontamination,
+        whitening.op11_whitening,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op10_decontamination": decontam.OP10_SQL}
