@@ -1,6 +1,6 @@
 """The numbered queries, by name."""
 
-from curio.llm import decontam, hard_negatives, jaccard, kn_lm, mixing, nn_descent, pii, quality, suffix_dedup, token_shards, toxicity, whitening
+from curio.llm import decontam, hard_negatives, jaccard, kn_lm, mixing, nn_descent, pii, quality, suffix_dedup, templates, token_shards, toxicity, whitening
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         toxicity.op9_toxicity,
         decontam.op10_decontamination,
         whitening.op11_whitening,
+        templates.op12_html_extraction,
         hard_negatives.op13_hard_negatives,
     )
 }
