@@ -50,8 +50,10 @@ MAX_FREQUENT = 300_000
 #: Lists of more members are resolved by families, shorter ones in blocks of so many entries; lists that are
 #: known to have more than DEALT_LIST are not even gathered to find their hub.
 LONG_LIST, LIST_BLOCK, DEALT_LIST = 8, 4, 2_000
-#: Shingles in a block of a family (one document may have more), and members that meet their hub in one group.
-FAMILY_BLOCK, HUB_GROUP = 400_000, 256
+#: Shingles in a block of a family (one document may have more), its members, and members that meet their hub in one group.
+FAMILY_BLOCK, FAMILY_ROWS, HUB_GROUP = 400_000, 4_096, 256
+#: Members of one side whose overlaps with the other side are held at once.
+OVERLAP_ROWS = 256
 #: Long lists whose hubs are broadcast, and classes whose ids are (some 64 MB); more are joined by a shuffle.
 BROADCAST_HUBS, BROADCAST_CLASSES = 500_000, 2_000_000
 _SALT, _TWIN = U64(0x8CB92BA72F3D8DD7), U64(0x5851F42D4C957F2D)
@@ -407,7 +409,7 @@ def families(found: DataFrame) -> DataFrame:
 def _placed(family: DataFrame, bounds: DataFrame, compared: DataFrame, comps: DataFrame) -> DataFrame:
     """(hub, i, j, block, a, n, in_hub, most, comp): members of each unit to compare, block i of a family with block j.
 
-    A family of at most FAMILY_BLOCK shingles is one unit; of larger ones, pairs of blocks that the bounds leave open.
+    A family of at most FAMILY_BLOCK shingles and FAMILY_ROWS members is one unit; of larger ones, pairs of blocks that the bounds leave open.
     """
     ends = (F.least("hub", "a").alias("a"), F.greatest("hub", "a").alias("b"))
     pair = family.select("hub", F.col("a").alias("member"), F.col("na").alias("n"), *ends)
@@ -416,13 +418,13 @@ def _placed(family: DataFrame, bounds: DataFrame, compared: DataFrame, comps: Da
     state = state.join(comps.select(F.col("id").alias("a"), "component_id"), "a", "left").withColumn("comp", F.coalesce("component_id", "a")).drop("component_id")
     state = common.cut(state, "jaccard-state")
     # more members than one, in more components than one
-    several = state.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("whole")).where("lo <> hi").select("hub", (F.col("whole") > FAMILY_BLOCK).alias("dealt"))
+    several = state.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("whole"), F.count("*").alias("members")).where("lo <> hi").select("hub", ((F.col("whole") > FAMILY_BLOCK) | (F.col("members") > FAMILY_ROWS)).alias("dealt"))
     state = state.join(several, "hub")
     whole = state.where("not dealt").select("hub", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("block"), "a", "n", "in_hub", "most", "comp")
     # members alike in size and overlap with the hub share blocks
     key = ["hub", "size", "share"]
     large = state.where("dealt").withColumn("size", F.floor(F.log("n") / F.log(F.lit(1.12))).cast("int")).withColumn("share", F.floor(16 * F.col("in_hub") / F.col("n")).cast("int"))
-    parts = large.groupBy(*key).agg(F.ceil(F.sum("n") / FAMILY_BLOCK).alias("k")).where("k > 1")
+    parts = large.groupBy(*key).agg(F.greatest(F.ceil(F.sum("n") / FAMILY_BLOCK), F.ceil(F.count("*") / FAMILY_ROWS)).alias("k")).where("k > 1")
     large = large.join(parts, key, "left").withColumn("block", F.xxhash64("size", "share", F.pmod(F.xxhash64("a"), F.coalesce("k", F.lit(1)))))
     large = common.cut(large.select("hub", "block", "a", "n", "in_hub", "most", "comp"), "jaccard-blocks")
     blocks = large.groupBy("hub", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("most").alias("m"), F.max(F.col("n") - F.col("in_hub")).alias("r"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
@@ -486,20 +488,30 @@ def _across(members: DataFrame, texts: DataFrame) -> DataFrame:
             row, spot = row[spot >= 0], spot[spot >= 0]
             order = np.argsort(spot, kind="stable")
             row, spot = row[order], spot[order]
-            both = np.zeros((len(left), len(right)), np.float32)
-            width = 2_048
-            for low in range(0, int(spot[-1]) + 1 if len(spot) else 0, width):
+            width, spots = 2_048, int(spot[-1]) + 1 if len(spot) else 0
+
+            def marked(rows: np.ndarray, low: int) -> np.ndarray:
+                """Which of ``width`` shared shingles from ``low`` on each row has."""
+                place = np.full(len(a), -1)
+                place[rows] = np.arange(len(rows))
                 some = slice(*np.searchsorted(spot, (low, low + width)))
-                has = np.zeros((len(a), min(width, int(spot[-1]) + 1 - low)), np.float32)
-                has[row[some], spot[some] - low] = 1
-                both += has[left] @ has[right].T
-            both = both.astype(np.int64)
-            hit = 100 * both >= PERCENT * (n[left][:, None] + n[right] - both)
-            x, y = np.nonzero(hit & (comp[left][:, None] != comp[right]))
-            x, y = left[x], right[y]
-            _, one = np.unique(np.column_stack((comp[x], comp[y])), axis=0, return_index=True)
-            if len(one):
-                yield pa.RecordBatch.from_arrays([pa.array(a[x[one]]), pa.array(a[y[one]])], names=["a", "b"])
+                own = place[row[some]] >= 0
+                has = np.zeros((len(rows), min(width, spots - low)), np.float32)
+                has[place[row[some]][own], spot[some][own] - low] = 1
+                return has
+
+            for first in range(0, len(left), OVERLAP_ROWS):
+                some = left[first : first + OVERLAP_ROWS]
+                both = np.zeros((len(some), len(right)), np.float32)
+                for low in range(0, spots, width):
+                    both += marked(some, low) @ marked(right, low).T
+                both = both.astype(np.int64)
+                hit = 100 * both >= PERCENT * (n[some][:, None] + n[right] - both)
+                x, y = np.nonzero(hit & (comp[some][:, None] != comp[right]))
+                x, y = some[x], right[y]
+                _, one = np.unique(np.column_stack((comp[x], comp[y])), axis=0, return_index=True)
+                if len(one):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[x[one]]), pa.array(a[y[one]])], names=["a", "b"])
 
     sent = members.join(texts.withColumnRenamed("class", "a"), "a").select("hub", "i", "j", "block", "a", "comp", "n_bytes", "z")
     return sent.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(compare, "a long, b long")

@@ -632,3 +632,30 @@ def test_pipeline_small(spark, tmp_path):
     assert tokens.count() == mixed.count()
     whole = cp.run(spark, folder)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, tokens.collect()))
+
+
+def test_jaccard_families_of_many_short_texts_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FAMILY_ROWS", 60)
+    monkeypatch.setattr(jaccard, "OVERLAP_ROWS", 7)
+    rng = random.Random(12)
+    template = [f"t{k}" for k in range(30)]
+    texts = []
+    for i in range(400):
+        own = rng.randrange(120)
+        at = 5 + own % 20
+        texts.append((i, " ".join([*template[:at], f"own{own}", f"more{i % 3}", *template[at:]])))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes_of(table(spark, texts)).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts for w in [t.split()]}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in sets}
