@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from curio import schemas, tables
 from curio.functions import dates, text
 from curio.operators import collections, derive, load, serve
-from curio.sources import extract, raw
+from curio.sources import extract, pages, raw
 from curio.streaming import ingest
 
 QUERIES: dict = {}
@@ -567,6 +567,39 @@ def graphql_pages(spark, sf):
     return found.select("source", "key", F.get_json_object("value", "$.title").alias("title"))
 
 
+def _landed(spark: SparkSession, sf: str) -> str:
+    """The pages of two sources, landed: parts by how many records come before them, and by an offset."""
+    p = _read(spark, sf, "part").select(F.col("p_partkey"), F.col("p_name"), (F.col("p_partkey") - 1).alias("k"))
+    record = F.when(F.col("k") % 10 != 0, F.struct(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("entityId"), F.col("p_name").alias("title")))
+    each = p.groupBy((F.col("k") - F.col("k") % pages.LIMIT).cast("string").alias("cursor")).agg(F.array_join(F.collect_list(F.coalesce(F.to_json(record), F.lit("null"))), ",").alias("all"))
+    total = p.agg(F.count("*").alias("total"))
+    body = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("value")
+    path = tables.shared_folder(spark, "landed")
+    sized = each.join(F.broadcast(total))
+    pages.land(sized.select(F.lit("cleveland").alias("source"), F.lit(0).alias("epoch"), "cursor", body('{"info":{"total":', F.col("total").cast("string"), '},"data":[', F.col("all"), "]}")), path, "skip")
+    pages.land(each.where(f"cursor <> '{2 * pages.LIMIT}'").select(F.lit("parismusees").alias("source"), F.lit(0).alias("epoch"), "cursor", body('{"data":{"nodeQuery":{"entities":[', F.col("all"), "]}}}")), path, "offset")
+    return path
+
+
+@_query("""SELECT 'cleveland' AS source, CAST(p_partkey AS VARCHAR) AS key, p_name AS title FROM part WHERE (p_partkey - 1) % 10 <> 0
+UNION ALL SELECT 'parismusees', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE (p_partkey - 1) % 10 <> 0 AND p_partkey <= 200""")
+def paged_source(spark, sf):
+    """Pages followed by the data source: all of one source, of the other up to the page that is not landed."""
+    pages.register(spark)
+    got = spark.read.format("pages").option("path", _landed(spark, sf)).option("pagesPerPartition", 4).load()
+    rest = raw.from_pages(got.where("source = 'cleveland'"), "cleveland", "$.data", F.get_json_object("value", "$.id"))
+    return rest.unionByName(raw.from_graphql(got.where("source = 'parismusees'"))).select("source", "key", F.get_json_object("value", "$.title").alias("title"))
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS title FROM part WHERE (p_partkey - 1) % 10 <> 0")
+def paged_stream(spark, sf):
+    """The same pages as a stream whose offset is the place in the chain."""
+    store = tables.shared_folder(spark, "crawled")
+    take = lambda df: raw.from_pages(df, "cleveland", "$.data", F.get_json_object("value", "$.id"))
+    pages.crawled(spark, _landed(spark, sf), "cleveland", take, tables.shared_folder(spark, "crawl-offsets"), store)
+    return ingest.stored(spark, store).select("key", F.get_json_object("value", "$.title").alias("title"))
+
+
 @_query("SELECT CASE WHEN p_partkey % 7 <> 0 THEN 'http://next/' || p_partkey END AS url FROM part")
 def next_urls(spark, sf):
     url = F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit('"http://next/'), "p_partkey", F.lit('"'))).otherwise("null")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curio import schemas
 
 #: Units of one source that are taken.
-UNITS = ("nmaahc", "chndm", "fsg", "npg", "saam", "hmsg")
+UNITS = ("saam", "npg", "hmsg", "fsg", "chndm", "nmafa")
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -54,9 +54,14 @@ def from_pages(pages: DataFrame, source: str, items: str, key: Column) -> DataFr
     return each.where(F.col("value").isNotNull()).select(F.lit(source).alias("source"), key.alias("key"), "value").where(F.col("key").isNotNull())
 
 
+def next_url(page: Column) -> Column:
+    """The URL that a landed page names as the next; null at the end."""
+    return F.get_json_object(page, "$.pagination.next_url")
+
+
 def next_urls(pages: DataFrame) -> DataFrame:
-    """The URL that each landed page names as the next; null at the end."""
-    return pages.select(F.get_json_object("value", "$.pagination.next_url").alias("url"))
+    """:func:`next_url` of each landed page."""
+    return pages.select(next_url(F.col("value")).alias("url"))
 
 
 def from_graphql(pages: DataFrame, source: str = "parismusees") -> DataFrame:
@@ -99,11 +104,17 @@ def harvested(pages: DataFrame) -> DataFrame:
     return parsed.select(F.col("h._status").alias("status"), F.trim("h.identifier").alias("identifier"), F.trim("h.datestamp").alias("datestamp"), rdf.alias("rdf_xml"))
 
 
+def token_of(page: Column) -> tuple[Column, Column]:
+    """The token of a landed page to go on with, null at the end; whether the page says that the token it was asked for is bad."""
+    token = F.nullif(F.trim(F.regexp_extract(page, r"(?s)<(?:[\w.-]+:)?resumptionToken[^>/]*>(.*?)</(?:[\w.-]+:)?resumptionToken\s*>", 1)), F.lit(""))
+    bad = F.coalesce(F.regexp_like(page, F.lit(r"""<(?:[\w.-]+:)?error\s[^>]*code\s*=\s*["']badResumptionToken["']""")), F.lit(False))
+    return F.when(~bad, token), bad
+
+
 def resume_token(pages: DataFrame) -> DataFrame:
     """(token, restart): the token of each page to go on with, URL-encoded, null at the end; whether the harvest must begin anew since its token is bad."""
-    token = F.nullif(F.trim(F.regexp_extract("value", r"(?s)<(?:[\w.-]+:)?resumptionToken[^>/]*>(.*?)</(?:[\w.-]+:)?resumptionToken\s*>", 1)), F.lit(""))
-    bad = F.coalesce(F.regexp_like("value", F.lit(r"""<(?:[\w.-]+:)?error\s[^>]*code\s*=\s*["']badResumptionToken["']""")), F.lit(False))
-    return pages.select(F.url_encode(F.when(~bad, token)).alias("token"), bad.alias("restart"))
+    token, bad = token_of(F.col("value"))
+    return pages.select(F.url_encode(token).alias("token"), bad.alias("restart"))
 
 
 def next_skips(pages: DataFrame, limit: int = 100) -> DataFrame:
