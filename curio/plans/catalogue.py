@@ -385,6 +385,34 @@ def constraint_faults(spark, sf):
     return schemas.faults({"image_artists": rows})
 
 
+def _shards(spark: SparkSession, sf: str) -> str:
+    """Events as gzipped shards in a folder of one unit each; every fifth shard has a line that is no JSON."""
+    e = _read(spark, sf, "events").withColumn("shard", F.col("event_id") % 10)
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("type")))
+    broken = F.when((F.col("shard") % 5 == 3) & (F.col("event_id") < 20), F.lit('{"id": ')).otherwise(line)
+    path = tables.shared_folder(spark, "shards")
+    e.select(broken.alias("value"), "shard").repartition("shard").write.partitionBy("shard").option("compression", "gzip").text(path)
+    return path
+
+
+@_query("SELECT CAST(event_id AS VARCHAR) AS key, event_type AS type FROM events WHERE event_id % 5 <> 3")
+def ingest_shards(spark, sf):
+    """What a stream of shards has stored: all of the whole ones, nothing of broken ones."""
+    store = tables.shared_folder(spark, "ingested")
+    ingest.ingest(spark, f"{_shards(spark, sf)}/*", store, tables.shared_folder(spark, "ingest-log"), files_per_batch=4)
+    return ingest.stored(spark, store).select("key", F.get_json_object("value", "$.type").alias("type"))
+
+
+@_query("""SELECT 'shard=' || (event_id % 10) AS shard, bool_and(event_id % 5 <> 3) AS stored, CAST(CASE WHEN bool_and(event_id % 5 <> 3) THEN count(*) ELSE 0 END AS BIGINT) AS lines, CAST(CASE WHEN bool_and(event_id % 5 <> 3) THEN 0 ELSE 1 END AS INTEGER) AS retry
+FROM events GROUP BY 1""")
+def shard_outcomes(spark, sf):
+    """What became of each shard after a second call, which tries the failed ones again."""
+    landed, store, log = f"{_shards(spark, sf)}/*", tables.shared_folder(spark, "ingested"), tables.shared_folder(spark, "ingest-log")
+    for _ in range(2):
+        ingest.ingest(spark, landed, store, log)
+    return ingest.outcomes(spark, store).select(F.regexp_extract("shard", "shard=[0-9]+", 0).alias("shard"), "stored", "lines", "retry")
+
+
 # ---- derived layers
 
 

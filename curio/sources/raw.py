@@ -69,10 +69,14 @@ def from_graphql(pages: DataFrame, source: str = "parismusees") -> DataFrame:
     return from_pages(pages, source, "$.data.nodeQuery.entities", F.get_json_object("value", "$.entityId"))
 
 
+def ndjson_key(line: Column) -> Column:
+    """The key of a line of JSON."""
+    return F.coalesce(F.get_json_object(line, "$.content.descriptiveNonRepeating.record_ID"), F.get_json_object(line, "$.id"))
+
+
 def from_ndjson(lines: DataFrame, source: str = "smithsonian") -> DataFrame:
     """Raw rows of newline-delimited JSON: blank lines and records without a key go, the line is kept as it is."""
-    key = F.coalesce(F.get_json_object("value", "$.content.descriptiveNonRepeating.record_ID"), F.get_json_object("value", "$.id"))
-    return lines.where(F.trim("value") != "").select(F.lit(source).alias("source"), key.alias("key"), "value").where(F.col("key").isNotNull())
+    return lines.where(F.trim("value") != "").select(F.lit(source).alias("source"), ndjson_key(F.col("value")).alias("key"), "value").where(F.col("key").isNotNull())
 
 
 def shards_to_do(index: DataFrame, done: DataFrame) -> DataFrame:

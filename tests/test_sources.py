@@ -108,6 +108,31 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert got == {"1": '{"id": "1", "v": 2}', "2": '{"id": "2"}'}
 
 
+def test_a_corrupt_shard_fails_for_itself_and_is_tried_again(spark, tmp_path):
+    import gzip
+
+    landed, out, log = tmp_path / "landed", f"{tmp_path}/store", f"{tmp_path}/log"
+    landed.mkdir()
+    whole = {k: gzip.compress(f'{{"id": "{k}", "v": 1}}\n'.encode() * 3) for k in "abcde"}
+    for k, data in whole.items():
+        (landed / f"{k}.gz").write_bytes(data[:-12] if k == "c" else data)
+    (landed / "f.txt").write_text('{"id": "f"}\n{"id": broken')
+    assert ingest.ingest(spark, str(landed), out, log, files_per_batch=3) == 2
+    told = {r["shard"].rpartition("/")[2]: r for r in ingest.outcomes(spark, out).collect()}
+    assert {k for k, r in told.items() if not r["stored"]} == {"c.gz", "f.txt"} and told["a.gz"]["lines"] == 3 and told["c.gz"]["error"] and told["c.gz"]["retry"] == 0
+    assert {r["key"] for r in ingest.stored(spark, out).collect()} == set("abde")
+    (landed / "c.gz").write_bytes(whole["c"])
+    assert ingest.ingest(spark, str(landed), out, log) == 0  # no new file: the failed ones are tried all the same
+    told = {r["shard"].rpartition("/")[2]: (r["stored"], r["retry"]) for r in ingest.outcomes(spark, out).collect()}
+    assert told["c.gz"] == (True, 1) and told["f.txt"] == (False, 1) and told["a.gz"] == (True, 0)
+    assert {r["key"] for r in ingest.stored(spark, out).collect()} == set("abcde")
+    assert ingest.retry_failed(spark, out) == 1
+
+
+def test_no_store_yet(spark, tmp_path):
+    assert ingest.stored(spark, f"{tmp_path}/none").count() == 0 and ingest.outcomes(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_raw_store(spark, tmp_path):
     a = spark.createDataFrame([("s", "1", "a"), ("s", "2", "b")], schemas.RAW)
     b = spark.createDataFrame([("s", "2", "c", 1), ("s", "2", "d", 2), ("t", "1", "e", 1)], "source string, key string, value string, n int")
