@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curio import schemas, tables
 from curio.functions import dates
+from curio.functions.text import iso_now
+from curio.operators.store import Snapshot, Store
 
 
 def allocate_ids(new: DataFrame, order: list[str], base: int = 0, into: str = "id") -> DataFrame:
@@ -45,7 +45,7 @@ def dedupe_records(records: DataFrame, key: str, order: list[str]) -> DataFrame:
 def upsert(table: DataFrame, records: DataFrame, key: str, columns: tuple[str, ...], now: Column, order: list[str]) -> DataFrame:
     """The whole table after the upsert, with ``result``: inserted, updated, unchanged, or null for rows not in ``records``.
 
-    ``table`` has id, first_seen_at, updated_at and ``columns`` (``key`` among them); ``records`` has
+    Every join is by ``key``: of a table that is bucketed by it, nothing is shuffled, only the records are.  ``table`` has id, first_seen_at, updated_at and ``columns`` (``key`` among them); ``records`` has
     ``columns`` and ``order``.  Of records with one key the last counts; new ids follow the first ones' order.
     """
     last = dedupe_records(records, key, order)
@@ -68,10 +68,10 @@ def upsert(table: DataFrame, records: DataFrame, key: str, columns: tuple[str, .
     )
 
 
-def upsert_images(images: DataFrame, records: DataFrame, now: Column) -> DataFrame:
-    """:func:`upsert` of common records by ``source_url``."""
+def upsert_images(images: DataFrame, records: DataFrame, now: Column | None = None) -> DataFrame:
+    """:func:`upsert` of common records by ``source_url``; ``now`` is the time of the run for none."""
     order = [c for c in ("source_order", "key", "item") if c in records.columns]
-    return upsert(images, records, "source_url", schemas.IMAGE_COLUMNS, now, order or ["source_url"])
+    return upsert(images, records, "source_url", schemas.IMAGE_COLUMNS, iso_now() if now is None else now, order or ["source_url"])
 
 
 def child_rows(records: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -83,31 +83,41 @@ def child_rows(records: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFr
     return known.select("image_id"), rows
 
 
-def sync_children(table: DataFrame, touched: DataFrame, rows: DataFrame, columns: tuple[str, ...], parent: str = "image_id") -> DataFrame:
+def sync_children(table: DataFrame, touched: DataFrame, rows: DataFrame, columns: tuple[str, ...], parent: str = "image_id", buckets: int = 0) -> DataFrame:
     """The child table after the lists of the touched parents were replaced, with ``result``.
 
     Rows are matched by (parent, position): kept ids, changed columns updated, new positions inserted,
     surplus positions of touched parents deleted (they are gone from the output).  Parents that were
     not touched pass through with a null result; other columns of the table are left as they are.
+
+    A parent's new list is one row, as it was in its record, so every join and group is by the parent alone: of a
+    table that is bucketed by it nothing is shuffled, only the new lists are.  ``buckets`` places inserted rows likewise.
     """
     base = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     key = [parent, "position"]
     rest = [c for c in table.columns if c not in ("id", *key, *columns)]
-    fresh = rows.join(table.select(*key), key, "left_anti")
-    ids = allocate_ids(fresh.select(*key), key, base).select(*key, F.col("id").alias("_id"))
-    n = rows.join(ids, key, "left").alias("n")
-    marked = table.join(touched.select(parent).distinct().withColumn("_touched", F.lit(True)), parent, "left")
-    o = marked.alias("o")
-    both = o.join(n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key], "full_outer")
-    is_new, is_old = F.col("o.id").isNull(), F.col("n.position").isNull()
-    both = both.where(~(is_old & F.coalesce("o._touched", F.lit(False))))
-    result = F.when(is_old, F.lit(None)).when(is_new, "inserted").when(changed("o", "n", columns), "updated").otherwise("unchanged")
-    pick = lambda c: F.when(is_old, F.col(f"o.`{c}`")).otherwise(F.col(f"n.`{c}`")).alias(c)
-    return both.select(F.coalesce("o.id", "n._id").alias("id"), *(pick(c) for c in (*key, *columns)), *(F.col(f"o.`{c}`") for c in rest), result.alias("result"))
-
-
-def sync_artists(table: DataFrame, touched: DataFrame, rows: DataFrame) -> DataFrame:
-    return sync_children(table, touched, rows, schemas.ARTIST_COLUMNS)
+    one = F.struct("position", *(F.col(f"`{c}`") for c in columns)).alias("_new")
+    given = rows.select(parent, one, F.lit(False).alias("_touched"))
+    marks = touched.select(parent, F.lit(None).cast(given.schema["_new"].dataType).alias("_new"), F.lit(True).alias("_touched"))
+    lists = tables.cut(given.unionByName(marks).groupBy(parent).agg(F.collect_list("_new").alias("_list"), F.max("_touched").alias("_touched")), "child-lists")
+    at = lambda c: F.get(F.filter("_list", lambda x: x["position"] == F.col("o.position")), F.lit(0))[c]
+    o = table.alias("o").join(lists, parent, "left")
+    met = F.coalesce(F.exists("_list", lambda x: x["position"] == F.col("o.position")), F.lit(False))
+    kept = o.where(met | ~F.coalesce("_touched", F.lit(False))).withColumn("_met", met)
+    same = reduce(lambda a, b: a & b, (F.col(f"o.`{c}`").eqNullSafe(at(c)) for c in columns))
+    result = F.when(F.col("_met"), F.when(same, "unchanged").otherwise("updated"))
+    pick = lambda c: F.when(F.col("_met"), at(c)).otherwise(F.col(f"o.`{c}`")).alias(c)
+    old = kept.select(F.col("o.id").alias("id"), *(F.col(f"o.`{c}`").alias(c) for c in key), *(pick(c) for c in columns), *(F.col(f"o.`{c}`") for c in rest), result.alias("result"))
+    have = table.groupBy(parent).agg(F.collect_set("position").alias("_have"))
+    new = lists.join(have, parent, "left").select(parent, F.explode(F.filter("_list", lambda x: ~F.coalesce(F.array_contains("_have", x["position"]), F.lit(False)))).alias("_n"))
+    fresh = allocate_ids(new.select(parent, "_n.*"), key, base)
+    fresh = fresh.repartition(buckets, parent) if buckets else fresh
+    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema}
+    return old.unionByName(fresh.select("id", *key, *(F.col(f"`{c}`") for c in columns), *(blank[c] for c in rest), F.lit("inserted").alias("result")))
+
+
+def sync_artists(table: DataFrame, touched: DataFrame, rows: DataFrame, buckets: int = 0) -> DataFrame:
+    return sync_children(table, touched, rows, schemas.ARTIST_COLUMNS, buckets=buckets)
 
 
 def image_dates(images: DataFrame, version: str = dates.RULE_VERSION) -> DataFrame:
@@ -132,39 +142,15 @@ def load_stats(loaded: DataFrame) -> DataFrame:
     return loaded.agg(one("inserted"), one("updated"), one("unchanged"), F.count("result").alias("total"))
 
 
-class Store:
-    """Tables as numbered versions in a folder; a version counts once its pointer is committed.
+def load_records(store: Store, records: DataFrame, now: Column | None = None) -> tuple[Snapshot, DataFrame]:
+    """One transaction: images and the lists of their artists become current together, or neither does.
 
-    A job reads the current version and writes the next into a folder of its own, so it never overwrites what
-    it or another job reads.  A pointer is a new folder named by its version: of two jobs that began with one
-    version the second fails, and one that dies leaves the current version as it was.
+    Returns the new version and its :func:`load_stats`.  Of bucketed tables neither the joins nor the writes shuffle more
+    than the records and what is new.
     """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _current(self, table: str) -> tuple[int, str | None]:
-        try:
-            pointers = self.spark.read.schema("version int, folder string").option("recursiveFileLookup", True).json(f"{self.path}/{table}/current")
-            last = pointers.agg(F.max(F.struct("version", "folder")).alias("p")).first()["p"]
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = None
-        return (last["version"], last["folder"]) if last else (0, None)
-
-    def version(self, table: str) -> int:
-        return self._current(table)[0]
-
-    def read(self, table: str) -> DataFrame:
-        _, folder = self._current(table)
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.path}/{table}/{folder}") if folder else schemas.empty(self.spark, table)
-
-    def write(self, table: str, df: DataFrame, after: int | None = None) -> int:
-        """Commit ``df`` as the version after ``after``, the one that it was made of (the current one for none)."""
-        v = (self.version(table) if after is None else after) + 1
-        folder = f"v{v}-{uuid.uuid4().hex}"
-        df.select(*(f.name for f in schemas.TABLES[table])).write.parquet(f"{self.path}/{table}/{folder}")
-        pointer = self.spark.createDataFrame([(v, folder)], "version int, folder string").coalesce(1)
-        pointer.write.mode("errorifexists").json(f"{self.path}/{table}/current/v{v}")
-        return v
+    before = store.snapshot()
+    images = store.stage("images", upsert_images(before.read("images"), records, now), before, placed=True)
+    touched, rows = child_rows(records, images.rows)
+    parts = before.tables.get("image_artists", ("", 0))[1]
+    artists = store.stage("image_artists", sync_artists(before.read("image_artists"), touched, rows, parts), before, placed=True)
+    return store.commit({"images": images, "image_artists": artists}, before), load_stats(images.rows)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from curio import schemas, tables
 from curio.functions import dates, text
-from curio.operators import collections, derive, load, serve
+from curio.operators import collections, derive, load, serve, store
 from curio.sources import extract, pages, raw
 from curio.streaming import ingest
 
@@ -326,6 +326,62 @@ def raw_put(spark, sf):
     return raw.put(regions.unionByName(stale.join(e, ["source", "key"], "left_semi")), e, ["event_id"])
 
 
+def _conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as records: their turns are the lists of artists."""
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in schemas.ARTIST}
+    one = F.struct("turn", F.struct(*(c.alias(n) for n, c in (blank | {"name_raw": F.col("role"), "source_artist_id": F.col("turn").cast("string")}).items())).alias("a"))
+    lists = _read(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["a"]).alias("artists"))
+    given = {"source": F.lit("aic"), "source_url": F.concat(F.lit("c"), "conv_id"), "image_url": F.lit("i"), "title": F.lit("old"), "artists": F.col("artists")}
+    return lists.select("conv_id", *(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.RECORD))
+
+
+def _transactions(spark: SparkSession, sf: str) -> store.Store:
+    """Two loads into bucketed tables: the first of conversations not divisible by 5, the second of those divisible by 2, without their first turns."""
+    c = _conversations(spark, sf)
+    s = store.Store(spark, tables.shared_folder(spark, "store"), 4)
+    load.load_records(s, c.where("conv_id % 5 <> 0").drop("conv_id"), F.lit("then"))
+    again = c.where("conv_id % 2 = 0").withColumn("artists", F.slice("artists", 2, 1000)).withColumn("title", F.when(F.col("conv_id") % 4 == 0, "new").otherwise(F.col("title")))
+    load.load_records(s, again.drop("conv_id"), F.lit("now"))
+    return s
+
+
+@_query("""SELECT 'c' || conv_id AS source_url, CASE WHEN conv_id % 4 = 0 THEN 'new' ELSE 'old' END AS title, CASE WHEN conv_id % 5 = 0 THEN 'now' ELSE 'then' END AS first_seen_at,
+CASE WHEN conv_id % 4 = 0 OR (conv_id % 10 = 0) THEN 'now' ELSE 'then' END AS updated_at FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 5 <> 0 OR conv_id % 2 = 0""")
+def transaction_images(spark, sf):
+    """Images after two loads."""
+    return _transactions(spark, sf).read("images").select("source_url", "title", "first_seen_at", "updated_at")
+
+
+@_query("""WITH t AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS r FROM conversations)
+SELECT 'c' || conv_id AS source_url, CAST(r - CASE WHEN conv_id % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS position, role AS name_raw, CAST(turn AS VARCHAR) AS source_artist_id
+FROM t WHERE (conv_id % 2 = 0 AND r > 1) OR (conv_id % 2 <> 0 AND conv_id % 5 <> 0)""")
+def transaction_artists(spark, sf):
+    """The artists that one reader sees with the images after two loads."""
+    now = _transactions(spark, sf).snapshot()
+    ids = now.read("images").select(F.col("id").alias("image_id"), "source_url")
+    return now.read("image_artists").join(ids, "image_id").select("source_url", "position", "name_raw", "source_artist_id")
+
+
+@_query("SELECT 'u' || (event_id % 50) AS source, CAST(event_id % 500 AS VARCHAR) AS key, CAST(max(event_id) AS VARCHAR) AS value FROM events WHERE event_id % 50 < 3 GROUP BY 1, 2")
+def raw_store(spark, sf):
+    """Two puts into the bucketed store, the second over some keys of the first."""
+    e = _read(spark, sf, "events").where("event_id % 50 < 3").select(F.concat(F.lit("u"), F.col("event_id") % 50).alias("source"), (F.col("event_id") % 500).cast("string").alias("key"), F.col("event_id").cast("string").alias("value"), "event_id")
+    last = e.groupBy("source", "key").agg(F.max("event_id").alias("m"))
+    s = store.RawStore(spark, tables.shared_folder(spark, "raw-store"), 4)
+    s.put(e.join(last, ["source", "key"]).where("event_id < m").drop("m"), ["event_id"])
+    s.put(e.join(last, ["source", "key"]).where("event_id = m").drop("m"), ["event_id"])
+    return s.scan()
+
+
+@_query("SELECT 'u1' AS source, '51' AS key, CAST(max(event_id) AS VARCHAR) AS value FROM events WHERE event_id % 500 = 51 HAVING count(*) > 0")
+def raw_get(spark, sf):
+    """One key by its bucket."""
+    e = _read(spark, sf, "events").select(F.concat(F.lit("u"), F.col("event_id") % 50).alias("source"), (F.col("event_id") % 500).cast("string").alias("key"), F.col("event_id").cast("string").alias("value"), "event_id")
+    s = store.RawStore(spark, tables.shared_folder(spark, "raw-store"), 4)
+    s.put(e, ["event_id"])
+    return s.get("u1", "51")
+
+
 _SYNCED = """WITH c AS (SELECT conv_id, CAST(turn AS INTEGER) AS position, CASE WHEN conv_id % 3 = 1 AND turn = 0 THEN text || '!' ELSE text END AS name_raw, conv_id * 100 + turn AS id,
 CASE WHEN conv_id % 3 = 2 THEN NULL WHEN conv_id % 3 = 1 AND turn = 0 THEN 'updated' ELSE 'unchanged' END AS result, conv_id % 3 AS k, turn FROM conversations)
 SELECT id, conv_id, position, md5(name_raw) AS name, result, 'bucket' AS role_bucket FROM c WHERE NOT (k = 0 AND turn >= 2)"""

@@ -73,10 +73,11 @@ def test_second_writer_of_a_version_fails(spark, tmp_path):
 
     store = load.Store(spark, str(tmp_path))
     df = spark.createDataFrame([(1, "t", None, None, "1", None)], schemas.COLLECTIONS)
-    store.write("collections", df, after=0)
+    before = store.snapshot()
+    store.write("collections", df, after=before)
     with pytest.raises(Exception, match="EXISTS"):
-        store.write("collections", df.limit(0), after=0)
-    assert store.version("collections") == 1 and store.read("collections").count() == 1
+        store.write("collections", df.limit(0), after=before)
+    assert store.version() == 1 and store.read("collections").count() == 1
 
 
 def test_last_translation_wins(spark):
