@@ -587,6 +587,22 @@ def rdf_extract(spark, sf):
     return r.select("key", "source_id", "title", "artist", "category", "date", "source_url", one["birth_year"].alias("birth_year"), one["authority_urls"].alias("authority_urls"), F.size("artists").alias("n_artists"))
 
 
+@_query("""SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END AS category, p_brand AS artist, '<' || p_name || '>' AS title, CAST(p_size AS VARCHAR) AS medium,
+'http://at/' || p_partkey AS source_url FROM part""")
+def rdf_any_resource(spark, sf):
+    """What is referred to may be any element, the aggregation may stand at any depth, and text may be character data."""
+    k = F.col("p_partkey").cast("string")
+    label = lambda name, of: F.concat(F.lit(f'<{name} rdf:about="u:'), F.lit(name), F.lit('"><!-- <skos:prefLabel>no</skos:prefLabel> --><skos:prefLabel>'), F.col(of), F.lit(f"</skos:prefLabel></{name}>"))
+    agg = F.concat(F.lit('<ore:Aggregation><edm:rights rdf:resource="publicdomain"/><edm:isShownBy rdf:resource="img"/><edm:isShownAt rdf:resource="http://at/'), k, F.lit('"/></ore:Aggregation>'))
+    xml = F.concat(
+        F.lit("<rdf:RDF>"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<my:Box><my:Inner>"), agg, F.lit("</my:Inner></my:Box>"))).otherwise(agg), label("my:Sort", "p_type"), label("foaf:Person", "p_brand"), label("crm:E57", "p_size"),
+        F.lit('<edm:ProvidedCHO rdf:about="c"><dc:title><![CDATA[<'), F.col("p_name"), F.lit('>]]></dc:title><dc:creator rdf:resource="u:foaf:Person"/><dcterms:medium rdf:resource="u:crm:E57"/><dc:type rdf:resource="u:'),
+        F.when(F.col("p_partkey") % 3 == 0, "my:Sort").otherwise("foaf:Person"), F.lit('"/></edm:ProvidedCHO></rdf:RDF>'),
+    )
+    records = _read(spark, sf, "part").select(F.lit("").alias("status"), k.alias("identifier"), F.lit("d").alias("datestamp"), xml.alias("rdf_xml"))
+    return extract.extract(raw.from_oai(records), "rijksmuseum").select("key", "category", "artist", "title", "medium", "source_url")
+
+
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     """Raw JSON of five sources made of parts."""
     p = _read(spark, sf, "part").withColumn("k", F.col("p_partkey"))
@@ -631,6 +647,16 @@ def oai_records(spark, sf):
     return raw.from_oai(raw.harvested(e.select(page.alias("value")))).select("key", F.get_json_object("value", "$.identifier").alias("identifier"))
 
 
+@_query("""SELECT CAST(event_id AS VARCHAR) AS key, 'x/' || event_id AS identifier, '<rdf:RDF a=">"><![CDATA[</record>]]><!-- </rdf:RDF> -->' || event_type || '</rdf:RDF>' AS rdf_xml FROM events WHERE event_id % 3 <> 0""")
+def oai_markup(spark, sf):
+    """Ends of records within comments and character data end nothing, and descriptions stay as they were sent."""
+    e = _read(spark, sf, "events")
+    record = F.concat(F.lit("<record><!-- </record> --><header"), F.when(F.col("event_id") % 3 == 0, " status='deleted'").otherwise(""), F.lit("><identifier>x/<![CDATA["), "event_id", F.lit(']]></identifier><datestamp>d</datestamp></header><metadata><rdf:RDF a=">"><![CDATA[</record>]]><!-- </rdf:RDF> -->'), "event_type", F.lit("</rdf:RDF></metadata></record>"))
+    page = e.select((F.col("event_id") % 97).alias("page"), record.alias("r")).groupBy("page").agg(F.concat(F.lit("<?xml version='1.0'?><OAI-PMH><ListRecords>"), F.array_join(F.collect_list("r"), "\n"), F.lit("</ListRecords></OAI-PMH>")).alias("value"))
+    got = raw.from_oai(raw.harvested(page))
+    return got.select("key", F.get_json_object("value", "$.identifier").alias("identifier"), F.get_json_object("value", "$.rdf_xml").alias("rdf_xml"))
+
+
 def _pages(spark: SparkSession, sf: str, data: str) -> DataFrame:
     """Parts in landed pages (source, skip, value): the elements of a hundred keys each, as ``data`` in the JSON."""
     p = _read(spark, sf, "part").select(F.lit("cleveland").alias("source"), (F.col("p_partkey") - F.col("p_partkey") % 100).alias("skip"), F.when(F.col("p_partkey") % 10 != 0, F.struct(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("entityId"), F.col("p_name").alias("title"))).alias("r"))

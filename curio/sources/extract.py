@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from curio import schemas
 from curio.functions.text import authority_urls, joined, present, unescape_html, year
+from curio.sources import xmlpull
 
 _ARTIST = schemas.ARTIST.simpleString()
 
@@ -138,83 +139,28 @@ def parismusees(raw: DataFrame) -> DataFrame:
     )
 
 
-_WORD = "array<struct<_VALUE:string,`_xml:lang`:string>>"
-_REF = "array<struct<`_rdf:resource`:string>>"
-_RESOURCE = f"`_rdf:about`:string,`skos:prefLabel`:{_WORD},`rdaGr2:dateOfBirth`:array<string>,`rdaGr2:dateOfDeath`:array<string>,`owl:sameAs`:{_REF}"
-#: Elements of a description that others refer to.
-RESOURCES = ("edm:Agent", "edm:Place", "skos:Concept", "edm:TimeSpan", "edm:WebResource")
-_CHO = f"`_rdf:about`:string,`dc:creator`:{_REF},`dc:type`:{_REF},`dc:title`:{_WORD},`dcterms:created`:{_WORD},`dcterms:medium`:{_REF},`dcterms:spatial`:{_REF},`dcterms:extent`:{_WORD},`dc:description`:{_WORD}"
-_RDF = f"`ore:Aggregation` array<struct<`edm:rights`:{_REF},`edm:isShownBy`:{_REF},`edm:isShownAt`:{_REF}>>, `edm:ProvidedCHO` array<struct<{_CHO}>>, " + ", ".join(f"`{r}` array<struct<{_RESOURCE}>>" for r in RESOURCES)
-
-
 def rijksmuseum(raw: DataFrame) -> DataFrame:
-    d = raw.where(F.col("source") == "rijksmuseum").select("key", F.get_json_object("value", "$.rdf_xml").alias("xml"))
-    d = d.select("key", F.from_xml("xml", _RDF, {"ignoreSurroundingSpaces": "false"}).alias("x")).select("key", "x.*")
-    ref = lambda c: F.get(c, F.lit(0))["_rdf:resource"]
-    d = d.withColumn("agg", F.get("`ore:Aggregation`", F.lit(0))).withColumn("cho", F.get("`edm:ProvidedCHO`", F.lit(0)))
-    d = d.where(ref(F.col("agg")["edm:rights"]).contains("publicdomain") & ref(F.col("agg")["edm:isShownBy"]).isNotNull() & F.col("cho").isNotNull())
-    element = f"struct<{_RESOURCE}>"
-    d = d.withColumn("res", reduce(lambda a, b: F.concat(a, b), (_array(F.col(f"`{r}`"), element) for r in RESOURCES)))
-    spoken = lambda words: F.coalesce(_first(words, lambda w: w["_xml:lang"] == "en"), F.get(words, F.lit(0)))["_VALUE"]
-    # of resources with one name the last counts
-    found = lambda uri: F.try_element_at(F.filter("res", lambda r: r["_rdf:about"] == uri), F.lit(-1))
-    label = lambda uri: spoken(found(uri)["skos:prefLabel"])
+    """One record for each description: what it refers to is looked up among all its resources, whatever their elements."""
+    d = xmlpull.descriptions(raw.where(F.col("source") == "rijksmuseum").select("key", F.get_json_object("value", "$.rdf_xml").alias("xml")))
+    d = d.where(F.col("agg.rights").contains("publicdomain") & F.col("agg.shown_by").isNotNull() & F.col("cho").isNotNull())
+    spoken = lambda words: F.coalesce(_first(words, lambda w: w["lang"] == "en"), F.get(words, F.lit(0)))["text"]
+    found = lambda uri: F.try_element_at("resources", uri)
+    label = lambda uri: spoken(found(uri)["labels"])
     # each creator's resource is looked up once
-    known = F.transform(F.col("cho")["dc:creator"], lambda c: F.struct(c["_rdf:resource"].alias("uri"), found(c["_rdf:resource"]).alias("r")))
+    known = F.transform(F.filter("cho.creators", lambda c: c.isNotNull()), lambda c: F.struct(c.alias("uri"), found(c).alias("r")))
     artists = F.transform(
         known,
         lambda k: _artist(
-            name_raw=spoken(k["r"]["skos:prefLabel"]), birth_year=year(F.get(k["r"]["rdaGr2:dateOfBirth"], F.lit(0))), death_year=year(F.get(k["r"]["rdaGr2:dateOfDeath"], F.lit(0))),
-            source_artist_id=k["uri"], authority_urls=authority_urls(F.transform(k["r"]["owl:sameAs"], lambda s: s["_rdf:resource"])),
-        ),
-    )
-    d = d.withColumn("artists", F.coalesce(_named(artists), F.array().cast(f"array<{_ARTIST}>")))
-    p = F.col("fieldDateProduction")
-    years = F.regexp_replace(F.concat(F.coalesce(p["startYear"], F.lit("")), F.lit("-"), F.coalesce(p["endYear"], F.lit(""))), "-$", "")
-    date = F.when(years != "", years).otherwise(F.coalesce(present(p["century"]), present(F.get("fieldOeuvreSiecle", F.lit(0))["entity"]["name"])))
-    names = lambda c: joined(F.transform(c, lambda e: e["entity"]["name"]), ",")
-    d = d.withColumn("date", date).select("*", F.posexplode("free").alias("item", "visual"))
-    return _record(
-        d, "parismusees", item=F.col("item"), source_id=present(F.col("entityId")), category=names("fieldOeuvreTypesObjet"), style=names("fieldOeuvreThemeRepresente"), title=F.col("title"),
-        artist=joined(F.transform("artists", lambda a: a["name_raw"]), ","), date=F.col("date"), date_raw_start=year(p["startYear"]), date_raw_end=year(p["endYear"]), date_raw_precision=present(p["startPrecision"]),
-        medium=names("fieldMateriauxTechnique"), source_url=F.concat(F.col("absolutePath"), F.lit("?"), F.col("item")), image_url=F.col("visual.entity.publicUrl"), artists=F.col("artists"),
-    )
-
-
-_WORD = "array<struct<_VALUE:string,`_xml:lang`:string>>"
-_REF = "array<struct<`_rdf:resource`:string>>"
-_RESOURCE = f"`_rdf:about`:string,`skos:prefLabel`:{_WORD},`rdaGr2:dateOfBirth`:array<string>,`rdaGr2:dateOfDeath`:array<string>,`owl:sameAs`:{_REF}"
-#: Elements of a description that others refer to.
-RESOURCES = ("edm:Agent", "edm:Place", "skos:Concept", "edm:TimeSpan", "edm:WebResource")
-_CHO = f"`_rdf:about`:string,`dc:creator`:{_REF},`dc:type`:{_REF},`dc:title`:{_WORD},`dcterms:created`:{_WORD},`dcterms:medium`:{_REF},`dcterms:spatial`:{_REF},`dcterms:extent`:{_WORD},`dc:description`:{_WORD}"
-_RDF = f"`ore:Aggregation` array<struct<`edm:rights`:{_REF},`edm:isShownBy`:{_REF},`edm:isShownAt`:{_REF}>>, `edm:ProvidedCHO` array<struct<{_CHO}>>, " + ", ".join(f"`{r}` array<struct<{_RESOURCE}>>" for r in RESOURCES)
-
-
-def rijksmuseum(raw: DataFrame) -> DataFrame:
-    d = raw.where(F.col("source") == "rijksmuseum").select("key", F.get_json_object("value", "$.rdf_xml").alias("xml"))
-    d = d.select("key", F.from_xml("xml", _RDF, {"ignoreSurroundingSpaces": "false"}).alias("x")).select("key", "x.*")
-    ref = lambda c: F.get(c, F.lit(0))["_rdf:resource"]
-    d = d.withColumn("agg", F.get("`ore:Aggregation`", F.lit(0))).withColumn("cho", F.get("`edm:ProvidedCHO`", F.lit(0)))
-    d = d.where(ref(F.col("agg")["edm:rights"]).contains("publicdomain") & ref(F.col("agg")["edm:isShownBy"]).isNotNull() & F.col("cho").isNotNull())
-    element = f"struct<{_RESOURCE}>"
-    d = d.withColumn("res", reduce(lambda a, b: F.concat(a, b), (_array(F.col(f"`{r}`"), element) for r in RESOURCES)))
-    spoken = lambda words: F.coalesce(_first(words, lambda w: w["_xml:lang"] == "en"), F.get(words, F.lit(0)))["_VALUE"]
-    # of resources with one name the last counts
-    found = lambda uri: F.try_element_at(F.filter("res", lambda r: r["_rdf:about"] == uri), F.lit(-1))
-    label = lambda uri: spoken(found(uri)["skos:prefLabel"])
-    artists = F.transform(
-        F.col("cho")["dc:creator"],
-        lambda c: _artist(
-            name_raw=label(c["_rdf:resource"]), birth_year=year(F.get(found(c["_rdf:resource"])["rdaGr2:dateOfBirth"], F.lit(0))), death_year=year(F.get(found(c["_rdf:resource"])["rdaGr2:dateOfDeath"], F.lit(0))),
-            source_artist_id=c["_rdf:resource"], authority_urls=authority_urls(F.transform(found(c["_rdf:resource"])["owl:sameAs"], lambda s: s["_rdf:resource"])),
+            name_raw=spoken(k["r"]["labels"]), birth_year=year(k["r"]["born"]), death_year=year(k["r"]["died"]), source_artist_id=k["uri"],
+            authority_urls=authority_urls(k["r"]["same"]),
         ),
     )
     d = d.withColumn("artists", F.coalesce(_named(artists), F.array().cast(f"array<{_ARTIST}>")))
     cho, agg = F.col("cho"), F.col("agg")
     return _record(
-        d, "rijksmuseum", source_id=present(cho["_rdf:about"]), category=label(ref(cho["dc:type"])), title=spoken(cho["dc:title"]), artist=joined(F.transform("artists", lambda a: a["name_raw"]), ", "),
-        date=spoken(cho["dcterms:created"]), medium=label(ref(cho["dcterms:medium"])), origin=label(ref(cho["dcterms:spatial"])), dimensions=spoken(cho["dcterms:extent"]), description=spoken(cho["dc:description"]),
-        source_url=ref(agg["edm:isShownAt"]), image_url=ref(agg["edm:isShownBy"]), artists=F.col("artists"),
+        d, "rijksmuseum", source_id=present(cho["about"]), category=label(cho["type"]), title=spoken(cho["title"]), artist=joined(F.transform("artists", lambda a: a["name_raw"]), ", "),
+        date=spoken(cho["created"]), medium=label(cho["medium"]), origin=label(cho["spatial"]), dimensions=spoken(cho["extent"]), description=spoken(cho["description"]),
+        source_url=agg["shown_at"], image_url=agg["shown_by"], artists=F.col("artists"),
     )
 
 

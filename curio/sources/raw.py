@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curio import schemas
+from curio.sources import xmlpull
 
 #: Units of one source that are taken.
 UNITS = ("saam", "npg", "hmsg", "fsg", "chndm", "nmafa")
@@ -91,21 +92,9 @@ def from_oai(records: DataFrame, source: str = "rijksmuseum") -> DataFrame:
     return kept.select(F.lit(source).alias("source"), F.element_at(F.split("identifier", "/"), -1).alias("key"), wrapped.alias("value"))
 
 
-_RECORD = r"(?s)<(?:[\w.-]+:)?record(?:\s[^>]*)?>.*?</(?:[\w.-]+:)?record\s*>"
-_HEADER = r"(?s)(<(?:[\w.-]+:)?header(?:\s[^>]*)?>.*?</(?:[\w.-]+:)?header\s*>|<(?:[\w.-]+:)?header(?:\s[^>]*)?/>)"
-
-
 def harvested(pages: DataFrame) -> DataFrame:
-    """Records (status, identifier, datestamp, rdf_xml) of harvested pages of XML in ``value``.
-
-    Records are cut out whole; their headers are parsed as XML (either quotes, entities, any prefix), and the
-    description stays as it was sent.
-    """
-    each = pages.select(F.explode(F.regexp_extract_all("value", F.lit(_RECORD), F.lit(0))).alias("r"))
-    bare = F.regexp_replace(F.regexp_extract("r", _HEADER, 1), r"(</?)[\w.-]+:", "$1")  # names without their prefixes
-    parsed = each.select("r", F.from_xml(bare, "_status string, identifier string, datestamp string").alias("h"))
-    rdf = F.nullif(F.regexp_extract("r", r"(?s)(<rdf:RDF.*?</rdf:RDF\s*>)", 1), F.lit(""))
-    return parsed.select(F.col("h._status").alias("status"), F.trim("h.identifier").alias("identifier"), F.trim("h.datestamp").alias("datestamp"), rdf.alias("rdf_xml"))
+    """Records (status, identifier, datestamp, rdf_xml) of harvested pages of XML in ``value``: see :func:`xmlpull.records`."""
+    return xmlpull.harvested(pages)
 
 
 def token_of(page: Column) -> tuple[Column, Column]:

@@ -129,6 +129,31 @@ def test_a_corrupt_shard_fails_for_itself_and_is_tried_again(spark, tmp_path):
     assert ingest.retry_failed(spark, out) == 1
 
 
+def test_records_of_odd_pages():
+    from curio.sources import xmlpull
+
+    whole = '<r xmlns:o="x"><o:record><o:header status="deleted"><o:identifier>a/1</o:identifier></o:header></o:record><record><header><identifier> b&amp;/2 </identifier><datestamp>d</datestamp></header><metadata><rdf:RDF é="1"><record/></rdf:RDF></metadata></record>'
+    first = ("deleted", "a/1", None, None)
+    second = (None, "b&/2", "d", '<rdf:RDF é="1"><record/></rdf:RDF>')
+    assert xmlpull.records(whole + "</r>") == [first, second] and xmlpull.records(whole + "<record><header>") == [first, second]
+    assert xmlpull.records(None) == xmlpull.records("") == xmlpull.records("no xml") == []
+    assert xmlpull.records("<r><record><metadata><rdf:RDF/></metadata></record></r>") == [(None, None, None, "<rdf:RDF/>")]
+    assert xmlpull.described("<rdf:RDF><broken") == xmlpull.described(None) == (None, None, [])
+    agg, cho, resources = xmlpull.described('<rdf:RDF><x rdf:about="a"><skos:prefLabel/></x><y rdf:about="a"><skos:prefLabel xml:lang="en">Y</skos:prefLabel><z rdf:about="deep"/></y></rdf:RDF>')
+    assert agg is None and cho is None and resources == [("a", {"labels": [{"lang": "en", "text": "Y"}], "born": None, "died": None, "same": []})]
+
+
+def test_no_name_is_defined_twice():
+    import ast
+    import pathlib
+
+    for path in pathlib.Path(extract.__file__).parents[1].rglob("*.py"):
+        body = ast.parse(path.read_text()).body
+        names = [n.name for n in body if isinstance(n, ast.FunctionDef | ast.ClassDef)]
+        names += [t.id for n in body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)]
+        assert len(names) == len(set(names)), path
+
+
 def test_no_store_yet(spark, tmp_path):
     assert ingest.stored(spark, f"{tmp_path}/none").count() == 0 and ingest.outcomes(spark, f"{tmp_path}/none").count() == 0
 
