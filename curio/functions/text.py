@@ -51,9 +51,14 @@ def fold_ascii(value: Column) -> Column:
     return F.translate(value, UPPER, LOWER)
 
 
+def fold(text: str) -> str:
+    """As :func:`fold_ascii`, of a plain text."""
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
 def like_pattern(text: str) -> str:
     """``%text%``, folded, for :func:`contains_like`; a backslash is an ordinary character."""
-    return "%" + "".join(c.lower() if "A" <= c <= "Z" else c for c in text).replace("\\", "\\\\") + "%"
+    return "%" + fold(text).replace("\\", "\\\\") + "%"
 
 
 def contains_like(value: Column, *patterns: str) -> Column:

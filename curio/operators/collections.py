@@ -2,19 +2,61 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curio.functions.text import contains_like, image_path
+from curio.functions.text import contains_like, fold, fold_ascii, image_path, like_pattern
 
 
-def members(images: DataFrame, collections: dict[int, list[str]], column: str = "artist") -> DataFrame:
-    """(collection_id, image_id), each pair once: one scan, with an OR of LIKE for each collection."""
+#: Patterns from which on they are filtered by their trigrams first.
+MANY = 32
+
+
+def _trigrams(pattern: str) -> set[str]:
+    """Those that every matching text has: of the pattern's parts between wildcards."""
+    parts = re.split("[%_]", fold(pattern))
+    return {part[i : i + 3] for part in parts for i in range(len(part) - 2)}
+
+
+def _filters(patterns: list[tuple[int, str]]) -> tuple[list[tuple[str, int, str]], dict[int, list[str]]]:
+    """(trigram, collection, LIKE pattern) of the patterns that have one, the trigram that fewest patterns have; and the others."""
+    times = Counter(g for _, p in patterns for g in _trigrams(p))
+    rows, short = [], {}
+    for k, p in patterns:
+        grams = _trigrams(p)
+        if grams:
+            rows.append((min(grams, key=lambda g: (times[g], g)), k, like_pattern(p)))
+        else:
+            short.setdefault(k, []).append(p)
+    return rows, short
+
+
+def _any(images: DataFrame, collections: dict[int, list[str]], column: str) -> DataFrame:
     hit = [F.when(contains_like(F.col(column), *patterns), F.lit(k).cast("long")) for k, patterns in collections.items()]
-    found = images.select(F.col("id").alias("image_id"), F.explode(F.array_compact(F.array(*hit))).alias("collection_id"))
-    return found.select("collection_id", "image_id")
+    return images.select(F.col("id").alias("image_id"), F.explode(F.array_compact(F.array(*hit))).alias("collection_id")).select("collection_id", "image_id")
+
+
+def members(images: DataFrame, collections: dict[int, list[str]], column: str = "artist") -> DataFrame:
+    """(collection_id, image_id), each pair once, in one scan.
+
+    A few patterns are an OR of LIKE for each collection.  Of many, each is known by a trigram of its own: the trigrams of
+    a text meet those of the patterns in a hash table, and only patterns whose trigram a text has are tried on it.
+    The patterns are the caller's list, so the table that is broadcast is as large as that.
+    """
+    patterns = sorted({(k, p) for k, of in collections.items() for p in of})
+    if len(patterns) < MANY:
+        return _any(images, collections, column)
+    rows, short = _filters(patterns)
+    table = images.sparkSession.createDataFrame(rows, "gram string, collection_id long, pattern string")
+    text = images.select(F.col("id").alias("image_id"), fold_ascii(F.col(column)).alias("text")).where(F.char_length("text") >= 3)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("text") - 2), lambda i: F.substr(F.col("text"), i, F.lit(3))))
+    met = text.select("image_id", "text", F.explode(grams).alias("gram")).join(F.broadcast(table), "gram")
+    found = met.where(F.expr("text LIKE pattern")).select("collection_id", "image_id")
+    return (found.unionByName(_any(images, short, column)) if short else found).distinct()
 
 
 def index_image(images: DataFrame, text: str, column: str = "title") -> DataFrame:

@@ -99,6 +99,29 @@ def random_pick_minute(spark, sf):
     return buckets.withColumn("n", F.pmod(F.col("bucket") * 48271, F.lit(n))).join(images, "n").select("bucket", "id")
 
 
+@_query("""WITH b AS (SELECT CAST(floor(epoch(max(ts)) / 60) AS BIGINT) AS bucket FROM events), c AS (SELECT count(*) AS c FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part)
+SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS title FROM r, b, c WHERE r.n = (bucket * 48271) % 2147483647 % c.c""")
+def pick_minute(spark, sf):
+    """The row of the last minute, looked up by its kept rank."""
+    path = tables.shared_folder(spark, "ranks")
+    serve.write_ranks(_images(spark, sf), path)
+    bucket = _read(spark, sf, "events").agg(F.max(serve.minute_bucket(F.col("ts"))).alias("b")).first()["b"]
+    return serve.pick(spark, path, bucket).select("id", "title")
+
+
+#: Two hundred and more patterns of seven collections, as (collection, text).
+_PATTERNS = [(n % 7, f"ER#%{n:03d}" if n % 2 else f"#0_0%{n:03d}") for n in range(249)] + [(7, "r#"), (7, "9_9")]
+
+
+@_query("""SELECT DISTINCT CAST(n % 7 AS BIGINT) AS collection_id, CAST(c_custkey AS BIGINT) AS image_id FROM customer, range(0, 249) t(n)
+WHERE lower(c_name) LIKE '%' || (CASE WHEN n % 2 = 1 THEN 'er#%' ELSE '#0_0%' END) || lpad(CAST(n AS VARCHAR), 3, '0') || '%'
+UNION ALL SELECT 7, CAST(c_custkey AS BIGINT) FROM customer""")
+def many_patterns(spark, sf):
+    """All patterns in one scan, by their trigrams."""
+    of = {k: [p for c, p in _PATTERNS if c == k] for k in range(8)}
+    return collections.members(_read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("artist")), of)
+
+
 @_query("SELECT CAST(min(p_partkey) AS BIGINT) AS id FROM part WHERE translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%a%e%'")
 def first_by_pk(spark, sf):
     return collections.index_image(_images(spark, sf), "A%e").select("id")

@@ -96,11 +96,29 @@ def test_faults(spark):
     assert got == {("images", "unique id"): 1, ("images", "unique source_url"): 1, ("images", "not null source"): 1, ("image_dates", "date_precision"): 1, ("image_dates", "orphans image_id"): 1}
 
 
-def test_pick_is_repeatable_and_spread(spark):
-    df = spark.range(10).withColumnRenamed("id", "id")
-    picks = [serve.pick(df, b).first()["id"] for b in range(12)]
-    assert picks == [serve.pick(df, b).first()["id"] for b in range(12)] and len(set(picks)) > 3
-    assert serve.pick(df.limit(0), 1).count() == 0
+def test_pick_is_repeatable_and_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(serve, "RANGE_ROWS", 4)
+    df = spark.range(10).select(((F.col("id") * 7) % 10 + 100).alias("id"), F.col("id").alias("n")).repartition(3)
+    serve.write_ranks(df, f"{tmp_path}/r")
+    picks = [serve.pick(spark, f"{tmp_path}/r", b).first() for b in range(24)]
+    assert picks == [serve.pick(spark, f"{tmp_path}/r", b).first() for b in range(24)] and len({p["id"] for p in picks}) > 6
+    assert [p["id"] for p in picks] == [100 + serve.place_of(b, 10) for b in range(24)] and {p["n"] for p in picks} <= set(range(10))
+    plan = serve.pick(spark, f"{tmp_path}/r", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_range" in plan and "Exchange" not in plan
+    serve.write_ranks(df.limit(0), f"{tmp_path}/none")
+    assert serve.pick(spark, f"{tmp_path}/none", 1).count() == 0
+
+
+def test_many_patterns_equal_one_by_one(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abCé%_\\1 ") for _ in range(rng.randrange(0, 14))) for _ in range(200)] + [None, "", "ab"]
+    images = spark.createDataFrame(list(enumerate(names)), "id long, artist string")
+    patterns = {k: ["".join(rng.choice("abcé%_\\1 ") for _ in range(rng.randrange(1, 7))) for _ in range(20)] for k in range(3)}
+    many = sorted(map(tuple, collections.members(images, patterns).collect()))
+    monkeypatch.setattr(collections, "MANY", 1000)
+    assert many == sorted(map(tuple, collections.members(images, patterns).collect())) and len(many) == len(set(many)) > 100
 
 
 def test_collections_need_their_image(spark):
