@@ -4,19 +4,19 @@ Vectors link when their labels are equal (and not null) and their cosine, in dou
 least the threshold.  Vectors that are null, zero or hold null or non-finite components link with nothing.
 
 1. Bit-equal vectors of a label are one node with a count, so a very common vector costs one node.
-2. *Start.*  Random hyperplanes cut each label into leaves, in as many tables as a pair at the threshold
-   needs to share a leaf of one of them but for a chance of ``MISS``: a pair without other neighbours has
-   no other way to be found.  Larger leaves are cut by further hyperplanes, then by a hash of the id into
-   blocks of at most ``BLOCK`` nodes; nodes of a block are compared in numpy.  Each node keeps its
-   ``NEIGHBOURS`` best, and what is linked within a block is joined whether it is among them or not.
-3. *Descent.*  Neighbours of neighbours, over edges in both directions, are compared and the lists
-   updated, until few lists change.  Lists keep some weak neighbours too, so that the descent can go on from them.
-4. *Audit.*  A bounded number of nodes, dealt over those without links and in small and large components,
-   is compared with all.  Until nodes of few links and nodes of many both have their share, more tables
-   follow, however many that takes.
-5. *Enlarging.*  Edges over the threshold make components.  In every component of three or more nodes a
-   list may be saturated, so all members are compared, block by block: a component of any size is dealt
-   over tasks, and only counts of links leave them.
+2. *Start.*  A few tables of random hyperplanes through the mean of each label (a direction that all vectors share
+   parts nothing) cut it into leaves of some ``LEAF`` nodes, larger ones by further hyperplanes, then by a hash of
+   the id into blocks of at most ``BLOCK``; the nodes of a block are compared in numpy.  Each node keeps its
+   ``NEIGHBOURS`` best, however similar; what is linked within a block is joined whether it is among them or not.
+3. *Descent.*  At each node its neighbours, and those whose neighbour it is, meet each other: pairs of which one is
+   new there are compared by vectors of a byte a component, and those that would enter a list of either are its
+   candidates, until few lists change.  What may be over the threshold is compared in double precision.
+4. *Enlarging.*  Where links fill a list it is as long again for others.  Edges over the threshold make components, within
+   which pairs need no more finding; in the end all members of a component are compared, block by block, so a
+   component of any size is dealt over tasks and only counts of links leave them.
+5. *Audit.*  A number of nodes, dealt over those without links and in small and large components, is compared with
+   all: more of them until some links are seen.  Until nodes of few links and nodes of many both have their
+   share, further passes follow, each with twice as many tables.
 
 Definedness: ties among neighbours go to the smaller node; one row a vector; rows that repeat an id are vectors of their own (they share the id in
 components); extra columns are ignored; an empty table gives no rows.  Vectors of unequal length never link.
@@ -28,25 +28,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curio.llm import common
 
-THRESHOLD, FLOOR = 0.93, 0.75
-NEIGHBOURS, BLOCK, TABLES, LEAF = 12, 256, 10, 48
-#: Neighbours below FLOOR that a list keeps, for the descent to go on from.
-WEAK = 2
-#: Nodes in a block of a component whose links are counted.
-COUNTED = 1_024
-AUDIT, RECALL, DESCENTS = 800, 0.995, 5
-#: Chance that a pair at the threshold shares no leaf of any table of a pass.
-MISS = 0.002
+THRESHOLD = 0.93
+NEIGHBOURS, LEAF, BLOCK = 12, 1_024, 2_048
+#: Tables of the first pass, and the most that are worked on at once.
+TABLES, AT_ONCE = 4, 8
+#: Neighbours that a node's list gets from one table, and that meet at a node in each direction.
+FROM_TABLE, MEETING = 6, 8
+#: How far comparisons by bytes may be off.
+MARGIN = 0.02
+#: Nodes in a block of a component whose links are counted, and rows of a product that are held at once.
+COUNTED, HELD = 8_192, 1_024
+#: Nodes of each kind that are asked at first and at most, and the links that must be seen among them.
+AUDIT, AUDIT_MOST, AUDIT_SEEN = 800, 12_800, 20
+RECALL, DESCENTS = 0.995, 3
 #: Further hyperplanes for leaves of more than BLOCK nodes.
 DEEP = 16
 #: In place of a cosine: the two are linked over nodes of their block.
 JOINED = 2.0
 _EDGE = "u long, v long, sim double"
+_FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
 
 
 def _unit(vectors) -> np.ndarray:
@@ -54,14 +60,6 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _rank(u: np.ndarray, sim: np.ndarray) -> np.ndarray:
-    """The place of each entry among those of its u, the most similar first."""
-    order = np.lexsort((-sim, u))
-    out = np.empty(len(u), np.int64)
-    out[order] = np.arange(len(u)) - np.searchsorted(u[order], u[order])
-    return out
-
-
 def nodes_of(vectors: DataFrame) -> DataFrame:
     """(node, space, vec, copies, least): distinct usable vectors; ``space`` names label and length."""
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -81,24 +79,38 @@ def _bits(n: int) -> int:
     return 0 if n <= BLOCK else int(np.ceil(np.log2(n / LEAF)))
 
 
-def tables_for(n: int) -> int:
-    """Tables after which a pair at the threshold has shared a leaf but for MISS."""
-    meet = (1 - np.arccos(THRESHOLD) / np.pi) ** _bits(n)
-    return 1 if meet == 1 else int(np.ceil(np.log(MISS) / np.log(1 - meet)))
+def spaces_of(nodes: DataFrame) -> DataFrame:
+    """(space, n, mean): how many nodes a space has, and the mean of their directions."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, tuple] = {}
+        for rows in batches:
+            for (space, _), part in rows.groupby([rows["space"], rows["vec"].map(len)]):
+                n, s = total.get(space, (0, 0.0))
+                total[space] = n + len(part), s + _unit(part["vec"]).sum(axis=0)
+        if total:
+            yield pd.DataFrame({"space": list(total), "n": [n for n, _ in total.values()], "total": [s.tolist() for _, s in total.values()]})
 
+    def mean(part: pd.DataFrame) -> pd.DataFrame:
+        n = part["n"].sum()
+        return pd.DataFrame({"space": [part["space"].iloc[0]], "n": [n], "mean": [(np.stack(part["total"].map(np.asarray)).sum(axis=0) / n).tolist()]})
 
-def _leaves(nodes: DataFrame, seed: int, low: int, high: int) -> DataFrame:
-    """(space, t, leaf, deep, node): each node in tables ``low`` to ``high`` of those that its space needs."""
-    sizes = nodes.groupBy("space").agg(F.count("*").alias("n"))
-    sized = nodes.select("node", "space", "vec").join(sizes, "space")
+    partial = nodes.select("space", "vec").mapInPandas(sums, "space long, n long, total array<double>")
+    return partial.groupBy("space").applyInPandas(mean, "space long, n long, mean array<double>")
+
+
+def _leaves(nodes: DataFrame, spaces: DataFrame, low: int, high: int) -> DataFrame:
+    """(space, t, leaf, deep, node): each node in tables ``low`` to ``high``; a space that fits in a block has one table alone."""
+    sized = nodes.select("node", "space", "vec").join(spaces, "space")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for (space, n, length), part in rows.groupby([rows["space"], rows["n"], rows["vec"].map(len)]):
+            for (space, n), part in rows.groupby([rows["space"], rows["n"]]):
                 bits = _bits(n)
-                x = _unit(part["vec"])
-                for t in range(low, min(high, tables_for(n))):
-                    planes = np.random.default_rng([seed + t, length]).normal(size=(length, bits + DEEP))
+                x = _unit(part["vec"]) - np.asarray(part["mean"].iloc[0])
+                length = x.shape[1]
+                for t in range(low, high if bits else min(high, 1)):
+                    planes = np.random.default_rng([t, length]).normal(size=(length, bits + DEEP))
                     side = (x @ planes) > 0
                     code = side[:, :bits] @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                     deep = side[:, bits:] @ (1 << np.arange(DEEP, dtype=np.int64))
@@ -120,9 +132,9 @@ def _blocks(leaves: DataFrame) -> DataFrame:
     return dealt.select("space", F.xxhash64("t", "leaf", "part", "k").alias("block"), "node")
 
 
-def start(nodes: DataFrame, seed: int, low: int, high: int) -> DataFrame:
-    """Edges (u, v, sim) of the best neighbours in each block, over FLOOR, and of nodes that are JOINED there."""
-    blocks = _blocks(common.cut(_leaves(nodes, seed, low, high), "nn-leaves"))
+def start(nodes: DataFrame, spaces: DataFrame, low: int, high: int) -> DataFrame:
+    """Edges (u, v, sim) of the best neighbours in each block of the tables, and of nodes that are JOINED there."""
+    blocks = _blocks(common.cut(_leaves(nodes, spaces, low, high), "nn-leaves"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) < 2:
@@ -130,18 +142,20 @@ def start(nodes: DataFrame, seed: int, low: int, high: int) -> DataFrame:
         x, node = _unit(rows["vec"]), rows["node"].to_numpy()
         s = x @ x.T
         np.fill_diagonal(s, -2)
-        k = min(NEIGHBOURS, len(node) - 1)
-        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        u = np.repeat(np.arange(len(node)), k)
-        v = best.ravel()
-        keep = (s[u, v] >= FLOOR) | (_rank(u, s[u, v]) < WEAK)
-        got = pd.DataFrame({"u": node[u[keep]], "v": node[v[keep]], "sim": s[u[keep], v[keep]]})
+        k = min(FROM_TABLE, len(node) - 1)
+        best = np.argpartition(s, -k, axis=1)[:, -k:]
+        u, v = np.repeat(np.arange(len(node)), k), best.ravel()
+        got = pd.DataFrame({"u": node[u], "v": node[v], "sim": s[u, v]})
         hit = s >= THRESHOLD
         if not hit.any():
             return got
+        del s
         np.fill_diagonal(hit, True)
         root = np.arange(len(node))
-        while (least := np.where(hit, root, len(node)).min(axis=1)).tolist() != root.tolist():
+        while True:
+            least = np.array([root[row].min() for row in hit])
+            if (least == root).all():
+                break
             root = least
         far = np.flatnonzero(root != np.arange(len(node)))
         return pd.concat((got, pd.DataFrame({"u": node[far], "v": node[root[far]], "sim": JOINED})))
@@ -150,61 +164,151 @@ def start(nodes: DataFrame, seed: int, low: int, high: int) -> DataFrame:
 
 
 def best_of(edges: DataFrame) -> DataFrame:
-    """Each node's NEIGHBOURS best, without repeats."""
-    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    # arrays of the best, merged before the shuffle as well as after: a list is as long as a node's candidates
-    return _listed(once).select("u", "v", "sim")
+    """Each node's NEIGHBOURS best without repeats, and as many below the threshold where links fill the list; ``new`` unless all say it is not."""
+    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    return _listed(once, NEIGHBOURS)
 
 
-def _listed(edges: DataFrame) -> DataFrame:
-    """The NEIGHBOURS best of each ``u``, of those below FLOOR no more than WEAK."""
+def _listed(edges: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each ``u``, of linked and of other neighbours."""
+    r = F.row_number().over(Window.partitionBy("u", F.col("sim") >= THRESHOLD).orderBy(F.desc("sim"), "v"))
+    kept = edges.withColumn("r", r).where(F.col("r") <= k).drop("r")
+    # all are in one place by now, so the list is cut to its length without a second shuffle where links do not fill it
+    full = F.sum((F.col("sim") >= THRESHOLD).cast("int")).over(Window.partitionBy("u"))
     r = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return edges.withColumn("r", r).where((F.col("r") <= NEIGHBOURS) & ((F.col("sim") >= FLOOR) | (F.col("r") <= WEAK))).drop("r")
+    return kept.withColumn("full", full).withColumn("r", r).where((F.col("r") <= k) | (F.col("full") >= k)).drop("r", "full")
+
+
+def _bytes(nodes: DataFrame, graph: DataFrame, comps: DataFrame) -> DataFrame:
+    """(w, q, scale, least, comp): vectors of a byte a component, the least of what a full list has, and components."""
+
+    def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for _, part in rows.groupby(rows["vec"].map(len)):
+                x = _unit(part["vec"])
+                scale = np.abs(x).max(axis=1) / 127
+                q = np.rint(x / scale[:, None]).astype(np.int8)
+                yield pd.DataFrame({"w": part["node"].to_numpy(), "q": [r.tobytes() for r in q], "scale": scale})
+
+    packed = nodes.select("node", "vec").mapInPandas(small, "w long, q binary, scale double")
+    lists = graph.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).alias("least")).withColumnRenamed("u", "w")
+    of = comps.select(F.col("id").alias("w"), F.col("component_id").alias("comp"))
+    return packed.join(lists, "w", "left").join(of, "w", "left").select("w", "q", "scale", F.coalesce("least", F.lit(-2.0)).alias("least"), F.coalesce("comp", "w").alias("comp"))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (u, v, sim) among the members (g, w, new, q, scale, least, comp) of each g, which come together."""
+    held: list[pa.RecordBatch] = []
+
+    def compared(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        g, w, new, scale, least, comp = (np.asarray(rows.column(c)) if c != "new" else np.asarray(rows.column(c).cast(pa.int8())).astype(bool) for c in ("g", "w", "new", "scale", "least", "comp"))
+        at = common.runs(g)
+        ends = np.repeat(at[1:], np.diff(at))
+        # every later member of the same group
+        later = ends - np.arange(len(g)) - 1
+        i = np.repeat(np.arange(len(g)), later)
+        j = common.ranges(np.arange(len(g)) + 1, later)
+        keep = (new[i] | new[j]) & (comp[i] != comp[j])
+        i, j = i[keep], j[keep]
+        q = rows.column("q").to_pylist()
+        width = np.array([len(x) for x in q])
+        offset = np.concatenate(([0], np.cumsum(width)))[:-1]
+        data = np.frombuffer(b"".join(q), np.int8)
+        out = []
+        for k in range(0, len(i), 100_000):
+            a, b = i[k : k + 100_000], j[k : k + 100_000]
+            sim = np.full(len(a), -2.0)
+            for d in np.unique(width[a]).tolist():  # members of a group are of one length
+                of = np.flatnonzero(width[a] == d)
+                x, y = (data[offset[n[of]][:, None] + np.arange(d)].astype(np.float32) for n in (a, b))
+                sim[of] = np.einsum("ij,ij->i", x, y) * scale[a[of]] * scale[b[of]]
+            good = (sim > np.minimum(least[a], least[b])) | (sim >= THRESHOLD - MARGIN)
+            out.append((w[a[good]], w[b[good]], sim[good]))
+        if not out:
+            return None
+        u, v, sim = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sim)], schema=_FOUND)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = np.asarray(batch.column("g"))
+        last = int(np.searchsorted(g, g[-1])) if (g[1:] >= g[:-1]).all() else int(common.runs(g)[-2])
+        if last:
+            held.append(batch.slice(0, last))
+            if (found := compared(pa.Table.from_batches(held).combine_chunks().to_batches()[0])) is not None:
+                yield found
+            held = []
+        held.append(batch.slice(last))
+    if held and (found := compared(pa.Table.from_batches(held).combine_chunks().to_batches()[0])) is not None:
+        yield found
 
 
 def descend(nodes: DataFrame, graph: DataFrame, comps: DataFrame) -> DataFrame:
-    """New edges among neighbours of neighbours of different components (a component is compared as a whole later).
+    """Candidates (u, v, sim; u < v) among neighbours that meet at a node, of different components, by vectors of bytes."""
+    forward = graph.select(F.col("u").alias("g"), F.col("v").alias("w"), "sim", "new")
+    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "new")
+    r = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
+    best = lambda df: df.withColumn("r", r).where(F.col("r") <= MEETING).drop("r")
+    members = best(forward.withColumnsRenamed({"g": "u", "w": "v"})).unionByName(best(back)).groupBy(F.col("u").alias("g"), F.col("v").alias("w")).agg(F.max("new").alias("new"))
+    packed = common.cut(_bytes(nodes, graph, comps), "nn-bytes")
+    met = members.join(packed, "w").select("g", "w", "new", "q", "scale", "least", "comp")
+    return met.repartition("g").sortWithinPartitions("g").mapInArrow(_met, _EDGE).groupBy("u", "v").agg(F.max("sim").alias("sim"))
 
-    Of a node's neighbours in one component the best stands for it, so a crowd of near vectors makes no pairs.
-    """
-    back = _listed(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
-    both = graph.select("u", "v", "sim").unionByName(back).groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    placed = both.join(comps.select(F.col("id").alias("u"), "component_id"), "u", "left").withColumn("comp", F.coalesce("component_id", "u"))
-    ends = common.cut(placed.groupBy("v", "comp").agg(F.max_by("u", F.struct("sim", "u")).alias("u")), "nn-both")
-    pairs = ends.alias("x").join(ends.select("v", F.col("u").alias("w")).alias("y"), "v").where("u < w").select("u", "w").distinct()
-    pairs = pairs.join(both.select("u", F.col("v").alias("w")), ["u", "w"], "left_anti")
+
+def exact(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): those of the pairs (u, v) whose cosine, in double precision, is at least the threshold."""
     vec = nodes.select("node", "vec")
-    right = pairs.join(vec.select(F.col("node").alias("w"), F.col("vec").alias("y")), "w").join(vec.select(F.col("node").alias("u"), F.col("vec").alias("x")), "u")
+    both = pairs.select("u", "v").join(vec.select(F.col("node").alias("v"), F.col("vec").alias("y")), "v").join(vec.select(F.col("node").alias("u"), F.col("vec").alias("x")), "u")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            if not len(rows):
-                continue
-            sim = np.concatenate([np.einsum("ij,ij->i", _unit(rows["x"].iloc[k : k + 5000]), _unit(rows["y"].iloc[k : k + 5000])) for k in range(0, len(rows), 5000)])
-            u, w, s = rows["u"].to_numpy(), rows["w"].to_numpy(), sim
-            yield pd.DataFrame({"u": np.concatenate((u, w)), "v": np.concatenate((w, u)), "sim": np.concatenate((s, s))})
+            for k in range(0, len(rows), 5000):
+                part = rows.iloc[k : k + 5000]
+                same = part[part["x"].map(len) == part["y"].map(len)]
+                if len(same):
+                    sim = np.concatenate([np.einsum("ij,ij->i", _unit(p["x"]), _unit(p["y"])) for _, p in same.groupby(same["x"].map(len))])
+                    order = np.concatenate([p.index for _, p in same.groupby(same["x"].map(len))])
+                    good = same.loc[order[sim >= THRESHOLD]]
+                    yield pd.DataFrame({"a": good["u"], "b": good["v"]})
 
-    return right.select("u", "w", "x", "y").mapInPandas(compare, _EDGE)
+    return both.select("u", "v", "x", "y").mapInPandas(compare, "a long, b long")
 
 
-def audit(nodes: DataFrame, linked: DataFrame, rows: int = AUDIT) -> float:
+def audit(nodes: DataFrame, linked: DataFrame, rows: int | None = None) -> float | None:
     """The mean share of its links that a node has in its component of ``linked``: of nodes with few links or with many, the lesser.
 
-    At most ``rows`` nodes without links, of small and of large components each are compared with all, and
-    weigh as many nodes as they stand for.  A node in no component has none of its links.
+    Nodes without links, of small and of large components are compared with all, some of each kind, and weigh as many
+    nodes as they stand for.  A node in no component has none of its links.  Where fewer than AUDIT_SEEN of those
+    asked have a link, four times as many are asked, up to AUDIT_MOST; None if no link is seen even then.
     """
+    rows = AUDIT if rows is None else rows
     sizes = linked.groupBy("component_id").agg(F.count("*").alias("c"))
     placed = nodes.select("node").join(linked.select(F.col("id").alias("node"), "component_id"), "node", "left").join(sizes, "component_id", "left")
     stratum = F.when(F.col("c").isNull(), 0).when(F.col("c") <= NEIGHBOURS, 1).otherwise(2)
     placed = common.cut(placed.select("node", F.coalesce("component_id", "node").alias("comp"), stratum.alias("stratum")), "nn-placed")
+    kinds = {r["stratum"]: r["count"] for r in placed.groupBy("stratum").count().collect()}  # three at most
+    while True:
+        got, weight = _asked(nodes, placed, kinds, rows)
+        if len(got) >= AUDIT_SEEN or rows >= min(AUDIT_MOST, max(kinds.values(), default=0)):
+            break
+        rows *= 4
+    if not len(got):
+        return None
+    w, share, few = got["node"].map(weight).to_numpy(float), (got["hit"] / got["n"]).to_numpy(float), got["n"].to_numpy() <= NEIGHBOURS
+    return min(float(np.average(share[of], weights=w[of])) for of in (few, ~few) if of.any())
+
+
+def _asked(nodes: DataFrame, placed: DataFrame, kinds: dict[int, int], rows: int) -> tuple[pd.DataFrame, dict[int, float]]:
+    """(node, n, hit) of the asked nodes that have links: how many, and how many of them in their component; and the nodes' weights."""
     vecs = nodes.select("node", "space", "vec")
     parts, weight = [], {}
-    for r in placed.groupBy("stratum").count().collect():  # three at most
-        chosen = placed.where(F.col("stratum") == r["stratum"]).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(rows)
-        parts.append(vecs.join(F.broadcast(chosen), "node").toPandas())
-        weight |= dict.fromkeys(parts[-1]["node"].tolist(), r["count"] / max(1, len(parts[-1])))
+    for stratum, count in kinds.items():
+        chosen = placed.where(F.col("stratum") == stratum).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(rows)
+        parts.append(vecs.join(F.broadcast(chosen), "node").toPandas())  # ``rows`` at most
+        weight |= dict.fromkeys(parts[-1]["node"].tolist(), count / max(1, len(parts[-1])))
     if not parts:
-        return 1.0
+        return pd.DataFrame({"node": [], "n": [], "hit": []}), {}
     by = {space: (part["node"].to_numpy(), part["comp"].to_numpy(), _unit(part["vec"])) for space, part in pd.concat(parts).groupby("space")}
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,13 +320,12 @@ def audit(nodes: DataFrame, linked: DataFrame, rows: int = AUDIT) -> float:
                 for k in range(0, len(part), 1000):
                     some = part.iloc[k : k + 1000]
                     true = (x @ _unit(some["vec"]).T >= THRESHOLD) & (q[:, None] != some["node"].to_numpy())
-                    n, hit = true.sum(axis=1), (true & (comp[:, None] == some["comp"].to_numpy())).sum(axis=1)
+                    n = true.sum(axis=1)
+                    hit = (true & (comp[:, None] == some["comp"].to_numpy())).sum(axis=1) if n.any() else n
                     yield pd.DataFrame({"node": q, "n": n, "hit": hit})[n > 0]
 
     counted = vecs.join(placed, "node").select("node", "space", "vec", "comp").mapInPandas(meet, "node long, n long, hit long")
-    got = counted.groupBy("node").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).toPandas()  # as many as were asked at most
-    w, share, few = got["node"].map(weight).to_numpy(float), (got["hit"] / got["n"]).to_numpy(float), got["n"].to_numpy() <= NEIGHBOURS
-    return min((float(np.average(share[of], weights=w[of])) for of in (few, ~few) if of.any()), default=1.0)
+    return counted.groupBy("node").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).toPandas(), weight  # as many as were asked at most
 
 
 def count_links(nodes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -245,14 +348,17 @@ def count_links(nodes: DataFrame, comps: DataFrame) -> DataFrame:
             x, n = _unit(part["vec"]), part["copies"].to_numpy()
             of = part["b"].to_numpy()
             left, right = np.flatnonzero(of == i), np.flatnonzero(of == j)
-            hit = x[left] @ x[right].T >= THRESHOLD
             node = part["node"].to_numpy()
-            if i == j:
-                np.fill_diagonal(hit, False)
-                out.append(pd.DataFrame({"node": node[left], "links": hit @ n[right]}))
-            elif len(left) and len(right):
-                out.append(pd.DataFrame({"node": node[left], "links": hit @ n[right]}))
-                out.append(pd.DataFrame({"node": node[right], "links": hit.T @ n[left]}))
+            there = np.zeros(len(right), np.int64)
+            for low in range(0, len(left), HELD):
+                some = left[low : low + HELD]
+                hit = x[some] @ x[right].T >= THRESHOLD
+                if i == j:
+                    hit &= some[:, None] != right
+                out.append(pd.DataFrame({"node": node[some], "links": hit @ n[right]}))
+                there += hit.T @ n[some]
+            if i != j:
+                out.append(pd.DataFrame({"node": node[right], "links": there}))
         return pd.concat(out) if out else pd.DataFrame({"node": [], "links": []}).astype("int64")
 
     counted = dealt.groupBy("g", "i", "j").applyInPandas(compare, "node long, links long")
@@ -265,8 +371,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     source = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"), "label")
     nodes = common.cut(nodes_of(source), "nn-nodes")
-    largest = nodes.groupBy("space").count().agg(F.max("count")).first()[0] or 0
-    tables, passes = tables_for(largest), 0
+    spaces = common.cut(spaces_of(nodes), "nn-spaces")
     graph = comps = None
 
     def joined_with(pairs: DataFrame) -> DataFrame:
@@ -275,35 +380,42 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
             pairs = pairs.unionByName(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
         return common.cut(common.components(pairs, "nn-components"), "nn-components")
 
-    ends = (F.col("u").alias("a"), F.col("v").alias("b"))
+    largest = spaces.agg(F.max("n")).first()[0] or 0
+    tables = TABLES if _bits(largest) else 1
+    done = 0
     while True:
         linked = None
-        for low in range(0, tables, TABLES):
-            found = common.cut(start(nodes, passes * tables, low, min(tables, low + TABLES)), "nn-found")
-            near = found.where(F.col("sim") < JOINED)
+        for low in range(done, done + tables, AT_ONCE):
+            found = common.cut(start(nodes, spaces, low, min(done + tables, low + AT_ONCE)), "nn-found")
+            near = found.where(F.col("sim") < JOINED).withColumn("new", F.lit(True))
             graph = common.cut(best_of(near if graph is None else graph.unionByName(near)), "nn-graph")
-            pairs = found.where(F.col("sim") == JOINED).select(*ends)
+            pairs = found.where(F.col("sim") == JOINED).select(F.col("u").alias("a"), F.col("v").alias("b"))
             linked = pairs if linked is None else linked.unionByName(pairs)
             common.release(spark)
+        done += tables
         comps = joined_with(linked)
+        if not _bits(largest):  # every pair has met
+            break
         across = None
         for _ in range(DESCENTS):
-            new = common.cut(best_of(descend(nodes, graph, comps)), "nn-new")
-            after = common.cut(best_of(graph.unionByName(new)), "nn-graph")
-            pairs = new.where(F.col("sim") >= THRESHOLD).select(*ends)
+            met = common.cut(descend(nodes, graph, comps), "nn-met")
+            pairs = exact(nodes, met.where(F.col("sim") >= THRESHOLD - MARGIN))
             across = pairs if across is None else across.unionByName(pairs)
-            changed = after.join(graph, ["u", "v"], "left_anti").count()
+            both = met.select("u", "v", "sim").unionByName(met.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).withColumn("new", F.lit(True))
+            after = common.cut(best_of(graph.withColumn("new", F.lit(False)).unionByName(both)), "nn-graph")
             graph = after
+            changed = after.where("new").count()
+            common.release(spark)
             if changed <= 0.01 * max(1, after.count()):
                 break
-        c = comps.select("id", "component_id")
-        across = across.join(c.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), "a", "left").join(c.select(F.col("id").alias("b"), F.col("component_id").alias("cb")), "b", "left")
-        across = common.cut(across.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "nn-across")
+        across = common.cut(across, "nn-across")
         if across.limit(1).count():
             comps = joined_with(across)
-        passes += 1
-        if audit(nodes, comps) >= RECALL:
+        recall = audit(nodes, comps)
+        # no link seen among many nodes, after a second pass as well: there are too few to ask for
+        if recall is not None and recall >= RECALL or recall is None and done > TABLES:
             break
+        tables = done
     links = count_links(nodes, comps)
     least = comps.join(nodes.select(F.col("node").alias("id"), "least"), "id").groupBy("component_id").agg(F.min("least").alias("root"))
     root = comps.join(least, "component_id").select(F.col("id").alias("node"), "root")

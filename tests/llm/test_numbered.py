@@ -247,19 +247,18 @@ def test_nn_descent_isolated_pairs(spark):
 
 def test_nn_descent_finds_what_the_start_missed(spark, monkeypatch):
     """Hyperplanes too deep for the table, as a label of many millions has: pairs part at the start."""
-    deep = nn_descent._bits
-    monkeypatch.setattr(nn_descent, "_bits", lambda n: deep(n) + 8)
-    monkeypatch.setattr(nn_descent, "tables_for", lambda n: 4)
+    monkeypatch.setattr(nn_descent, "BLOCK", 64)
+    monkeypatch.setattr(nn_descent, "LEAF", 16)
     rng = np.random.default_rng(12)
     near = rng.normal(size=(60, 1, 24)) + rng.normal(size=(60, 8, 24)) * 0.22  # groups of eight, most pairs linked
     rows = [(i, 1, v.tolist()) for i, v in enumerate(near.reshape(-1, 24))]
     rows += [(1000 + i, 1, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 24)))]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     nodes = common.cut(nn_descent.nodes_of(df), "t")
-    found = common.cut(nn_descent.start(nodes, 0, 0, 4), "t")
-    graph = common.cut(nn_descent.best_of(found.where(f"sim < {nn_descent.JOINED}")), "t")
+    found = common.cut(nn_descent.start(nodes, common.cut(nn_descent.spaces_of(nodes), "t"), 0, 2), "t")
+    graph = common.cut(nn_descent.best_of(found.where(f"sim < {nn_descent.JOINED}").selectExpr("*", "true AS new")), "t")
     comps = common.components(found.where(f"sim = {nn_descent.JOINED}").selectExpr("u a", "v b"))
-    new = nn_descent.descend(nodes, graph, comps).where(f"sim >= {nn_descent.THRESHOLD}")
+    new = nn_descent.exact(nodes, nn_descent.descend(nodes, graph, comps).where(f"sim >= {nn_descent.THRESHOLD - nn_descent.MARGIN}"))
     assert new.count() > 0
     x = np.array([v for _, _, v in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -269,6 +268,36 @@ def test_nn_descent_finds_what_the_start_missed(spark, monkeypatch):
     assert np.array([got[i] for i in range(480)]).sum() >= 0.99 * true.sum() and true.sum() > 500
 
 
+def test_nn_descent_with_a_common_direction(spark):
+    """All vectors are close to each other, as those of models with a strong common direction are, and a few pairs are closer."""
+    rng = np.random.default_rng(9)
+    n, dims = 6_000, 48
+    base = rng.normal(size=dims)
+    base *= math.sqrt(0.85) / np.linalg.norm(base)
+    x = base + rng.normal(size=(n, dims)) * math.sqrt(0.15 / dims)
+    x[n - 300 :] = x[:300] + rng.normal(size=(300, dims)) * math.sqrt(0.06 / dims)
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= nn_descent.THRESHOLD).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in nn_descent.near_duplicates(df).collect()}
+    found, true = sum(min(got[i], links[i]) for i in range(n)), links.sum()
+    assert true > 400 and found >= 0.98 * true and all(got[i] <= links[i] for i in range(n))
+
+
+def test_nn_lists_are_longer_where_links_fill_them(spark):
+    edges = [(1, 100 + i, 0.99 - i / 1000, True) for i in range(20)] + [(1, 200 + i, 0.5 - i / 100, True) for i in range(20)] + [(2, 100 + i, 0.8, True) for i in range(20)] + [(3, 100, 0.95, True)] + [(3, 200 + i, 0.5, True) for i in range(20)]
+    got = collections.Counter(r["u"] for r in nn_descent.best_of(spark.createDataFrame(edges, "u long, v long, sim double, new boolean")).collect())
+    assert got == {1: 2 * nn_descent.NEIGHBOURS, 2: nn_descent.NEIGHBOURS, 3: nn_descent.NEIGHBOURS}
+
+
+def test_nn_audit_asks_more_until_links_are_seen(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDIT", 5)
+    nodes = common.cut(nn_descent.nodes_of(isolated(spark, 300, 3, np.random.default_rng(3))), "t")
+    nothing = spark.createDataFrame([], "id long, component_id long")
+    assert nn_descent.audit(nodes, nothing) == 0
+    assert nn_descent.audit(common.cut(nn_descent.nodes_of(isolated(spark, 300, 0, np.random.default_rng(3))), "t"), nothing) is None
+
+
 def test_nn_audit_of_nodes_not_links(spark):
     nodes = common.cut(nn_descent.nodes_of(isolated(spark, 0, 40, np.random.default_rng(3), 300)), "t")
     large = nodes.where("least >= 80").select("node", "least").collect()
