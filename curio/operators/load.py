@@ -142,7 +142,7 @@ def load_stats(loaded: DataFrame) -> DataFrame:
     return loaded.agg(one("inserted"), one("updated"), one("unchanged"), F.count("result").alias("total"))
 
 
-def load_records(store: Store, records: DataFrame, now: Column | None = None) -> tuple[Snapshot, DataFrame]:
+def load_records(store: Store, records: DataFrame, now: Column | None = None, checked: bool = False) -> tuple[Snapshot, DataFrame]:
     """One transaction: images and the lists of their artists become current together, or neither does.
 
     Returns the new version and its :func:`load_stats`.  Of bucketed tables neither the joins nor the writes shuffle more
@@ -153,4 +153,4 @@ def load_records(store: Store, records: DataFrame, now: Column | None = None) ->
     touched, rows = child_rows(records, images.rows)
     parts = before.tables.get("image_artists", ("", 0))[1]
     artists = store.stage("image_artists", sync_artists(before.read("image_artists"), touched, rows, parts), before, placed=True)
-    return store.commit({"images": images, "image_artists": artists}, before), load_stats(images.rows)
+    return store.commit({"images": images, "image_artists": artists}, before, checked), load_stats(images.rows)

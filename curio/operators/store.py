@@ -78,6 +78,10 @@ class Snapshot:
         return read_bucketed(self.spark, at, schema, KEYS[table], buckets) if buckets else self.spark.read.schema(schema).parquet(at)
 
 
+class ConstraintError(ValueError):
+    """A version that breaks constraints."""
+
+
 class Staged(NamedTuple):
     """A written table that no version names yet."""
 
@@ -129,14 +133,22 @@ class Store:
         write_bucketed(df, at, KEYS[table], buckets, placed=bool(bucketed))
         return Staged(folder, buckets, read_bucketed(self.spark, at, df.schema, KEYS[table], buckets))
 
-    def commit(self, tables: dict[str, DataFrame | Staged], after: Snapshot | None = None) -> Snapshot:
-        """The version after ``after`` (the current one for none), in which ``tables`` are new and the others as before."""
+    def faults(self, tables: dict[str, Staged], before: Snapshot) -> DataFrame:
+        """(table, rule, n): what the staged tables break of the constraints, parents being staged ones or those of ``before``."""
+        new = Snapshot(self.spark, self.path, before.version, before.tables | {t: (s.folder, s.buckets) for t, s in tables.items()})
+        asked = set(tables) | {schemas.PARENTS[t][1] for t in tables if t in schemas.PARENTS} | {t for t, (_, parent) in schemas.PARENTS.items() if parent in tables}
+        return schemas.faults({t: new.read(t) for t in sorted(asked & new.tables.keys())})
+
+    def commit(self, tables: dict[str, DataFrame | Staged], after: Snapshot | None = None, checked: bool = False) -> Snapshot:
+        """The version after ``after`` (the current one for none), in which ``tables`` are new and the others as before.
+
+        With ``checked`` a version that breaks a constraint is refused: the tables were written, but nothing names them.
+        """
         before = after or self.snapshot()
-        named = dict(before.tables)
-        for table, new in tables.items():
-            if isinstance(new, DataFrame):
-                new = self.stage(table, new.select(*(f.name for f in schemas.TABLES[table])), before)
-            named[table] = new.folder, new.buckets
+        staged = {t: self.stage(t, new.select(*(f.name for f in schemas.TABLES[t])), before) if isinstance(new, DataFrame) else new for t, new in tables.items()}
+        if checked and (broken := self.faults(staged, before).collect()):  # a row for each rule at most
+            raise ConstraintError("; ".join(f"{r['table']}: {r['rule']} ({r['n']})" for r in sorted(broken)))
+        named = before.tables | {t: (s.folder, s.buckets) for t, s in staged.items()}
         version = before.version + 1
         pointer = self.spark.createDataFrame([(version, t, f, b) for t, (f, b) in sorted(named.items())], "version int, table string, folder string, buckets int")
         pointer.coalesce(1).write.mode("errorifexists").json(f"{self.path}/current/v{version}")

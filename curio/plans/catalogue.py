@@ -385,6 +385,37 @@ def transaction_artists(spark, sf):
     return now.read("image_artists").join(ids, "image_id").select("source_url", "position", "name_raw", "source_artist_id")
 
 
+@_query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations) SELECT 'images' AS "table", 'unique id' AS rule, CAST(count(*) AS BIGINT) AS n FROM c WHERE conv_id % 3 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'images', 'unique source_url', CAST(count(*) AS BIGINT) FROM c WHERE conv_id % 3 = 0 HAVING count(*) > 0""")
+def version_faults(spark, sf):
+    """What a version with some images twice breaks, before it would be committed."""
+    s = store.Store(spark, tables.shared_folder(spark, "store"), 4)
+    now, _ = load.load_records(s, _conversations(spark, sf).drop("conv_id"), F.lit("now"), checked=True)
+    images = now.read("images")
+    twice = images.unionByName(images.where(F.substring("source_url", 2, 20).cast("long") % 3 == 0))
+    return s.faults({"images": s.stage("images", twice, now)}, now)
+
+
+@_query("SELECT CAST(event_id AS VARCHAR) AS key, 'v' || event_type AS value FROM events WHERE event_id % 3 = 1")
+def raw_scan(spark, sf):
+    """One source's part of a stored raw layer."""
+    e = _read(spark, sf, "events")
+    path = tables.shared_folder(spark, "raw")
+    raw.write(e.select(F.concat(F.lit("s"), F.col("event_id") % 3).alias("source"), F.col("event_id").cast("string").alias("key"), F.concat(F.lit("v"), "event_type").alias("value")), path)
+    return raw.scan(spark, path, "s1").select("key", "value")
+
+
+@_query("""SELECT 'met' AS source, CAST(p_partkey AS VARCHAR) AS source_id, p_name AS title FROM part
+UNION ALL SELECT 'cleveland', CAST(p_partkey AS VARCHAR), 'moved' FROM part""")
+def extract_targets(spark, sf):
+    """Sources by name, from the store, and by name and path."""
+    rows = _records(spark, sf).select("source", "key", "value")
+    path, other = tables.shared_folder(spark, "raw"), tables.shared_folder(spark, "raw-moved")
+    raw.write(rows.where("source in ('met', 'aic', 'cleveland')"), path)
+    raw.write(rows.where("source = 'cleveland'").withColumn("value", F.regexp_replace("value", '"title":"[^"]*"', '"title":"moved"')), other)
+    return extract.extract_targets(spark, ["met", f"cleveland={other}"], path).select("source", "source_id", "title")
+
+
 @_query("SELECT 'u' || (event_id % 50) AS source, CAST(event_id % 500 AS VARCHAR) AS key, CAST(max(event_id) AS VARCHAR) AS value FROM events WHERE event_id % 50 < 3 GROUP BY 1, 2")
 def raw_store(spark, sf):
     """Two puts into the bucketed store, the second over some keys of the first."""

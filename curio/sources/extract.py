@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curio import schemas
 from curio.functions.text import authority_urls, joined, present, unescape_html, year
+from curio.sources import raw as layer
 from curio.sources import xmlpull
 
 _ARTIST = schemas.ARTIST.simpleString()
@@ -204,3 +205,9 @@ def extract(raw: DataFrame, *sources: str) -> DataFrame:
     wanted = [name for name, _ in targets(list(sources))]
     parts = [EXTRACTORS[s](raw).withColumn("source_order", F.lit(schemas.SOURCES.index(s))) for s in wanted]
     return reduce(DataFrame.unionByName, parts).where(F.col("source_url").isNotNull() & F.col("image_url").isNotNull())
+
+
+def extract_targets(spark: SparkSession, arguments: list[str], store: str) -> DataFrame:
+    """Common records of ``name`` or ``name=path`` arguments: a source is read from its own path, or from its part of the store."""
+    parts = [extract(layer.scan(spark, path or store, name), name) for name, path in targets(arguments)]
+    return reduce(DataFrame.unionByName, parts)

@@ -4,6 +4,8 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from curio import schemas
 from curio.functions import text
 from curio.sources import extract, raw
@@ -154,6 +156,14 @@ def test_no_name_is_defined_twice():
         assert len(names) == len(set(names)), path
 
 
+def test_targets_by_path(spark, tmp_path):
+    aic = store(spark, "aic", {"id": 1, "is_public_domain": True, "image_id": "i", "title": "of the store"})
+    raw.write(aic, f"{tmp_path}/all")
+    raw.write(aic.withColumn("value", F.replace("value", F.lit("of the store"), F.lit("of a path"))), f"{tmp_path}/one")
+    got = lambda *a: [r["title"] for r in extract.extract_targets(spark, list(a), f"{tmp_path}/all").collect()]
+    assert got("aic") == ["of the store"] and got(f"aic={tmp_path}/one") == ["of a path"] and got("aic", f"aic={tmp_path}/one") == ["of the store", "of a path"]
+
+
 def test_no_store_yet(spark, tmp_path):
     assert ingest.stored(spark, f"{tmp_path}/none").count() == 0 and ingest.outcomes(spark, f"{tmp_path}/none").count() == 0
 

@@ -75,6 +75,17 @@ def test_images_and_artists_become_current_together(spark, tmp_path, monkeypatch
     assert s.commit({"collections": schemas.empty(spark, "collections")}).tables["images"] == second.tables["images"]
 
 
+def test_a_version_that_breaks_constraints_is_refused(spark, tmp_path):
+    s = store.Store(spark, f"{tmp_path}/s", 4)
+    load.load_records(s, records(spark, ("u1", "a", ["x"])), F.lit("now"), checked=True)
+    images = s.read("images")
+    with pytest.raises(store.ConstraintError, match=r"images: unique id \(1\); images: unique source_url \(1\)"):
+        s.commit({"images": images.unionByName(images)}, checked=True)
+    with pytest.raises(store.ConstraintError, match="image_artists: orphans image_id"):
+        s.commit({"images": images.limit(0)}, checked=True)
+    assert s.version() == 1 and s.commit({"images": images}, checked=True).version == 2
+
+
 def test_upserts_do_not_shuffle_the_table(spark, tmp_path, no_broadcast):
     s = store.Store(spark, f"{tmp_path}/s", 4)
     load.load_records(s, records(spark, *((f"u{i}", "a", ["x", "y"]) for i in range(40))), F.lit("now"))
