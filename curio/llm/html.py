@@ -40,6 +40,8 @@ OUT_WORDS = frozenset(
     "toolbar topbar sidebar rail widget footer copyright cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login search "
     "share sharing social related recommended recommendations trending popular comment comments reply replies respond discussion disqus".split()
 )
+#: Beginnings and ends of names that are written as one word.
+OUT_PARTS = re.compile(r"^(?:nav|sidebar|footer|comment|cookie|newsletter|advert|breadcrumb|sponsor|popup|related|share|social|ad(?:box|slot|unit|banner|block|wrapper|container)$)|(?:nav|sidebar|footer|comments?|banner|menu|cookies?)$")
 #: Out only where no article is around: forms may hold a whole page, headers of articles hold their titles.
 SOFT_TAGS, SOFT_ROLES, SOFT_WORDS = frozenset({"form", "header"}), frozenset({"form", "banner"}), frozenset({"header", "masthead", "form"})
 #: A name that begins so says what its element stands beside.
@@ -47,7 +49,8 @@ BESIDE = frozenset("has with without no is layout".split())
 LIKELY = frozenset("content article post entry story articlebody body text main".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|style|hidden)(?=[\s=/>])\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_TELLING = re.compile(r"(?:^|[\s\"'])(?:class|id|role|itemprop|style|hidden)\b", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ENDING = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 OUT, NONE, LIKE, MAIN = -1, 0, 1, 2
@@ -58,14 +61,14 @@ class Place:
 
     __slots__ = ("below", "container", "hard", "key", "labels", "like", "main", "soft", "tag")
 
-    def __init__(self, above: Place | None, tag: str, attributes: str):
+    def __init__(self, above: Place | None, tag: str, described: tuple):
         self.tag, self.below = tag, {}
-        names, words, role, hidden = _described(attributes) if attributes else ((), frozenset(), "", False)
+        names, words, role, hidden = described
         label = tag + "".join(f".{n}" for n in names)
         self.labels = f"{above.labels}>{label}" if above else label
         self.key = xxhash.xxh64_intdigest(self.labels)
         root = tag in ("html", "body")
-        self.hard = bool(above and above.hard) or tag in OUT_TAGS or role in OUT_ROLES or hidden or (not root and bool(words & OUT_WORDS))
+        self.hard = bool(above and above.hard) or tag in OUT_TAGS or role in OUT_ROLES or hidden or (not root and (bool(words & OUT_WORDS) or any(map(OUT_PARTS.search, words))))
         self.soft = bool(above and above.soft)
         self.main = bool(above and above.main)
         self.like = bool(above and above.like) or (not root and bool(words & LIKELY))
@@ -83,12 +86,16 @@ class Place:
         return OUT if self.hard or self.soft else MAIN if self.main else LIKE if self.like else NONE
 
     def inside(self, tag: str, attributes: str) -> Place:
-        found = self.below.get((tag, attributes))
+        described = _described(attributes) if attributes and _TELLING.search(attributes) else _NOTHING
+        found = self.below.get((tag, described))
         if found is None:
-            found = self.below[tag, attributes] = Place(self, tag, attributes)
+            found = self.below[tag, described] = Place(self, tag, described)
         return found
 
 
+_NOTHING: tuple = ((), frozenset(), "", False)
+
+
 def _described(attributes: str) -> tuple[tuple[str, ...], frozenset[str], str, bool]:
     """Names of class and id without digits, their words, the role, and whether the element is hidden."""
     names, words, role, hidden = [], set(), "", False
@@ -102,7 +109,7 @@ def _described(attributes: str) -> tuple[tuple[str, ...], frozenset[str], str, b
             hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif kind == "itemprop":
             words.add(value.strip().lower())
-        else:
+        elif kind in ("class", "id"):
             for name in value.split():
                 parts = [w.lower() for w in _WORDS.findall(name)]
                 names.append("-".join(parts))
@@ -139,7 +146,7 @@ def _root() -> Place:
     cache = common.process_cache()
     kept = cache.get("places")
     if kept is None or kept[1] > 20_000:
-        kept = cache["places"] = [Place(None, "", ""), 0]
+        kept = cache["places"] = [Place(None, "", _NOTHING), 0]
     kept[1] += 1
     return kept[0]
 

@@ -45,7 +45,18 @@ def plain(title, paragraphs, k):
     )
 
 
-@pytest.mark.parametrize("layout", [semantic, plain])
+def named(title, paragraphs, k):
+    """A page of div elements whose names say what they are."""
+    return (
+        f'<html><body id=top><div id="page{k}" class="hfeed site"><div id="masthead"><p>Blog {words(1)}</p><ul class="mainNav"><li><a href=/a>{words(1)}</a></li></ul></div>'
+        f'<div id="content" class="site-content"><div class="adbox">{words(7)}</div><h1 class="entry-title" data-role="navigation" title="class=ad">{title}</h1><div class="entry-content post-{k}">'
+        + "<br><br>".join(f"<span class=lead>{p}</span>" for p in paragraphs)
+        + f'</div><div hidden>{words(40)}</div><div style="display: none">{words(40)}</div></div><div id="secondary" class="widget-area sidebar2"><p>{words(50)}</p></div>'
+        f'<ol class="commentlist"><li>{words(60)}</li></ol><div id="cookieBar">{words(3)}</div><form><label>Mail {words(2)}</label></form><div class="siteFooter">{words(2)}</div></div></body></html>'
+    )
+
+
+@pytest.mark.parametrize("layout", [semantic, plain, named])
 def test_article_of_a_template(spark, layout):
     pages, want = [], {}
     for k in range(24):
