@@ -46,7 +46,7 @@ MARGIN = 0.02
 COUNTED, HELD = 8_192, 1_024
 #: Nodes of each kind that are asked at first and at most, and the links that must be seen among them.
 AUDIT, AUDIT_MOST, AUDIT_SEEN = 800, 12_800, 20
-RECALL, DESCENTS = 0.995, 3
+RECALL, DESCENTS = 0.995, 2
 #: Further hyperplanes for leaves of more than BLOCK nodes.
 DEEP = 16
 #: In place of a cosine: the two are linked over nodes of their block.
@@ -164,23 +164,20 @@ def start(nodes: DataFrame, spaces: DataFrame, low: int, high: int) -> DataFrame
 
 
 def best_of(edges: DataFrame) -> DataFrame:
-    """Each node's NEIGHBOURS best without repeats, and as many below the threshold where links fill the list; ``new`` unless all say it is not."""
-    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    return _listed(once, NEIGHBOURS)
-
+    """(u, v, sim, new, r): each node's NEIGHBOURS best without repeats, and as many below the threshold where links fill the list.
 
-def _listed(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of each ``u``, of linked and of other neighbours."""
-    r = F.row_number().over(Window.partitionBy("u", F.col("sim") >= THRESHOLD).orderBy(F.desc("sim"), "v"))
-    kept = edges.withColumn("r", r).where(F.col("r") <= k).drop("r")
-    # all are in one place by now, so the list is cut to its length without a second shuffle where links do not fill it
-    full = F.sum((F.col("sim") >= THRESHOLD).cast("int")).over(Window.partitionBy("u"))
-    r = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return kept.withColumn("full", full).withColumn("r", r).where((F.col("r") <= k) | (F.col("full") >= k)).drop("r", "full")
+    ``new`` unless an entry was in a list before; ``r`` is the place in the list.
+    """
+    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    of = Window.partitionBy("u")
+    ranked = once.withColumn("r", F.row_number().over(of.orderBy(F.desc("sim"), "v"))).withColumn("links", F.count(F.when(F.col("sim") >= THRESHOLD, 1)).over(of))
+    other = F.col("r") - F.when(F.col("links") >= NEIGHBOURS, F.col("links")).otherwise(0)
+    kept = ranked.where(F.when(F.col("sim") >= THRESHOLD, F.col("r")).otherwise(other) <= NEIGHBOURS)
+    return kept.select("u", "v", "sim", "new", "r")
 
 
-def _bytes(nodes: DataFrame, graph: DataFrame, comps: DataFrame) -> DataFrame:
-    """(w, q, scale, least, comp): vectors of a byte a component, the least of what a full list has, and components."""
+def bytes_of(nodes: DataFrame) -> DataFrame:
+    """(w, q, scale): unit vectors of a byte a component."""
 
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -190,10 +187,7 @@ def _bytes(nodes: DataFrame, graph: DataFrame, comps: DataFrame) -> DataFrame:
                 q = np.rint(x / scale[:, None]).astype(np.int8)
                 yield pd.DataFrame({"w": part["node"].to_numpy(), "q": [r.tobytes() for r in q], "scale": scale})
 
-    packed = nodes.select("node", "vec").mapInPandas(small, "w long, q binary, scale double")
-    lists = graph.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).alias("least")).withColumnRenamed("u", "w")
-    of = comps.select(F.col("id").alias("w"), F.col("component_id").alias("comp"))
-    return packed.join(lists, "w", "left").join(of, "w", "left").select("w", "q", "scale", F.coalesce("least", F.lit(-2.0)).alias("least"), F.coalesce("comp", "w").alias("comp"))
+    return nodes.select("node", "vec").mapInPandas(small, "w long, q binary, scale double")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,15 +238,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
-def descend(nodes: DataFrame, graph: DataFrame, comps: DataFrame) -> DataFrame:
+def descend(small: DataFrame, graph: DataFrame, comps: DataFrame) -> DataFrame:
     """Candidates (u, v, sim; u < v) among neighbours that meet at a node, of different components, by vectors of bytes."""
-    forward = graph.select(F.col("u").alias("g"), F.col("v").alias("w"), "sim", "new")
-    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "new")
-    r = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    best = lambda df: df.withColumn("r", r).where(F.col("r") <= MEETING).drop("r")
-    members = best(forward.withColumnsRenamed({"g": "u", "w": "v"})).unionByName(best(back)).groupBy(F.col("u").alias("g"), F.col("v").alias("w")).agg(F.max("new").alias("new"))
-    packed = common.cut(_bytes(nodes, graph, comps), "nn-bytes")
-    met = members.join(packed, "w").select("g", "w", "new", "q", "scale", "least", "comp")
+    r = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
+    back = graph.withColumn("r", r).where(F.col("r") <= MEETING).select(F.col("v").alias("g"), F.col("u").alias("w"), "new")
+    members = graph.where(F.col("r") <= MEETING).select(F.col("u").alias("g"), F.col("v").alias("w"), "new").unionByName(back).groupBy("g", "w").agg(F.max("new").alias("new"))
+    # the least that a candidate must exceed to enter a full list
+    lists = graph.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).alias("least")).withColumnRenamed("u", "w")
+    of = comps.select(F.col("id").alias("w"), F.col("component_id").alias("comp"))
+    known = small.join(lists, "w", "left").join(of, "w", "left").select("w", "q", "scale", F.coalesce("least", F.lit(-2.0)).alias("least"), F.coalesce("comp", "w").alias("comp"))
+    met = members.join(known, "w").select("g", "w", "new", "q", "scale", "least", "comp")
     return met.repartition("g").sortWithinPartitions("g").mapInArrow(_met, _EDGE).groupBy("u", "v").agg(F.max("sim").alias("sim"))
 
 
@@ -372,7 +367,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     source = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"), "label")
     nodes = common.cut(nodes_of(source), "nn-nodes")
     spaces = common.cut(spaces_of(nodes), "nn-spaces")
-    graph = comps = None
+    graph = comps = small = None
 
     def joined_with(pairs: DataFrame) -> DataFrame:
         """Components of all links so far and of ``pairs`` (a, b)."""
@@ -388,7 +383,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         for low in range(done, done + tables, AT_ONCE):
             found = common.cut(start(nodes, spaces, low, min(done + tables, low + AT_ONCE)), "nn-found")
             near = found.where(F.col("sim") < JOINED).withColumn("new", F.lit(True))
-            graph = common.cut(best_of(near if graph is None else graph.unionByName(near)), "nn-graph")
+            graph = common.cut(best_of(near if graph is None else graph.drop("r").unionByName(near)), "nn-graph")
             pairs = found.where(F.col("sim") == JOINED).select(F.col("u").alias("a"), F.col("v").alias("b"))
             linked = pairs if linked is None else linked.unionByName(pairs)
             common.release(spark)
@@ -397,16 +392,16 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         if not _bits(largest):  # every pair has met
             break
         across = None
+        small = common.cut(bytes_of(nodes), "nn-bytes") if small is None else small
         for _ in range(DESCENTS):
-            met = common.cut(descend(nodes, graph, comps), "nn-met")
+            met = common.cut(descend(small, graph, comps), "nn-met")
             pairs = exact(nodes, met.where(F.col("sim") >= THRESHOLD - MARGIN))
             across = pairs if across is None else across.unionByName(pairs)
             both = met.select("u", "v", "sim").unionByName(met.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).withColumn("new", F.lit(True))
-            after = common.cut(best_of(graph.withColumn("new", F.lit(False)).unionByName(both)), "nn-graph")
-            graph = after
-            changed = after.where("new").count()
+            graph = common.cut(best_of(graph.drop("r").withColumn("new", F.lit(False)).unionByName(both)), "nn-graph")
+            changed = graph.agg(F.mean(F.col("new").cast("int"))).first()[0] or 0
             common.release(spark)
-            if changed <= 0.01 * max(1, after.count()):
+            if changed <= 0.01:
                 break
         across = common.cut(across, "nn-across")
         if across.limit(1).count():

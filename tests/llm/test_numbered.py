@@ -258,7 +258,7 @@ def test_nn_descent_finds_what_the_start_missed(spark, monkeypatch):
     found = common.cut(nn_descent.start(nodes, common.cut(nn_descent.spaces_of(nodes), "t"), 0, 2), "t")
     graph = common.cut(nn_descent.best_of(found.where(f"sim < {nn_descent.JOINED}").selectExpr("*", "true AS new")), "t")
     comps = common.components(found.where(f"sim = {nn_descent.JOINED}").selectExpr("u a", "v b"))
-    new = nn_descent.exact(nodes, nn_descent.descend(nodes, graph, comps).where(f"sim >= {nn_descent.THRESHOLD - nn_descent.MARGIN}"))
+    new = nn_descent.exact(nodes, nn_descent.descend(nn_descent.bytes_of(nodes), graph, comps).where(f"sim >= {nn_descent.THRESHOLD - nn_descent.MARGIN}"))
     assert new.count() > 0
     x = np.array([v for _, _, v in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
