@@ -17,7 +17,9 @@ continuation counts, interpolated with 1/(V+1).  All counts cover all training t
 
 Definedness: a null or empty text is the end token alone; a word never seen has p1 from the uniform
 part; with no training text at all every score is that of the uniform distribution over V+1 = 1
-tokens, 0.  Files are written under a temporary name and renamed, so a task that runs twice is harmless.
+tokens, 0.  Very long texts are counted and scored whole; nothing is ordered, so there are no ties; rows that repeat an id or
+a text count and are scored each; null ids count as the empty text where rows are held out; other columns are ignored,
+whatever their names; an empty table gives no rows.  Files are written under a temporary name and renamed, so a task that runs twice is harmless.
 """
 
 from __future__ import annotations

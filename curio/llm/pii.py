@@ -8,8 +8,9 @@ place is mapped back to source characters and added.  Base spans always stay.
 
 Everything is one map over whole texts, without a shuffle.
 
-Definedness: null is the empty text and has no spans; offsets count code points, ends exclusive;
-repeated rows give repeated results; other columns are ignored.
+Definedness: null is the empty text and has no spans; offsets count code points, ends exclusive; very long
+texts are read whole; spans that begin together are ordered by kind, as listed; repeated rows give repeated
+results; null ids are kept; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ document or another.  All such strings are found, without a suffix array of the
    their windows meet by two independent hashes of all ``LENGTH`` bytes, 96 bits together.
 
 Definedness: null texts are empty; texts shorter than ``LENGTH`` keep everything; rows that repeat an
-id are documents of their own, and equal rows count as two; other columns are ignored.
+id are documents of their own, and equal rows count as two; very long texts are cut like others, whole; of equal
+windows none is preferred, all go; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

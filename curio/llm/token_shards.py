@@ -14,7 +14,8 @@ lost executor leaves no half-written shard:
 Ranks are per block, so writing needs a single pass over the texts and no statistics of the whole.
 
 Definedness: a null or empty text yields the end id alone; repeated ids keep one entry a row (ordered
-by text); null ids come first; an empty table gives no blocks; other columns are ignored.
+by text); null ids come first; a very long text is encoded whole and may be a block of its own; an empty table
+gives no blocks; other columns are ignored, whatever their names.
 
 The tokenizer's own merges see each distinct *chunk* once a worker: texts are cut only where its
 pre-tokenizer always cuts (before a single space, between ASCII letters and punctuation, around a
