@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import gzip
 import json
+import sys
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from curio import schemas
 from curio.sources import raw
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows of the store: those of records have a key; one row for each shard and try, without, tells its outcome.
 STORED = "source string, key string, value string, shard string, error string, lines long, batch int, retry int"
 
