@@ -39,6 +39,8 @@ U64 = np.uint64
 END, BEGIN = U64(1), U64(2)  # hashes of words are 3 or more
 _WORD_BITS = U64((1 << 48) - 1)
 _C = U64(0xD6E8FEB86659FD93)
+#: Bytes of text for which there is a bucket; a bucket's bigrams are merged in memory.
+BUCKET_TEXT = 8_000_000
 COLUMNS = ("count", "continuations", "once", "twice", "more")
 
 
@@ -117,10 +119,15 @@ def _load(folder: str, name: str) -> np.ndarray:
         return np.frombuffer(f.read(), np.uint8)
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """As many buckets as the texts need, however many partitions a shuffle has."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    return max(1, -(-size // BUCKET_TEXT))
+
+
 def train(docs: DataFrame, folder: str, buckets: int | None = None, flush: int = 1_500_000) -> dict:
     """Count the bigrams of ``docs.text`` and write the model to ``folder``; returns its constants."""
-    spark = docs.sparkSession
-    n = buckets or common.shuffle_parts(spark)
+    n = buckets or buckets_for(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
