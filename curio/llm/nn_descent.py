@@ -39,7 +39,7 @@ NEIGHBOURS, LEAF, BLOCK = 12, 1_024, 2_048
 #: Tables of the first pass, and the most that are worked on at once.
 TABLES, AT_ONCE = 4, 8
 #: Neighbours that a node's list gets from one table, and that meet at a node in each direction.
-FROM_TABLE, MEETING = 6, 8
+FROM_TABLE, MEETING = 5, 6
 #: How far comparisons by bytes may be off.
 MARGIN = 0.02
 #: Nodes in a block of a component whose links are counted, and rows of a product that are held at once.
@@ -274,8 +274,9 @@ def audit(nodes: DataFrame, linked: DataFrame, rows: int | None = None) -> float
     """The mean share of its links that a node has in its component of ``linked``: of nodes with few links or with many, the lesser.
 
     Nodes without links, of small and of large components are compared with all, some of each kind, and weigh as many
-    nodes as they stand for.  A node in no component has none of its links.  Where fewer than AUDIT_SEEN of those
-    asked have a link, four times as many are asked, up to AUDIT_MOST; None if no link is seen even then.
+    nodes as they stand for.  A node in no component has none of its links: of those without links so many are asked
+    that some would show if a share of 1 - RECALL of the linked nodes were among them.  Where fewer than AUDIT_SEEN of
+    those asked have a link, four times as many are asked.  AUDIT_MOST bounds both; None if no link is seen even then.
     """
     rows = AUDIT if rows is None else rows
     sizes = linked.groupBy("component_id").agg(F.count("*").alias("c"))
@@ -283,8 +284,10 @@ def audit(nodes: DataFrame, linked: DataFrame, rows: int | None = None) -> float
     stratum = F.when(F.col("c").isNull(), 0).when(F.col("c") <= NEIGHBOURS, 1).otherwise(2)
     placed = common.cut(placed.select("node", F.coalesce("component_id", "node").alias("comp"), stratum.alias("stratum")), "nn-placed")
     kinds = {r["stratum"]: r["count"] for r in placed.groupBy("stratum").count().collect()}  # three at most
+    with_links = sum(n for stratum, n in kinds.items() if stratum)
+    alone = int(3 * kinds.get(0, 0) / ((1 - RECALL) * with_links)) if with_links else 0
     while True:
-        got, weight = _asked(nodes, placed, kinds, rows)
+        got, weight = _asked(nodes, placed, kinds, {0: max(rows, min(AUDIT_MOST, alone)), 1: rows, 2: rows})
         if len(got) >= AUDIT_SEEN or rows >= min(AUDIT_MOST, max(kinds.values(), default=0)):
             break
         rows *= 4
@@ -294,12 +297,12 @@ def audit(nodes: DataFrame, linked: DataFrame, rows: int | None = None) -> float
     return min(float(np.average(share[of], weights=w[of])) for of in (few, ~few) if of.any())
 
 
-def _asked(nodes: DataFrame, placed: DataFrame, kinds: dict[int, int], rows: int) -> tuple[pd.DataFrame, dict[int, float]]:
+def _asked(nodes: DataFrame, placed: DataFrame, kinds: dict[int, int], rows: dict[int, int]) -> tuple[pd.DataFrame, dict[int, float]]:
     """(node, n, hit) of the asked nodes that have links: how many, and how many of them in their component; and the nodes' weights."""
     vecs = nodes.select("node", "space", "vec")
     parts, weight = [], {}
     for stratum, count in kinds.items():
-        chosen = placed.where(F.col("stratum") == stratum).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(rows)
+        chosen = placed.where(F.col("stratum") == stratum).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(rows[stratum])
         parts.append(vecs.join(F.broadcast(chosen), "node").toPandas())  # ``rows`` at most
         weight |= dict.fromkeys(parts[-1]["node"].tolist(), count / max(1, len(parts[-1])))
     if not parts:
@@ -375,37 +378,42 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
             pairs = pairs.unionByName(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
         return common.cut(common.components(pairs, "nn-components"), "nn-components")
 
+    def listed(new: DataFrame) -> DataFrame:
+        new = new.select("u", "v", "sim").withColumn("new", F.lit(True))
+        return common.cut(best_of(new if graph is None else graph.drop("r").withColumn("new", F.lit(False)).unionByName(new)), "nn-graph")
+
     largest = spaces.agg(F.max("n")).first()[0] or 0
     tables = TABLES if _bits(largest) else 1
     done = 0
+    waiting = None  # candidates that no list has taken up yet
     while True:
-        linked = None
+        near = linked = None
         for low in range(done, done + tables, AT_ONCE):
             found = common.cut(start(nodes, spaces, low, min(done + tables, low + AT_ONCE)), "nn-found")
-            near = found.where(F.col("sim") < JOINED).withColumn("new", F.lit(True))
-            graph = common.cut(best_of(near if graph is None else graph.drop("r").unionByName(near)), "nn-graph")
-            pairs = found.where(F.col("sim") == JOINED).select(F.col("u").alias("a"), F.col("v").alias("b"))
+            edges, pairs = found.where(F.col("sim") < JOINED), found.where(F.col("sim") == JOINED).select(F.col("u").alias("a"), F.col("v").alias("b"))
+            near = edges if near is None else near.unionByName(edges)
             linked = pairs if linked is None else linked.unionByName(pairs)
             common.release(spark)
         done += tables
-        comps = joined_with(linked)
         if not _bits(largest):  # every pair has met
+            comps = joined_with(linked)
             break
-        across = None
+        graph = listed(near if waiting is None else near.unionByName(waiting))
+        # who is joined to one node, in a block or a component, need not meet; what else is one component shows at the end of the pass
+        roots = linked if comps is None else linked.unionByName(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+        roots = common.cut(roots.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component_id")), "nn-roots")
         small = common.cut(bytes_of(nodes), "nn-bytes") if small is None else small
-        for _ in range(DESCENTS):
-            met = common.cut(descend(small, graph, comps), "nn-met")
-            pairs = exact(nodes, met.where(F.col("sim") >= THRESHOLD - MARGIN))
-            across = pairs if across is None else across.unionByName(pairs)
-            both = met.select("u", "v", "sim").unionByName(met.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).withColumn("new", F.lit(True))
-            graph = common.cut(best_of(graph.drop("r").withColumn("new", F.lit(False)).unionByName(both)), "nn-graph")
-            changed = graph.agg(F.mean(F.col("new").cast("int"))).first()[0] or 0
+        across = linked
+        for k in range(DESCENTS):
+            met = common.cut(descend(small, graph, roots), "nn-met")
+            across = across.unionByName(exact(nodes, met.where(F.col("sim") >= THRESHOLD - MARGIN)))
+            waiting = met.select("u", "v", "sim").unionByName(met.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
             common.release(spark)
-            if changed <= 0.01:
-                break
-        across = common.cut(across, "nn-across")
-        if across.limit(1).count():
-            comps = joined_with(across)
+            if k + 1 < DESCENTS:
+                graph, waiting = listed(waiting), None
+                if (graph.agg(F.mean(F.col("new").cast("int"))).first()[0] or 0) <= 0.01:
+                    break
+        comps = joined_with(across)
         recall = audit(nodes, comps)
         # no link seen among many nodes, after a second pass as well: there are too few to ask for
         if recall is not None and recall >= RECALL or recall is None and done > TABLES:
