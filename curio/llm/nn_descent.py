@@ -10,7 +10,7 @@ least the threshold.  Vectors that are null, zero or hold null or non-finite com
    ``NEIGHBOURS`` best, however similar; what is linked within a block is joined whether it is among them or not.
 3. *Descent.*  At each node its neighbours, and those whose neighbour it is, meet each other: pairs of which one is
    new there are compared by vectors of a byte a component, and those that would enter a list of either are its
-   candidates, until few lists change.  What may be over the threshold is compared in double precision.
+   candidates, in every pass.  What may be over the threshold is compared in double precision.
 4. *Enlarging.*  Where links fill a list it is as long again for others.  Edges over the threshold make components, within
    which pairs need no more finding; in the end all members of a component are compared, block by block, so a
    component of any size is dealt over tasks and only counts of links leave them.
@@ -46,7 +46,7 @@ MARGIN = 0.02
 COUNTED, HELD = 8_192, 1_024
 #: Nodes of each kind that are asked at first and at most, and the links that must be seen among them.
 AUDIT, AUDIT_MOST, AUDIT_SEEN = 800, 12_800, 20
-RECALL, DESCENTS = 0.995, 2
+RECALL, DESCENTS = 0.995, 1
 #: Further hyperplanes for leaves of more than BLOCK nodes.
 DEEP = 16
 #: In place of a cosine: the two are linked over nodes of their block.
@@ -168,7 +168,8 @@ def best_of(edges: DataFrame) -> DataFrame:
 
     ``new`` unless an entry was in a list before; ``r`` is the place in the list.
     """
-    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    # one shuffle by u serves the repeats as well as the list
+    once = edges.repartition("u").groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
     of = Window.partitionBy("u")
     ranked = once.withColumn("r", F.row_number().over(of.orderBy(F.desc("sim"), "v"))).withColumn("links", F.count(F.when(F.col("sim") >= THRESHOLD, 1)).over(of))
     other = F.col("r") - F.when(F.col("links") >= NEIGHBOURS, F.col("links")).otherwise(0)
@@ -221,7 +222,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not out:
             return None
         u, v, sim = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sim)], schema=_FOUND)
+        u, v = np.minimum(u, v), np.maximum(u, v)
+        order = np.lexsort((v, u))  # a pair of this batch once
+        u, v, sim = u[order], v[order], sim[order]
+        first = np.ones(len(u), bool)
+        first[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(v[first]), pa.array(sim[first])], schema=_FOUND)
 
     for batch in batches:
         if not batch.num_rows:
@@ -239,16 +245,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def descend(small: DataFrame, graph: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidates (u, v, sim; u < v) among neighbours that meet at a node, of different components, by vectors of bytes."""
+    """Candidates (u, v, sim; u < v) among neighbours that meet at a node, of different components, by vectors of bytes; some more than once."""
     r = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
     back = graph.withColumn("r", r).where(F.col("r") <= MEETING).select(F.col("v").alias("g"), F.col("u").alias("w"), "new")
-    members = graph.where(F.col("r") <= MEETING).select(F.col("u").alias("g"), F.col("v").alias("w"), "new").unionByName(back).groupBy("g", "w").agg(F.max("new").alias("new"))
+    members = graph.where(F.col("r") <= MEETING).select(F.col("u").alias("g"), F.col("v").alias("w"), "new").unionByName(back)
     # the least that a candidate must exceed to enter a full list
     lists = graph.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).alias("least")).withColumnRenamed("u", "w")
     of = comps.select(F.col("id").alias("w"), F.col("component_id").alias("comp"))
     known = small.join(lists, "w", "left").join(of, "w", "left").select("w", "q", "scale", F.coalesce("least", F.lit(-2.0)).alias("least"), F.coalesce("comp", "w").alias("comp"))
     met = members.join(known, "w").select("g", "w", "new", "q", "scale", "least", "comp")
-    return met.repartition("g").sortWithinPartitions("g").mapInArrow(_met, _EDGE).groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    return met.repartition("g").sortWithinPartitions("g").mapInArrow(_met, _EDGE)
 
 
 def exact(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
