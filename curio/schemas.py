@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,11 +59,23 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table])
 
 
+#: So many rows of a table are grouped in one partition when keys are checked.
+GROUPED_ROWS = 1_000_000
+
+
+def _repeated(df: DataFrame, key: tuple[str, ...], rows: int) -> DataFrame:
+    """Keys of several rows.  Rows are dealt by their key first, into partitions whose number follows that of the rows, so a hash table's size does not."""
+    keys = df.select(*key)
+    dealt = keys.repartition(math.ceil(rows / GROUPED_ROWS), *key) if rows > GROUPED_ROWS else keys
+    return dealt.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
+
+
 def faults(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, rule, n): how many rows or keys break each constraint; no row where none does."""
     out = None
     for name, df in tables.items():
-        found = [df.groupBy(*key).count().where("count > 1").select(F.lit(name).alias("table"), F.lit(f"unique {', '.join(key)}").alias("rule")) for key in KEYS[name]]
+        rows = df.count()
+        found = [_repeated(df, key, rows).select(F.lit(name).alias("table"), F.lit(f"unique {', '.join(key)}").alias("rule")) for key in KEYS[name]]
         found += [df.where(F.col(c).isNull()).select(F.lit(name).alias("table"), F.lit(f"not null {c}").alias("rule")) for c in REQUIRED[name]]
         if name == "image_dates":
             found.append(df.where(~F.col("date_precision").isin(*PRECISIONS)).select(F.lit(name).alias("table"), F.lit("date_precision").alias("rule")))

@@ -119,3 +119,15 @@ def test_raw_store_reads_one_bucket(spark, tmp_path, no_broadcast):
     todo = s.missing(wanted)
     assert shuffled_scans(todo) == (0, 1) and sorted(map(tuple, todo.collect())) == [("aic", "x"), ("met", "99")]
     assert store.RawStore(spark.newSession(), f"{tmp_path}/raw", 8).scan().count() == 101
+
+
+def test_keys_are_checked_in_partitions_that_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(200).select("id", (F.col("id") % 199).alias("image_id"), F.lit(0).alias("position"), F.lit("n").alias("name_raw"))
+    want = [("image_artists", "unique image_id, position", 1)]
+    assert [tuple(r) for r in schemas.faults({"image_artists": rows}).collect()] == want
+    monkeypatch.setattr(schemas, "GROUPED_ROWS", 10)
+    for times in (1, 2):
+        more = rows.unionByName(rows.withColumn("id", F.col("id") + 200).withColumn("image_id", F.col("image_id") + 200)) if times == 2 else rows
+        got = schemas.faults({"image_artists": more})
+        dealt = [line for line in plan(got) if re.search(rf"hashpartitioning\((id|image_id)#.*, {20 * times}\)", line)]
+        assert len(dealt) >= 2 and [tuple(r) for r in got.collect()] == [("image_artists", "unique image_id, position", times)]
