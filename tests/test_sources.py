@@ -145,6 +145,24 @@ def test_records_of_odd_pages():
     assert agg is None and cho is None and resources == [("a", {"labels": [{"lang": "en", "text": "Y"}], "born": None, "died": None, "same": []})]
 
 
+def test_a_page_is_pulled_in_pieces(spark, monkeypatch):
+    from curio.sources import xmlpull
+
+    one = "<o:record><header><identifier>é/{k}</identifier></header><metadata><rdf:RDF a='>'>“<b/>” {k}</rdf:RDF></metadata></o:record>"
+    page = f"<r xmlns:o='x'>{''.join(one.format(k=k) for k in range(30))}"
+    want = [(None, f"é/{k}", None, f"<rdf:RDF a='>'>“<b/>” {k}</rdf:RDF>") for k in range(30)]
+    for piece in (1, 2, 3, 7, 64, 1 << 20):
+        monkeypatch.setattr(xmlpull, "_PIECE", piece)
+        assert xmlpull.records(page + "</r>") == xmlpull.records(page) == want and xmlpull.records(page + "<o:record>") == want
+    monkeypatch.setattr(xmlpull, "_PIECE", 100)
+    pulled = xmlpull._pulled((page + "</r>").encode())
+    assert next(pulled) == want[0] and len(pulled.gi_frame.f_locals["out"]) < 3  # not the whole page's records
+    pages = [xmlpull.pa.RecordBatch.from_pydict({"value": [page, None, "", "no xml", page + "</r>"]})]
+    got = list(xmlpull._harvested(iter(pages)))
+    assert max(b.num_rows for b in got) < 5 and [tuple(r.values()) for b in got for r in b.to_pylist()] == want * 2
+    assert sorted(map(tuple, xmlpull.harvested(spark.createDataFrame([(page,), (None,)], "value string")).collect())) == sorted(want)
+
+
 def test_no_name_is_defined_twice():
     import ast
     import pathlib
